@@ -91,3 +91,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+#: A side that is written and below so many bytes is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def bounded(small: DataFrame, what: str) -> DataFrame:
+    """small, written to the shared folder; marked for broadcast only if what was written is small."""
+    out = saved(small, what)
+    size = int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(out) if size <= BROADCAST_BYTES else out

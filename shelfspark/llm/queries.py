@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, fingerprints, langid, packing, quality, warc
+from shelfspark.llm import bpe, fingerprints, langid, linededup, packing, pii, quality, warc
 from shelfspark.llm._io import documents
 
 
@@ -36,6 +36,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymised(docs, counted="n_values")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return linededup.deduplicated(docs, counts=True)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -46,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
