@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, fingerprints, langid, linededup, packing, pii, quality, warc
+from shelfspark.llm import bpe, fingerprints, langid, linededup, ngram_join, packing, pii, quality, warc
 from shelfspark.llm._io import documents
 
 
@@ -41,6 +41,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(docs, counted="n_values")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return linededup.deduplicated(docs, counts=True)
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
