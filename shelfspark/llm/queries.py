@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import bpe, fingerprints, langid, linededup, ngram_join, packing, pii, quality, warc
+from shelfspark.llm import bpe, fingerprints, langid, linededup, ngram_join, packing, pii, quality, substrings, warc
 from shelfspark.llm._io import documents
 
 
@@ -15,6 +15,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints_with_edits(documents(spark, sf_dir))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(documents(spark, sf_dir))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_substrings": op2_substrings,
     "op3_warc": op3_warc,
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
