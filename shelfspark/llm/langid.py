@@ -72,7 +72,9 @@ def grams(codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text = np.zeros(len(kept) + n_rows + 1, np.uint64)
     text[np.arange(len(kept)) + np.repeat(np.arange(n_rows), np.diff(of)) + 1] = kept
     of = of + np.arange(n_rows + 1)  # a space at of[i]
-    m = max(0, len(text) - N + 1)
+    m = len(text) - N + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64)
     h = np.zeros(m, np.uint64)
     letters = np.zeros(m, np.uint8)
     for j in range(N):
@@ -82,7 +84,8 @@ def grams(codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inner = np.zeros(m, bool)
     inner[: max(0, of[-1] - N + 2)] = True
     for b in range(1, N - 1):  # n-grams that run over a row's end
-        inner[np.clip(of[1:] - b, 0, max(0, m - 1))] = False
+        at = of[1:] - b
+        inner[at[(at >= 0) & (at < m)]] = False
     ok &= inner
     h = _text.mix(h[ok])
     before = np.zeros(m + 1, np.int64)

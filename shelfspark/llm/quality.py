@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm import _io, _text
 
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
-FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_ended long, n_lines long, long_words long"
+FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_ended long, n_lines long, long_words long, plain_words long"
 
 
 def _by_row(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -66,6 +66,12 @@ def features(col: pa.Array) -> dict[str, np.ndarray]:
     dup = _repeats(row, roll.spans(ls, le))[0]
     last = e[np.maximum(np.searchsorted(s, le) - 1, 0)] - 1
     ended = np.isin(data[last], np.frombuffer(b'.!?":;', np.uint8)) if len(last) else np.zeros(0, bool)
+    # words of letters alone, but for one mark at the end
+    mark = ~(((data | 32) - np.uint8(97) < 26) | (data >= 128))
+    marks = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(mark, out=marks[1:])
+    odd = marks[e] - marks[s]
+    plain = (odd == 0) | ((odd == 1) & (width > 1) & np.isin(data[e - 1], np.frombuffer(b".,;:!?\"'", np.uint8)))
     # words in three-word windows that recur
     long = np.where(n >= 3, n - 2, 0)
     of = np.zeros(len(n) + 1, np.int64)
@@ -86,6 +92,7 @@ def features(col: pa.Array) -> dict[str, np.ndarray]:
         "n_ended": np.bincount(row[ended], minlength=len(n)),
         "n_lines": np.bincount(row, minlength=len(n)),
         "long_words": _by_row(width > 25, first),
+        "plain_words": _by_row(plain, first),
     }
 
 
@@ -95,41 +102,44 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(v.astype(np.int64)) for v in f.values()]], ["doc_id", *f])
 
 
-#: name, vote: against where the second expression holds, for where the third does, else none.
+#: A rule's name, where it speaks against a document, and where it speaks for it; else it abstains.
 RULES = [
-    ("symbols", "n_symbols > 0.06 * n_words", "n_symbols <= 0.02 * n_words"),
-    ("capitals", "n_upper > 0.30 * word_chars", "n_upper <= 0.10 * word_chars"),
-    ("lines", "n_dup_lines > 0.30 * n_lines", "n_lines >= 2 and n_dup_lines <= 0.10 * n_lines"),
-    ("repeats", "n_repeat_words > 0.30 * n_words", "n_words >= 20 and n_repeat_words <= 0.10 * n_words"),
-    ("length", "n_words < 30", "n_words >= 60 and n_words <= 50000"),
-    ("width", "n_words > 0 and (word_chars < 2.5 * n_words or word_chars > 12 * n_words)", "word_chars between 3 * n_words and 9 * n_words"),
-    ("endings", "n_lines >= 3 and n_ended < 0.3 * n_lines", "n_ended >= 0.7 * n_lines and n_lines > 0"),
-    ("long words", "long_words > 0.08 * n_words", "n_words > 0 and long_words <= 0.02 * n_words"),
+    ("symbols", "n_symbols > 0.1 * n_words", "false"),
+    ("capitals", "n_upper > 0.30 * word_chars", "false"),
+    ("lines", "n_dup_lines > 0.30 * n_lines", "false"),
+    ("repeats", "n_repeat_words > 0.30 * n_words", "false"),
+    ("length", "n_words < 30", "false"),
+    ("width", "n_words > 0 and (word_chars < 2.5 * n_words or word_chars > 12 * n_words)", "false"),
+    ("endings", "n_lines >= 3 and n_ended < 0.3 * n_lines", "false"),
+    ("plain words", "plain_words < 0.6 * n_words", "plain_words >= 0.85 * n_words and n_words > 0"),
 ]
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
+#: Of good documents a rule speaks against so many at most: rules are written to be precise where they speak against.
+MOST_ERRORS = 0.01
+
+
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, most_errors: float = MOST_ERRORS) -> tuple[np.ndarray, float, np.ndarray]:
     """Posterior of good by pattern, the prior, and P(vote | class) as rules x classes (bad, good) x votes (-1, 0, 1).
 
-    Starts from rules that are right in four of five votes; one vote of each kind is added to all counts.
+    Abstaining is a vote of its own here: whether a rule speaks at all may depend on the class. Starts from documents
+    that no rule speaks against as good; one vote of each kind is added to all counts.
     """
     n, r = patterns.shape
-    table = np.tile(np.array([[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]]), (r, 1, 1))
-    prior = 0.75
     hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
-    post = np.full(n, prior)
+    against = (patterns < 0).sum(1)
+    post = np.where(against == 0, 0.95, np.where(patterns.sum(1) > 0, 0.3, 0.1) ** against)
+    table, prior = np.full((r, 2, 3), 1 / 3), 0.75
     for _ in range(rounds):
-        like = np.einsum("nrv,rcv->nc", hot, np.log(table)) + np.log([1 - prior, prior])
-        new = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -700, 700)))
-        for c, p in enumerate((1 - new, new)):
+        for c, p in enumerate((1 - post, post)):
             votes = np.einsum("n,nrv->rv", counts * p, hot) + 1
-            # no rule may be worse than chance in the class it speaks for
-            if c:
-                votes[:, 2] = np.maximum(votes[:, 2], votes[:, 0])
-            else:
-                votes[:, 0] = np.maximum(votes[:, 0], 0.2 * votes[:, 2])
             table[:, c] = votes / votes.sum(1, keepdims=True)
-        prior = float(np.clip((counts @ new + 1) / (counts.sum() + 2), 0.02, 0.98))
+        over = np.maximum(0, table[:, 1, 0] - most_errors)
+        table[:, 1, 0] -= over
+        table[:, 1, 2] += over
+        prior = float(np.clip((counts @ post + 1) / (counts.sum() + 2), 0.02, 0.98))
+        like = np.einsum("nrv,rcv->nc", hot, np.log(table)) + np.log([1 - prior, prior])
+        new = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -700, 700)))
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
         if done:
