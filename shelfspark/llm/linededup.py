@@ -98,9 +98,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     """docs without the lines that go; ``counts`` adds n_lines and n_removed."""
-    gone = removed_lines(docs).groupBy("doc").agg(F.collect_set("i").alias("_gone")).withColumnRenamed("doc", "_doc")
-    df = docs.withColumn("_doc", F.expr(f"coalesce(doc_id, {LAST})")).join(_io.bounded(gone, "gone"), "_doc", "left")
-    kept = F.expr("if(_gone is null, text, array_join(filter(split(text, '\\n'), (x, k) -> not array_contains(_gone, k)), '\\n'))")
+    gone = removed_lines(docs).groupBy("doc").agg(F.collect_set("i").alias("_lines_gone")).withColumnRenamed("doc", "_lines_doc")
+    df = docs.withColumn("_lines_doc", F.expr(f"coalesce(doc_id, {LAST})")).join(_io.bounded(gone, "gone"), "_lines_doc", "left")
+    kept = F.expr("if(_lines_gone is null, text, array_join(filter(split(text, '\\n'), (x, k) -> not array_contains(_lines_gone, k)), '\\n'))")
     out = [kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    more = [F.expr("coalesce(size(split(text, '\\n')), 0)").cast("long").alias("n_lines"), F.expr("if(_gone is null or text is null, 0, size(_gone))").cast("long").alias("n_removed")]
+    more = [F.expr("coalesce(size(split(text, '\\n')), 0)").cast("long").alias("n_lines"), F.expr("if(_lines_gone is null or text is null, 0, size(_lines_gone))").cast("long").alias("n_removed")]
     return df.select(*out, *(more if counts else []))
