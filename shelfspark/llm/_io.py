@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -24,8 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, once a session, whether or not it is installed there."""
+    """Let executors import this package, whether or not it is installed there, and bound their Arrow batches.
+
+    Texts may be long: batches of 16 MB keep a worker's memory small.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     if getattr(sc, "_shelfspark_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -46,7 +51,10 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, what)
+    at = time.monotonic()
     df.write.parquet(path)
+    if time.monotonic() - at > 10:
+        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that a large write was made from
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,8 +74,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     logarithm of the longest path. Edges stay distributed; each round is written to the shared folder.
     Null ends and self-loops are dropped; an empty input gives an empty result.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    e = saved(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null").where("u <> v").distinct()
+    e = saved(e, "edges")
+    # a set of edges that a round leaves as it was has the same size and sums of hashes
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+    before = mark(e)
     while True:
         # large star: each node's larger neighbours go to its smallest neighbour (itself included)
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -84,9 +95,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         after = saved(after, "edges")
-        changed = after.exceptAll(e).limit(1).count() or e.exceptAll(after).limit(1).count()
-        e = after
-        if not changed:
+        e, last, before = after, before, mark(after)
+        if before == last:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

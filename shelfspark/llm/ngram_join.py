@@ -3,9 +3,11 @@
 Two documents link when 100 * |x and y| >= percent * |x or y|. The join is exact:
 
 * Documents of equal sets are one class, named by the digest of the set; all that follows is on classes.
-* Sets that link share one of the first |x| - ceil(percent |x| / 100) + 1 shingles of any global order (prefix
-  filter). The order here is by hash, except that the most frequent shingles of the corpus come last, so that lines
-  and passages which many unlike documents share are in few prefixes. That list only steers the work.
+* Sets that link share k of the first |x| - ceil(percent |x| / 100) + k shingles of any global order (prefix
+  filter), with k about a twentieth of |x|. The order here is by hash, except that the most frequent shingles of the
+  corpus come last. So if less than k shingles of a prefix are common ones (in SEVERAL prefixes or more), its class
+  meets every partner on another shingle, and the common ones are left out for it: passages which unlike documents
+  share bring none of them together. Classes with more common ones keep them all.
 * A tile holds the classes of two neighbouring size bands that share such a shingle: sets that link are in one band
   or in neighbouring ones.
 * First each class is compared with two pivots of each of its tiles, which is linear in a group's size, and links are
@@ -35,7 +37,9 @@ N, PERCENT = 4, 85
 LONGS = 16
 #: Shingles of so many documents, at least, may come last in the order; so many of them at most.
 FREQUENT, MOST_FREQUENT = 200, 50_000
-SETS = "doc_id long, n int, c long, d long, prefix array<long>, bits array<long>"
+#: A shingle in the prefixes of so many classes is common.
+SEVERAL = 6
+SETS = "doc_id long, n int, k int, c long, d long, prefix array<long>, bits array<long>"
 
 
 def sets(col: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -103,36 +107,49 @@ def _signing(last: np.ndarray, n: int, percent: int):
                 rank = np.where(values[at] == x, by_value[at] + 1, 0)
             row = np.repeat(np.arange(len(size)), size)
             order = np.lexsort((x, rank, row)) if len(values) else np.arange(len(x))
-            length = np.where(size > 0, size - needed(size, percent) + 1, 0)
+            k = 1 + size // 20
+            length = np.where(size > 0, np.minimum(size, size - needed(size, percent) + k), 0)
             prefix = x[order][_text.ragged(of[:-1], length)].view(np.int64)
             bits = np.zeros((len(size), LONGS), np.uint64)
             h = _text.mix(x ^ np.uint64(0x5BD1E995))
-            np.bitwise_or.at(bits.ravel(), row * LONGS + (h % np.uint64(LONGS)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(32)) & np.uint64(63)))
+            np.bitwise_xor.at(bits.ravel(), row * LONGS + (h % np.uint64(LONGS)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(32)) & np.uint64(63)))
             ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array(size.astype(np.int32)), pa.array(c), pa.array(d),
+                    b.column("doc_id"), pa.array(size.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(c), pa.array(d),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * LONGS), pa.array(bits.ravel().view(np.int64))),
                 ],
-                ["doc_id", "n", "c", "d", "prefix", "bits"],
+                ["doc_id", "n", "k", "c", "d", "prefix", "bits"],
             )
 
     return run
 
 
+def _once(ids: pa.Array, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of texts of which neighbouring rows may be the same, and each row's number among them."""
+    i = ids.to_numpy()
+    new = np.ones(len(i), bool)
+    new[1:] = i[1:] != i[:-1]
+    _, off = _text.utf8(texts)
+    size = np.diff(off)
+    new[1:] |= size[1:] != size[:-1]
+    rows = np.flatnonzero(new)
+    return *sets(texts.take(pa.array(rows)), n), np.cumsum(new) - 1
+
+
 def _verifying(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.pieces(batches, "text_a"):
-            for b in _text.pieces([batch], "text_b"):
-                xa, oa = sets(b.column("text_a"), n)
-                xb, ob = sets(b.column("text_b"), n)
+        for batch in _text.pieces(batches, "text_a", 1 << 20):
+            for b in _text.pieces([batch], "text_b", 1 << 20):
                 ca, cb = b.column("a").to_numpy(), b.column("b").to_numpy()
+                xa, oa, ia = _once(b.column("doc_a"), b.column("text_a"), n)
+                xb, ob, ib = _once(b.column("doc_b"), b.column("text_b"), n)
                 # a doc_id may stand on several rows: only the class's own text counts
-                right = np.flatnonzero((digests(xa, oa)[0] == ca) & (digests(xb, ob)[0] == cb))
+                right = np.flatnonzero((digests(xa, oa)[0][ia] == ca) & (digests(xb, ob)[0][ib] == cb))
                 ok = []
                 for i in right.tolist():
-                    x, y = xa[oa[i] : oa[i + 1]], xb[ob[i] : ob[i + 1]]
+                    x, y = xa[oa[ia[i]] : oa[ia[i] + 1]], xb[ob[ib[i]] : ob[ib[i] + 1]]
                     at = np.searchsorted(y, x)
                     at[at == len(y)] = 0
                     common = int((y[at] == x).sum())
@@ -151,7 +168,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     ids = _io.bounded(p.select(F.col("doc_a").alias("doc_id")).union(p.select("doc_b")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     both = p.join(texts.withColumnsRenamed({"doc_id": "doc_a", "text": "text_a"}), "doc_a").join(texts.withColumnsRenamed({"doc_id": "doc_b", "text": "text_b"}), "doc_b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifying(n, percent), "a long, b long").distinct()
+    return both.select("a", "b", "doc_a", "text_a", "doc_b", "text_b").sortWithinPartitions("doc_b", "doc_a").mapInArrow(_verifying(n, percent), "a long, b long").distinct()
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -162,20 +179,23 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     full = signed.where("n > 0")
     # equal sets have equal columns
     classes = _io.saved(
-        full.groupBy("c", "d").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")).where("doc is not null"),
+        full.groupBy("c", "d").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("k").alias("k"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")).where("doc is not null"),
         "classes",
     )
-    listed = classes.select("c", "n", F.explode("prefix").alias("x"))
-    many = listed.groupBy("x").agg(F.count("*").alias("times")).where("times > 1").select("x")
+    listed = classes.select("c", "n", "k", F.explode("prefix").alias("x"))
+    many = listed.groupBy("x").agg(F.count("*").alias("times")).where("times > 1")
+    met = _io.saved(listed.join(many, "x"), "met")
+    full_of = met.where(F.col("times") >= SEVERAL).groupBy("c", "k").agg(F.count("*").alias("common")).where("common >= k").select("c", F.lit(True).alias("keeps"))
+    keys = met.join(full_of, "c", "left").where((F.col("times") < SEVERAL) | F.col("keeps")).select("c", "n", "x")
     # a band ends where sets are too large to link with its smallest; a class is in its own tile and the one below
     band = f"cast(floor(ln(n) / {1e-9 - float(np.log(percent / 100))!r}) as int)"
-    tiles = _io.saved(listed.join(many, "x", "left_semi").withColumn("tile", F.explode(F.expr(f"array({band}, {band} - 1)"))), "tiles")
+    tiles = _io.saved(keys.withColumn("tile", F.explode(F.expr(f"array({band}, {band} - 1)"))), "tiles")
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pivots = tiles.groupBy("x", "tile").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     stars = tiles.join(pivots, ["x", "tile"]).select("c", "n", F.explode(F.array("low", "high")).alias("p")).where("c <> p").distinct()
     sizes = classes.select(F.col("c").alias("p"), F.col("n").alias("m"), F.col("bits").alias("other"))
     stars = stars.join(sizes, "p").where(near).join(classes.select("c", "bits"), "c").where(_bound("n", "m", "bits", "other", percent))
-    stars = stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
+    stars = _io.saved(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "stars")
     links = _io.saved(_verified(stars, classes, docs, n, percent), "links")
     comp = _io.saved(_io.components(links).withColumnsRenamed({"node": "c"}), "components")
     # tiles with more than one component
@@ -187,17 +207,21 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     one = open_.select("x", "tile", F.col("c").alias("a"), "n", "component", "bits")
     two = open_.select("x", "tile", F.col("c").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"), F.col("bits").alias("other"))
     rest = one.join(two, ["x", "tile"]).where(f"a < b and component <> of and {near}").where(_bound("n", "m", "bits", "other", percent)).select("a", "b").distinct()
-    more = _verified(rest.join(stars, ["a", "b"], "left_anti"), classes, docs, n, percent)
-    comp = _io.saved(_io.components(links.unionByName(more)).withColumnsRenamed({"node": "c"}), "components")
-    named = full.select("c", "doc_id").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    more = _io.saved(_verified(rest.join(stars, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
+    of = member.select("c", "component")
+    if more.limit(1).count():
+        # links between components connect these
+        ends = more.join(of.withColumnsRenamed({"c": "a", "component": "p"}), "a").join(of.withColumnsRenamed({"c": "b", "component": "q"}), "b")
+        top = _io.components(ends, "p", "q").withColumnsRenamed({"component": "top", "node": "component"})
+        of = of.join(top, "component", "left").select("c", F.coalesce("top", "component").alias("component"))
+    named = full.select("c", "doc_id").join(of, "c")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = classes.select("c").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c")).join(least, "component").select("c", "component_id")
+    of_class = of.join(least, "component").select("c", "component_id")
     out = signed.select("doc_id", "n", "c").join(of_class, "c", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.expr("if(n = 0, doc_id, component_id)").alias("component_id"))
 
 
 def _bound(n: str, m: str, x: str, y: str, percent: int) -> str:
-    """Whether two sets may link: each bit of one that the other lacks is a shingle that is not shared."""
-    lacks = lambda p, q: " + ".join(f"bit_count({p}[{i}] & ~{q}[{i}])" for i in range(LONGS))
-    common = f"least({n} - ({lacks(x, y)}), {m} - ({lacks(y, x)}))"
-    return f"{100 + percent} * {common} >= {percent} * ({n} + {m})"
+    """Whether two sets may link: each bit in which they differ is a shingle that is not shared."""
+    differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(LONGS))
+    return f"{100 + percent} * ({n} + {m} - ({differ})) >= {2 * percent} * ({n} + {m})"
