@@ -17,7 +17,7 @@ import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm import _io, _text
-from shelfspark.llm._chars import LETTER, NUMBER, SPACE, classes, code_points
+from shelfspark.llm._chars import LETTER, NUMBER, SPACE, classes
 from shelfspark.llm._vocab import Merges, Vocabulary
 
 LENGTH, END = 4096, 1

@@ -12,7 +12,7 @@ from shelfspark.llm._io import documents
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints_with_edits(documents(spark, sf_dir))
+    return fingerprints.fingerprinted(documents(spark, sf_dir))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * g + 1, 5))::int >> {0}) & 31) + 1, 1)"
+
+ORACLE_SQL: dict[str, str] = {
+    # a window goes if it is not the first of its words; a word goes if it is in such a window
+    "op2_substrings": f"""with d as (select doc_id, {_WORDS.format("text")} as ws from documents),
+  win as (select doc_id, s, array_to_string(ws[s + 1 : s + 20], ' ') as k from (select doc_id, ws, unnest(range(0, len(ws) - 19)) as s from d where len(ws) >= 20)),
+  later as (select doc_id, s from (select doc_id, s, row_number() over (partition by k order by doc_id, s) as r from win) where r > 1),
+  gone as (select distinct doc_id, unnest(range(s, s + 20)) as i from later),
+  w as (select doc_id, unnest(ws) as word, unnest(range(0, len(ws))) as i from d),
+  kept as (select w.doc_id, string_agg(word, ' ' order by w.i) as t, count(*) as n from w anti join gone on gone.doc_id = w.doc_id and gone.i = w.i group by 1)
+select d.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept on kept.doc_id = d.doc_id""",
+    # five hexadecimal digits are four digits of base 32
+    "op3_warc": f"""select page_id, strlen(p)::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda g: {" || ".join(_DIGIT.format(k) for k in (15, 10, 5, 0))}), '') as payload_digest,
+  case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to
+from (select page_id, coalesce(html, '') as p, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as top from pages)""",
+    "op8_ngram_join": f"""with recursive d as (select doc_id, {_WORDS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")} as ws from documents),
+  s as (select doc_id, unnest(case when len(ws) >= 4 then list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from d),
+  n as (select doc_id, count(*) as n from s group by 1),
+  l as (select x, y from (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2) p
+    join n p1 on p1.doc_id = x join n p2 on p2.doc_id = y where 100 * c >= 85 * (p1.n + p2.n - c)),
+  reach as (select doc_id as x, doc_id as y from d union select r.x, l.y from reach r join l on l.x = r.y)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, (select min(y) from reach where reach.x = d.doc_id) as component_id from d left join n on n.doc_id = d.doc_id""",
+}
