@@ -121,7 +121,7 @@ def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int],
     """
     import ahocorasick
 
-    found = [np.zeros(max(0, len(w) - length + 1), bool) for _, w in docs]
+    found = [bytearray(max(0, len(w) - length + 1)) for _, w in docs]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     step = length - PHRASE + 1
     places: dict[tuple, list[tuple[tuple[int, int], int]]] = {}
@@ -130,18 +130,21 @@ def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int],
         # any window of a passage holds a phrase that starts at a multiple of step
         for at in range(0, len(codes) - PHRASE + 1, step):
             places.setdefault(tuple(codes[at : at + PHRASE]), []).append((name, at))
-    if not places:
-        return found
-    for phrase, where in places.items():
-        automaton.add_word(phrase, where)
-    automaton.make_automaton()
+    if places:
+        for phrase, where in places.items():
+            automaton.add_word(phrase, where)
+        automaton.make_automaton()
     for (doc, w), flags in zip(docs, found):
-        if len(w) < length:
+        if not places or not flags:
             continue
         done = set()
         for end, where in automaton.iter(tuple((w >> np.uint64(33)).astype(np.int64).tolist())):
+            at_doc = end - PHRASE + 1
             for name, at in where:
-                shift = end - PHRASE + 1 - at  # the passage's first word would be the document's word ``shift``
+                # nothing is left to find where all windows around the phrase are known already
+                if flags.find(0, max(0, at_doc - step + 1), at_doc + 1) < 0:
+                    break
+                shift = at_doc - at  # the passage's first word would be the document's word ``shift``
                 if (name, shift) in done:
                     continue
                 done.add((name, shift))
@@ -150,8 +153,8 @@ def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int],
                     continue
                 lo, hi = max(0, shift), min(len(w), shift + len(p))
                 for a, b in _same_runs(w[lo:hi], p[lo - shift : hi - shift], length):
-                    flags[lo + a : lo + b - length + 1] = True
-    return found
+                    flags[lo + a : lo + b - length + 1] = b"\1" * (b - length + 1 - a)
+    return [np.frombuffer(f, bool) for f in found]
 
 
 def covered(windows: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
@@ -165,8 +168,17 @@ def covered(windows: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
 LOCATED = "doc long, doc_id long, n_words long, n_removed long, kept_sha256 string, found array<int>, rest array<struct<s:int,u:long,v:long>>, text string"
 
 
-def _kept(words: list[bytes], gone: np.ndarray) -> str:
-    return hashlib.sha256(b" ".join(w for w, g in zip(words, gone.tolist()) if not g)).hexdigest()
+def _kept(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, gone: np.ndarray) -> list[str]:
+    """The digest of each row's words that stay, joined by one space."""
+    stay = np.flatnonzero(~gone)
+    size = e[stay] - s[stay] + 1
+    flat = np.append(data, np.uint8(32))[_text.ragged(s[stay], size)]
+    ends = np.cumsum(size)
+    flat[ends - 1] = 32
+    ends = np.concatenate([[0], ends])
+    cut = ends[np.searchsorted(stay, first)].tolist()
+    raw = flat.tobytes()
+    return [hashlib.sha256(raw[a : max(a, b - 1)]).hexdigest() for a, b in zip(cut[:-1], cut[1:])]
 
 
 def _streaming(length: int):
@@ -179,28 +191,31 @@ def _streaming(length: int):
         _, ps, _, pfirst, pw = _words(pa.array([r["text"] for r in owned.values()], pa.large_string()))
         passages = {k: (r["start"], pw[pfirst[i] : pfirst[i + 1]]) for i, (k, r) in enumerate(owned.items())}
         docs = [(r["doc"], w[first[i] : first[i + 1]]) for i, r in enumerate(texts)]
+        found = located(docs, passages, length)
+        gone = np.zeros(len(w), bool)
+        for i, windows in enumerate(found):
+            if windows.any():
+                gone[first[i] : first[i + 1]] = covered(windows, len(docs[i][1]), length)
+        digests = _kept(data, s, e, first, gone)
         out = []
-        for i, (r, windows) in enumerate(zip(texts, located(docs, passages, length))):
-            lo, hi = first[i], first[i + 1]
-            words = [data[a:b].tobytes() for a, b in zip(s[lo:hi].tolist(), e[lo:hi].tolist())]
-            gone = covered(windows, hi - lo, length)
+        for i, (r, windows) in enumerate(zip(texts, found)):
             rest = []
             if len(windows) and (places := marked.get(r["doc"])):
                 at = np.unique((np.array(places)[:, None] - np.arange(length - PHRASE + 1)).ravel())
                 at = at[(at >= 0) & (at < len(windows))]
                 at = at[~windows[at]]
-                own = w[lo:hi]
+                own = docs[i][1]
                 u = _text.Rolling(own, 0xC2B2AE3D27D4EB4F).spans(at, at + length).view(np.int64).tolist()
                 v = _text.Rolling(_text.mix(own + np.uint64(7))).spans(at, at + length).view(np.int64).tolist()
                 rest = [{"s": a, "u": x, "v": y} for a, x, y in zip(at.tolist(), u, v)]
-            out.append((r["doc"], r["doc_id"], hi - lo, int(gone.sum()), _kept(words, gone), np.flatnonzero(windows).tolist() if rest else [], rest, r["text"] if rest else None))
+            out.append((r["doc"], r["doc_id"], len(docs[i][1]), int(gone[first[i] : first[i + 1]].sum()), digests[i], np.flatnonzero(windows).tolist() if rest else [], rest, r["text"] if rest else None))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.struct([("s", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, kinds)], ["doc", "doc_id", "n_words", "n_removed", "kept_sha256", "found", "rest", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         size = 0
-        for b in _text.pieces(batches, "text"):
+        for b in _text.pieces(batches, "text", 1 << 20):
             for r in b.to_pylist():
                 if size > _text.PIECE and r["doc"] != rows[-1]["doc"]:
                     yield shard(rows)
@@ -218,14 +233,20 @@ def _finishing(length: int):
         for b in _text.pieces(batches, "text"):
             removed, digest = b.column("n_removed").to_pylist(), b.column("kept_sha256").to_pylist()
             data, s, e, first, _ = _words(b.column("text"))
+            gone = np.zeros(len(s), bool)
+            changed = []
             for i, more in enumerate(b.column("more").to_pylist()):
                 if more:
                     n = int(first[i + 1] - first[i])
                     windows = np.zeros(n, bool)
                     windows[[*b.column("found")[i].as_py(), *more]] = True
-                    gone = covered(windows, n, length)
-                    words = [data[x:y].tobytes() for x, y in zip(s[first[i] : first[i + 1]].tolist(), e[first[i] : first[i + 1]].tolist())]
-                    removed[i], digest[i] = int(gone.sum()), _kept(words, gone)
+                    gone[first[i] : first[i + 1]] = own = covered(windows, n, length)
+                    changed.append(i)
+                    removed[i] = int(own.sum())
+            if changed:
+                new = _kept(data, s, e, first, gone)
+                for i in changed:
+                    digest[i] = new[i]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
