@@ -16,8 +16,8 @@ then verified by edit distance. A line of n characters takes part with lines of
 of n - 1 as the longer.
 
 Cases: blank lines are no duplicates and stay; null text stays null, empty text stays empty; rows without a doc_id
-come last; rows of equal doc_id are judged alike, so that a repeated row keeps what the first keeps; a document whose
-lines all go has empty text; other columns are passed through; an empty table gives an empty result. Line breaks are \\n.
+come last; rows of equal doc_id and different texts are in the order of their texts' hash; a repeated row keeps what the
+first keeps; a document whose lines all go has empty text; other columns are passed through; an empty table gives an empty result. Line breaks are \\n.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from shelfspark.llm import _io
 
 EIGHTH = 8
-#: Stands for a missing doc_id: it sorts last.
-LAST = "9223372036854775807L"
+#: A document's name and place in the order: a missing doc_id sorts last, equal ones by their text's hash.
+DOC = "named_struct('id', coalesce(doc_id, 9223372036854775807L), 'text', xxhash64(text))"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc, its line numbers i (from 0) and lines that are not blank."""
-    d = docs.where("text is not null").select(F.expr(f"coalesce(doc_id, {LAST})").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    d = docs.where("text is not null").select(F.expr(DOC).alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return d.where("line rlike '[^ \\\\t-\\\\r]'")
 
 
@@ -86,7 +86,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     some = _recurring(keys, "half").select("at.doc", "at.i").distinct()
     # the candidates' own text, once more from the documents
     lists = _io.bounded(some.groupBy("doc").agg(F.collect_set("i").alias("wanted")), "candidates")
-    found = docs.select(F.expr(f"coalesce(doc_id, {LAST})").alias("doc"), "text").join(lists, "doc")
+    found = docs.select(F.expr(DOC).alias("doc"), "text").join(lists, "doc")
     wanted = found.select("doc", F.expr("filter(transform(split(text, '\\n'), (x, k) -> if(array_contains(wanted, k), named_struct('i', k, 'line', x), null)), x -> x is not null)").alias("x"))
     wanted = wanted.select("doc", F.explode("x").alias("x")).select("doc", "x.i", "x.line").dropDuplicates(["doc", "i"])
     gone = _io.saved(near(wanted), "near")
@@ -99,7 +99,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     """docs without the lines that go; ``counts`` adds n_lines and n_removed."""
     gone = removed_lines(docs).groupBy("doc").agg(F.collect_set("i").alias("_lines_gone")).withColumnRenamed("doc", "_lines_doc")
-    df = docs.withColumn("_lines_doc", F.expr(f"coalesce(doc_id, {LAST})")).join(_io.bounded(gone, "gone"), "_lines_doc", "left")
+    df = docs.withColumn("_lines_doc", F.expr(DOC)).join(_io.bounded(gone, "gone"), "_lines_doc", "left")
     kept = F.expr("if(_lines_gone is null, text, array_join(filter(split(text, '\\n'), (x, k) -> not array_contains(_lines_gone, k)), '\\n'))")
     out = [kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     more = [F.expr("coalesce(size(split(text, '\\n')), 0)").cast("long").alias("n_lines"), F.expr("if(_lines_gone is null or text is null, 0, size(_lines_gone))").cast("long").alias("n_removed")]

@@ -69,3 +69,10 @@ def test_awkward(awkward, empty):
 
 def test_nothing_runs_python(awkward):
     assert "Python" not in L.deduplicated(awkward[0])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_equal_id(spark):
+    rows = [(1, "first line\nsecond line"), (1, "first line\nanother one"), (1, "first line\nsecond line"), (2, "second lines")]
+    got = sorted(r["text"] for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # a repeated row keeps what the first keeps; the line that both texts of id 1 hold stays in one of them
+    assert got in (["", "another one", "first line\nsecond line", "first line\nsecond line"], ["", "first line\nanother one", "second line", "second line"])
