@@ -39,6 +39,8 @@ LONGS = 16
 FREQUENT, MOST_FREQUENT = 200, 50_000
 #: A shingle in the prefixes of so many classes is common.
 SEVERAL = 6
+#: One in so many tiles is looked through before all are.
+SAMPLED = 16
 SETS = "doc_id long, n int, k int, c long, d long, prefix array<long>, bits array<long>"
 
 
@@ -198,22 +200,20 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     stars = _io.saved(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "stars")
     links = _io.saved(_verified(stars, classes, docs, n, percent), "links")
     comp = _io.saved(_io.components(links).withColumnsRenamed({"node": "c"}), "components")
-    # tiles with more than one component
     member = classes.select("c", "n", "bits").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
     member = _io.saved(member, "members")
-    placed = tiles.select("x", "tile", "c").join(member.select("c", "component"), "c")
-    split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x", "tile")
-    open_ = _io.saved(tiles.select("x", "tile", "c").join(split, ["x", "tile"], "left_semi").join(member, "c"), "open")
-    one = open_.select("x", "tile", F.col("c").alias("a"), "n", "component", "bits")
-    two = open_.select("x", "tile", F.col("c").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"), F.col("bits").alias("other"))
-    rest = one.join(two, ["x", "tile"]).where(f"a < b and component <> of and {near}").where(_bound("n", "m", "bits", "other", percent)).select("a", "b").distinct()
-    more = _io.saved(_verified(rest.join(stars, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
+    # classes of different components: first in a sample of the tiles, which joins most of a group whose members share
+    # many of them, and then in all tiles that still hold more than one component
+    for one_in in (SAMPLED, 1):
+        more = _between(tiles.where(f"pmod(xxhash64(x), {one_in}) = 0"), member, band, percent)
+        more = _io.saved(_verified(more.join(stars, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
+        if more.limit(1).count():
+            of = member.select("c", "component")
+            ends = more.join(of.withColumnsRenamed({"c": "a", "component": "p"}), "a").join(of.withColumnsRenamed({"c": "b", "component": "q"}), "b")
+            top = _io.components(ends, "p", "q").withColumnsRenamed({"component": "top", "node": "component"})
+            member = member.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
+            member = _io.saved(member, "members")
     of = member.select("c", "component")
-    if more.limit(1).count():
-        # links between components connect these
-        ends = more.join(of.withColumnsRenamed({"c": "a", "component": "p"}), "a").join(of.withColumnsRenamed({"c": "b", "component": "q"}), "b")
-        top = _io.components(ends, "p", "q").withColumnsRenamed({"component": "top", "node": "component"})
-        of = of.join(top, "component", "left").select("c", F.coalesce("top", "component").alias("component"))
     named = full.select("c", "doc_id").join(of, "c")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = of.join(least, "component").select("c", "component_id")
@@ -221,6 +221,18 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.expr("if(n = 0, doc_id, component_id)").alias("component_id"))
 
 
+def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes that share a tile, are in different components and may link."""
+    placed = tiles.select("x", "tile", "c").join(member.select("c", "component"), "c")
+    split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x", "tile")
+    open_ = _io.saved(tiles.select("x", "tile", "c").join(split, ["x", "tile"], "left_semi").join(member, "c").withColumn("band", F.expr(band)), "open")
+    one = open_.select("x", "tile", "band", F.col("c").alias("a"), "n", "component", "bits")
+    two = open_.select("x", "tile", F.col("band").alias("band_b"), F.col("c").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"), F.col("bits").alias("other"))
+    # two of one band meet in two tiles: one is enough
+    apart = f"a < b and component <> of and tile = least(band, band_b) and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    return one.join(two, ["x", "tile"]).where(apart).where(_bound("n", "m", "bits", "other", percent)).select("a", "b").distinct()
+
+
 def _bound(n: str, m: str, x: str, y: str, percent: int) -> str:
     """Whether two sets may link: each bit in which they differ is a shingle that is not shared."""
     differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(LONGS))
