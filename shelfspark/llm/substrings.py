@@ -105,15 +105,6 @@ def _cutting(length: int):
     return run
 
 
-def _same_runs(x: np.ndarray, y: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Maximal runs of at least so many equal elements of two aligned sequences."""
-    same = np.zeros(len(x) + 2, np.int8)
-    same[1:-1] = x == y
-    step = np.diff(same)
-    a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    return [(i, j) for i, j in zip(a.tolist(), b.tolist()) if j - i >= least]
-
-
 def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int], tuple[int, np.ndarray]], length: int = LENGTH) -> list[np.ndarray]:
     """For each document (id, word hashes), whether the window at each word is in an earlier passage.
 
@@ -137,7 +128,7 @@ def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int],
     for (doc, w), flags in zip(docs, found):
         if not places or not flags:
             continue
-        done = set()
+        known: dict[tuple, int] = {}  # up to which word of the document a passage at a shift has been compared
         for end, where in automaton.iter(tuple((w >> np.uint64(33)).astype(np.int64).tolist())):
             at_doc = end - PHRASE + 1
             for name, at in where:
@@ -145,14 +136,19 @@ def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int],
                 if flags.find(0, max(0, at_doc - step + 1), at_doc + 1) < 0:
                     break
                 shift = at_doc - at  # the passage's first word would be the document's word ``shift``
-                if (name, shift) in done:
+                if known.get((name, shift), -1) > end:
                     continue
-                done.add((name, shift))
                 start, p = passages[name]
                 if not (name[0] < doc or (name[0] == doc and start < shift)):
                     continue
                 lo, hi = max(0, shift), min(len(w), shift + len(p))
-                for a, b in _same_runs(w[lo:hi], p[lo - shift : hi - shift], length):
+                same = (w[lo:hi] == p[lo - shift : hi - shift]).tobytes()
+                # the run of equal words around the phrase
+                a = same.rfind(0, 0, at_doc - lo) + 1
+                b = same.find(0, at_doc - lo)
+                b = len(same) if b < 0 else b
+                known[name, shift] = lo + max(b, end + 1 - lo)
+                if b - a >= length:
                     flags[lo + a : lo + b - length + 1] = b"\1" * (b - length + 1 - a)
     return [np.frombuffer(f, bool) for f in found]
 
