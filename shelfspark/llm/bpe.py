@@ -159,10 +159,19 @@ def _lexicon(uri: str) -> Lexicon:
 
 
 def frequent_words(docs: DataFrame, most: int = WORDS) -> list[str]:
-    """The words, split at white space, that occur most often in all texts: ``most`` of them at most."""
+    """The words, split at white space, that occur most often in all texts: ``most`` of them at most, whole classes of like frequency."""
     spaced = F.translate("text", "\n\t\r\x0b\x0c", "     ")
     counted = docs.select(F.explode(F.split(spaced, " ")).alias("w")).where("w <> '' and length(w) <= 40").groupBy("w").agg(F.count("*").alias("n"))
-    return [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(most).collect()]
+    counted = _io.saved(counted.where("n > 1"), "words")
+    # how many words have each order of frequency (a bounded table) tells from which on they fit
+    order = F.floor(F.log2("n") * 16)
+    room, least = most, None
+    for r in sorted(counted.groupBy(order.alias("o")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["o"]):
+        room -= r["k"]
+        if room < 0:
+            break
+        least = r["o"]
+    return [] if least is None else sorted(r["w"] for r in counted.where(order >= least).collect())
 
 
 def written_lexicon(docs: DataFrame, path: str, most: int = WORDS) -> str:
