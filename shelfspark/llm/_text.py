@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer document is a piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -71,6 +72,15 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows, in slices of about ``limit`` bytes of text."""
     for batch in batches:
@@ -80,6 +90,7 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = PIECE) ->
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
