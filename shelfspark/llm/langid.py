@@ -155,7 +155,7 @@ def sampled(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[dict[
 
 def predictor(f: Filters, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _text.pieces(batches, "text", 1 << 20):
+        for b in _text.pieces(batches, "text", 1 << 18):
             lang, score = predict(b.column("text"), f)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(lang, pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
 
