@@ -4,9 +4,12 @@ Each shingle's hash x goes through K universal permutations h(x) = (a x + b) mod
 upper 32 bits count; a signature holds the K least values. All of it is vectorised numpy over Arrow buffers.
 
 Near-duplicate classes: signatures are cut into bands of ROWS values; documents of an equal band are candidates. A
-band's documents are compared with two of them, the least and the greatest by digest, so that a group of copies makes
-two candidates for each member and not all pairs; exact Jaccard similarity of PERCENT percent confirms them, and links
-are contracted to components. A pair as similar as that shares a band with a chance of over 99.99 percent.
+band's documents are compared with two of them first, the least and the greatest by digest, so that a group of copies
+makes two candidates for each member and not all pairs; exact Jaccard similarity of PERCENT percent confirms them, and
+links are contracted to components. Then, in bands that still hold more than one component, documents of different
+components are compared (bitmaps bound the overlap, what passes is verified), and links are contracted again. So every
+pair that shares a band is compared or already connected; a pair of PERCENT percent shares one with a chance of over
+99.99 percent.
 
 A-Z count as a-z. Nulls, empty texts and texts without words have no shingle and the constant empty signature, whose
 likeness to itself is 1 and to any other 0. Texts with one to four words have one shingle, all their words.
@@ -29,6 +32,8 @@ K, WORDS, SEED = 128, 5, 20260101
 BANDS, ROWS, PERCENT = 25, 5, 80
 NONE = np.uint32(0xFFFFFFFF)
 BLOCK = 1 << 16
+#: So many bands are looked through before all are.
+SAMPLED = 2
 
 
 def permutations(k: int = K, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +202,23 @@ def _banding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(of).astype(np.int32)), pa.array(c), pa.array(d), pa.ListArray.from_arrays(at, pa.array(bands))], ["doc_id", "n", "c", "d", "bands"])
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _text.pieces(batches, "text"):
+        x, of = ngram_join.sets(b.column("text"), WORDS)
+        yield pa.RecordBatch.from_arrays([pa.array(ngram_join.digests(x, of)[0]), pa.array(np.diff(of).astype(np.int32)), ngram_join.bitmaps(x, of)], ["c", "n", "bits"])
+
+
+def _with_bits(member: DataFrame, tiles: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """member with size and bitmap of each class that shares a band with another component; null for the others."""
+    placed = tiles.select("x", "tile", "c").join(member, "c")
+    split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x", "tile")
+    open_ = placed.join(split, ["x", "tile"], "left_semi").select("c").distinct()
+    ids = _io.bounded(classes.join(open_, "c", "left_semi").select(F.col("doc").alias("doc_id")), "open")
+    # a doc_id may stand on several texts: those of other classes do not count, since c is of the text
+    made = docs.join(ids, "doc_id", "left_semi").mapInArrow(_bitmaps, "c long, n int, bits array<long>")
+    return _io.saved(member.join(made.dropDuplicates(["c"]), "c", "left"), "members")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id: the smallest doc_id of the document's near-duplicate class. One row for each doc_id.
 
@@ -209,10 +231,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = _io.saved(full.groupBy("c", "d").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "classes")
     banded = classes.select("c", F.posexplode("bands").alias("band", "h"))
     ends = banded.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    pairs = banded.join(ends, ["band", "h"]).select("c", F.explode(F.array("low", "high")).alias("p")).where("c <> p")
-    pairs = pairs.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-    comp = _io.components(ngram_join._verified(pairs, classes, docs, WORDS, PERCENT)).withColumnsRenamed({"node": "c"})
-    of_class = _io.saved(classes.select("c", "doc").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c")), "components")
+    tiles = _io.saved(banded.join(ends, ["band", "h"]).select(F.col("h").alias("x"), F.col("band").alias("tile"), "c", "low", "high"), "tiles")
+    stars = tiles.select("c", F.explode(F.array("low", "high")).alias("p")).where("c <> p")
+    stars = _io.saved(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "stars")
+    comp = _io.components(ngram_join._verified(stars, classes, docs, WORDS, PERCENT)).withColumnsRenamed({"node": "c"})
+    member = tiles.select("c").distinct().join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    member = _with_bits(_io.saved(member, "members"), tiles, classes, docs)
+    # in a few bands first, which joins most of a group whose members share many of them, and then in all
+    for bands in (SAMPLED, BANDS):
+        member = ngram_join.contracted(tiles.where(F.col("tile") < bands), member, stars, "tile", classes, docs, WORDS, PERCENT)
+    of_class = classes.select("c", "doc").join(member.select("c", "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    of_class = _io.saved(of_class, "components")
     first = of_class.groupBy("component").agg(F.min("doc").alias("class_id"))
     named = full.select("doc_id", "c").join(of_class.join(first, "component").select("c", "class_id"), "c").select("doc_id", "class_id")
     return named.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))

@@ -65,6 +65,15 @@ def digests(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c.view(np.int64), d.view(np.int64)
 
 
+def bitmaps(x: np.ndarray, of: np.ndarray) -> pa.ListArray:
+    """Each row's parity bitmap of hashed shingles, as LONGS longs."""
+    size = np.diff(of)
+    bits = np.zeros((len(size), LONGS), np.uint64)
+    h = _text.mix(x ^ np.uint64(0x5BD1E995))
+    np.bitwise_xor.at(bits.ravel(), np.repeat(np.arange(len(size)), size) * LONGS + (h % np.uint64(LONGS)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(32)) & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * LONGS), pa.array(bits.ravel().view(np.int64)))
+
+
 def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     """The least overlap that a set of n shingles has with any set it links with."""
     return (percent * n + 99) // 100
@@ -112,15 +121,12 @@ def _signing(last: np.ndarray, n: int, percent: int):
             k = 1 + size // 20
             length = np.where(size > 0, np.minimum(size, size - needed(size, percent) + k), 0)
             prefix = x[order][_text.ragged(of[:-1], length)].view(np.int64)
-            bits = np.zeros((len(size), LONGS), np.uint64)
-            h = _text.mix(x ^ np.uint64(0x5BD1E995))
-            np.bitwise_xor.at(bits.ravel(), row * LONGS + (h % np.uint64(LONGS)).astype(np.int64), np.uint64(1) << ((h >> np.uint64(32)) & np.uint64(63)))
             ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"), pa.array(size.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(c), pa.array(d),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * LONGS), pa.array(bits.ravel().view(np.int64))),
+                    bitmaps(x, of),
                 ],
                 ["doc_id", "n", "k", "c", "d", "prefix", "bits"],
             )
@@ -205,14 +211,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # classes of different components: first in a sample of the tiles, which joins most of a group whose members share
     # many of them, and then in all tiles that still hold more than one component
     for one_in in (SAMPLED, 1):
-        more = _between(tiles.where(f"pmod(xxhash64(x), {one_in}) = 0"), member, band, percent)
-        more = _io.saved(_verified(more.join(stars, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
-        if more.limit(1).count():
-            of = member.select("c", "component")
-            ends = more.join(of.withColumnsRenamed({"c": "a", "component": "p"}), "a").join(of.withColumnsRenamed({"c": "b", "component": "q"}), "b")
-            top = _io.components(ends, "p", "q").withColumnsRenamed({"component": "top", "node": "component"})
-            member = member.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
-            member = _io.saved(member, "members")
+        member = contracted(tiles.where(f"pmod(xxhash64(x), {one_in}) = 0"), member, stars, band, classes, docs, n, percent)
     of = member.select("c", "component")
     named = full.select("c", "doc_id").join(of, "c")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -221,6 +220,19 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.expr("if(n = 0, doc_id, component_id)").alias("component_id"))
 
 
+def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """member with those components made one between which classes of one tile link; pairs in ``known`` were compared before."""
+    more = _between(tiles, member, band, percent)
+    more = _io.saved(_verified(more.join(known, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
+    if not more.limit(1).count():
+        return member
+    of = member.select("c", "component")
+    ends = more.join(of.withColumnsRenamed({"c": "a", "component": "p"}), "a").join(of.withColumnsRenamed({"c": "b", "component": "q"}), "b")
+    top = _io.components(ends, "p", "q").withColumnsRenamed({"component": "top", "node": "component"})
+    member = member.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
+    return _io.saved(member, "members")
+
+
 def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that share a tile, are in different components and may link."""
     placed = tiles.select("x", "tile", "c").join(member.select("c", "component"), "c")

@@ -83,3 +83,35 @@ def test_classes(spark):
     got = {x["doc_id"]: x["class_id"] for x in P.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert (got[0], got[1], got[2], got[3]) == (0, 0, 0, 3)
     assert all(got[d] == d for d in got if d > 3)
+
+
+def test_classes_where_no_member_of_a_pair_is_a_pivot(spark):
+    """A family of documents that share bands and are just below the threshold, with planted pairs above it."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(1275)]
+    texts = []
+    for k in range(100):
+        # lines of a plane of 17 points a side: two meet once at most, so that most stay just below 0.8
+        line = [5 * (17 * j + (k // 17 * j + k) % 17) + 2 for j in range(15)]
+        for m, places in enumerate((line, line + r.sample(range(1275), 9))):
+            words = list(base)
+            for p in places:
+                words[p] = f"x{k}y{m}z{p}"
+            texts.append((2 * k + m, " ".join(words)))
+    sets = {d: shingles(t) for d, t in texts}
+    up = {d: d for d, _ in texts}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a in sets:
+        for b in range(a + 1, len(sets)):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    want = {d: root(d) for d in up}
+    assert len(set(want.values())) > 80
+    got = {x["doc_id"]: x["class_id"] for x in P.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want
