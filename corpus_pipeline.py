@@ -14,6 +14,8 @@ from shelfspark.llm import _io, langid, linededup, ngram_join, packing, pii
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this share of known n-grams a text is in none of the learned languages.
 LEAST_SCORE = 0.2
+#: Near duplicates: words in a shingle, and the least Jaccard similarity in percent (op8's contract has values of its own).
+WORDS, PERCENT = 5, 80
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -32,8 +34,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id. Documents without a doc_id stay."""
-    found = _io.saved(ngram_join.joined(docs), "groups")
+    """One document of each group of five-word Jaccard 0.8 stays: that with the smallest doc_id. Documents without a doc_id stay."""
+    found = _io.saved(ngram_join.joined(docs, WORDS, PERCENT), "groups")
     first = _io.bounded(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "first")
     kept = docs.join(first, "doc_id", "left_semi")
     if first.where("rows > 1").limit(1).count():

@@ -1,9 +1,11 @@
+import random
 import re
 
 import corpus_pipeline as C
 from shelfspark.llm import langid
 from tests.llm.test_linededup import brute as lines_brute
 from tests.llm.test_ngram_join import brute as join_brute
+from tests.llm.test_ngram_join import shingles
 from tests.llm.test_packing import check
 
 
@@ -41,3 +43,30 @@ def test_run_and_awkward(spark, awkward, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "b/documents.parquet"))
     assert C.run(spark, str(tmp_path / "b")).collect() == []
     assert len(C.STAGES) == 5 and langid.UND == "und"
+
+
+def test_near_duplicates_take_five_words_and_four_fifths(spark):
+    r = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        # 20 percent more text appended, and one word changed in 50, 40 and 30
+        texts += [base, base + [f"a{r.randrange(10**6)}" for _ in range(40)]]
+        texts += [[w if i % k else f"e{k}" for i, w in enumerate(base)] for k in (50, 40, 30)]
+    texts = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    s = {d: shingles(t, 5) for d, t in texts}
+    up = {d: d for d in s}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a in s:
+        for b in range(a + 1, len(s)):
+            if 10 * len(s[a] & s[b]) >= 8 * len(s[a] | s[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"] for x in C.near_duplicates(spark, docs, "").collect()}
+    assert got == {d for d in s if root(d) == d} and 1 not in got
