@@ -152,35 +152,55 @@ def cut(path: str, length: int, end: int):
 # ---- bin completion over a histogram -------------------------------------------------------------------------------
 
 
-def fillings(lengths: list[int], counts: dict[int, int], space: int, budget: int = 400) -> list[int]:
+def reachable(counts: dict[int, int], space: int) -> list[int]:
+    """By length: the sums up to ``space`` of pieces of at most that length, as the bits of a number."""
+    all_ = (1 << (space + 1)) - 1
+    out, bits = [1] * (space + 1), 1
+    for size in range(1, space + 1):
+        left, step = min(counts.get(size, 0), space // size), 1
+        while left > 0:
+            take = min(step, left)
+            bits |= (bits << (take * size)) & all_
+            left, step = left - take, 2 * step
+        out[size] = bits
+    return out
+
+
+def fillings(lengths: list[int], counts: dict[int, int], space: int, budget: int = 400, sums: list[int] | None = None) -> list[int]:
     """The filling of ``space`` with the least waste that was found: lengths in descending order, none used too often.
 
     lengths: those with a count, ascending. The incumbent is best fit: always the largest length that fits. Branch and
-    bound goes on from it over the next smaller choices: a branch ends when the space is filled, or when all that is
-    left cannot fill more than the incumbent does. A filling into which another length would fit is dominated and is
-    never kept, since the innermost choice is the largest that fits. ``budget`` bounds the nodes that are visited.
+    bound goes on from it over all smaller choices: a branch ends when the space is filled, or when the largest sum that
+    the remaining lengths reach in what is left (``sums``, see reachable(), of these counts or larger ones) cannot waste
+    less than the incumbent does. A filling into which another length would fit is dominated and is never kept.
+    ``budget`` bounds the nodes that are visited.
     """
     best, least = [], space
     nodes = 0
+    sums = sums or reachable(counts, space)
+
+    def waste(free: int, top: int) -> int:
+        return free + 1 - (sums[min(free, top)] & ((2 << free) - 1)).bit_length()
 
     def search(free: int, top: int, used: list[int]) -> bool:
         nonlocal best, least, nodes
         nodes += 1
         i = bisect_right(lengths, min(free, top)) - 1
-        tried = 0
+        full = True
         while i >= 0:
             size = lengths[i]
             if counts[size] > used.count(size):
-                used.append(size)
-                if search(free - size, size, used):
-                    return True
-                used.pop()
-                tried += 1
-                # fewer, smaller pieces: wider near the root
-                if tried >= max(2, 8 - 2 * len(used)) or nodes > budget:
+                full = False
+                # the first way down is best fit, whatever the bound says; smaller choices reach no more than this one
+                if best and waste(free, size) >= least:
                     break
+                if not best or waste(free - size, size) < least:
+                    used.append(size)
+                    if search(free - size, size, used):
+                        return True
+                    used.pop()
             i -= 1
-        if free < least and tried == 0:
+        if full and free < least:
             best, least = list(used), free
         return least == 0 or nodes > budget
 
@@ -192,16 +212,16 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[list[int
     """Sequences as (piece lengths, how many times), for all pieces of the histogram.
 
     The number of searches is bounded by the lengths, not by the pieces: each lays its sequence as often as its
-    scarcest length allows; so that short pieces are not spent while there are few, a step takes half of the scarcest
-    where more than one search would be needed anyway.
+    scarcest length allows.
     """
     counts = {k: v for k, v in histogram.items() if v > 0}
     lengths = sorted(counts)
+    sums = reachable(counts, length)
     out: list[tuple[list[int], int]] = []
     while lengths:
         top = lengths[-1]
         counts[top] -= 1
-        fill = fillings(lengths, counts, length - top)
+        fill = fillings(lengths, counts, length - top, sums=sums)
         counts[top] += 1
         sequence = [top, *fill]
         need = {x: sequence.count(x) for x in set(sequence)}

@@ -91,3 +91,19 @@ def test_small_cases_are_optimal():
 def test_filling_beats_best_fit():
     # best fit takes 7 and leaves 3; completion finds 5 + 5
     assert P.fillings([5, 7], {5: 2, 7: 1}, 10) == [5, 5]
+
+
+def test_completion_reaches_small_lengths_behind_many_larger_ones():
+    """Around 60, eight lengths from 39 to 32 waste more than 20 + 20 does."""
+    full = [(60, 20, 20), (39, 38, 23), (37, 36, 27), (35, 34, 31), (35, 33, 32)]
+    for n in (1, 1000):
+        sequences = P.plan({x: n * sum(s.count(x) for s in full) for s in full for x in s}, 100)
+        assert sum(t for _, t in sequences) == 5 * n
+
+
+def test_the_bound_is_above_every_sum():
+    counts = {3: 2, 5: 1, 9: 4}
+    sums = P.reachable(counts, 20)
+    for top in (2, 3, 5, 9, 20):
+        own = {3 * a + 5 * b + 9 * c for a in range(3) for b in range(2) for c in range(5) if (top >= 3 or not a) and (top >= 5 or not b) and (top >= 9 or not c)}
+        assert {k for k in range(21) if sums[top] >> k & 1} == {k for k in own if k <= 20}
