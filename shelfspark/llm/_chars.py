@@ -7,19 +7,20 @@ from functools import cache
 
 import numpy as np
 
-OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+OTHER, LETTER, NUMBER, SPACE, UNASSIGNED = 0, 1, 2, 3, 4
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 
 
 @cache
 def classes() -> np.ndarray:
-    """The class of every code point: letter (L*), number (N*), white space or other."""
-    out = np.zeros(0x110000, np.uint8)
+    """The class of every code point: letter (L*), number (N*), white space, unassigned in Python's Unicode, or other.
+
+    A tokenizer may follow a later Unicode, so what is unassigned here says nothing about what it is there.
+    """
     kind = {"L": LETTER, "N": NUMBER}
-    out[:0x32000] = [kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x32000)]
-    # the remaining planes hold no assigned letters or numbers beyond these ideograph blocks
-    out[0x32000:0x40000] = [kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x32000, 0x40000)]
+    of = {c: UNASSIGNED if c == "Cn" else kind.get(c[0], OTHER) for c in {unicodedata.category(chr(c)) for c in range(0x110000)}}
+    out = np.fromiter((of[unicodedata.category(chr(c))] for c in range(0x110000)), np.uint8, 0x110000)
     out[WHITE_SPACE] = SPACE
     return out
 

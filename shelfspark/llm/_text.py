@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer document is a piece of its own.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -40,7 +40,11 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any span of a sequence: prefix sums of x[i] * base**i, modulo 2**64."""
+    """Hashes of any span of a sequence of hashes: prefix sums of x[i] * base**i, modulo 2**64.
+
+    For spans of up to a few dozen elements that are spread over 64 bits themselves (phrases of words). Long sequences
+    over few values have collisions whatever the base; spans() is for those.
+    """
 
     def __init__(self, x: np.ndarray, base: int = 0x9E3779B97F4A7C15):
         n = len(x)
@@ -57,6 +61,36 @@ class Rolling:
         return mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def _keys(place: np.ndarray, lane: int) -> np.ndarray:
+    return mix((place.astype(U) * U(2) + U(lane + 1)) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
+#: Keys of the first places of a span, and what stands for each byte, by lane.
+_KEYS = [_keys(np.arange(1 << 12), lane) for lane in (0, 1)]
+_BYTES = [mix(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F) + U(lane)) for lane in (0, 1)]
+
+
+def spans(x: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hashes of spans that follow one another without overlap, of any length and any values (bytes, or 64-bit hashes).
+
+    Multilinear: the sum, modulo 2**64, of each value by a pseudo-random key of its place in the span. Unlike powers of
+    a base, keys have no relation among each other, so that no arrangement of few values makes sums agree. Two lanes.
+    """
+    if not len(start):
+        return np.zeros(0, U)
+    lo = start[0]
+    x = x[lo : end[-1]]
+    own, size = start - lo, end - start
+    place = np.arange(len(x), dtype=np.int64)
+    place -= np.repeat(own, np.diff(np.append(own, len(x))))
+    # what is between spans has places too, which don't count
+    y = _KEYS[lane][np.minimum(place, 4095, out=place)] if size.max() <= 4096 else _keys(place, lane)
+    y *= _BYTES[lane][x] if x.dtype.itemsize == 1 else x
+    sums = np.zeros(len(y) + 1, U)
+    np.cumsum(y, out=sums[1:])
+    return mix(sums[end - lo] - sums[own] + size.astype(U) * U(0xD6E8FEB86659FD93))
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes, and the offset of each row and of the end; null is as empty text."""
     if isinstance(col, pa.ChunkedArray):

@@ -1,94 +1,29 @@
-"""A growing vocabulary: from the 64-bit hash of a word to its token ids, looked up for whole arrays at once."""
+"""Token ids of whole columns of words: each distinct word of a batch is asked for once, and known by its own bytes."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
+from shelfspark.llm._chars import UNASSIGNED, classes
 from shelfspark.llm._text import ragged
 
+#: Words that a worker remembers, and the longest of them in bytes: its memory is bounded by both.
+REMEMBERED, LONGEST = 200_000, 64
 
-class Vocabulary:
-    """Open addressing over numpy arrays. It empties itself beyond ``most`` words, so that its memory is bounded."""
-
-    def __init__(self, most: int = 1_500_000):
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.size = 1 << 16
-        self.keys, self.vals = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
-        self.n = 0
-        self.start, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
-        self.ids, self.used = np.zeros(1 << 17, np.uint32), 0
-
-    def _slots(self, h: np.ndarray) -> np.ndarray:
-        return (h & np.uint64(self.size - 1)).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hash's word, or -1."""
-        at = self._slots(h)
-        got = self.keys[at]
-        out = np.where(got == h, self.vals[at], -1)
-        open_ = np.flatnonzero((got != h) & (got != 0))
-        at = at[open_]
-        while len(open_):
-            at = (at + 1) & (self.size - 1)
-            got, want = self.keys[at], h[open_]
-            hit = got == want
-            out[open_[hit]] = self.vals[at[hit]]
-            more = ~hit & (got != 0)
-            open_, at = open_[more], at[more]
-        return out
-
-    def _put(self, h: np.ndarray, v: np.ndarray) -> None:
-        at = self._slots(h)
-        while len(h):
-            free = np.flatnonzero(self.keys[at] == 0)
-            _, one = np.unique(at[free], return_index=True)
-            won = free[one]
-            self.keys[at[won]], self.vals[at[won]] = h[won], v[won]
-            rest = np.ones(len(h), bool)
-            rest[won] = False
-            h, v, at = h[rest], v[rest], at[rest]
-            at = np.where(self.keys[at] != 0, (at + 1) & (self.size - 1), at)
-
-    def add(self, h: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
-        """h: new and distinct."""
-        n = self.n + len(h)
-        while n > len(self.start):
-            self.start, self.length = np.concatenate([self.start, self.start]), np.concatenate([self.length, self.length])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[self.used : self.used + len(ids)] = ids
-        ends = np.cumsum(length)
-        self.start[self.n : n], self.length[self.n : n] = self.used + ends - length, length
-        if 2 * n > self.size:
-            full = self.keys != 0
-            keys, vals = self.keys[full], self.vals[full]
-            while 2 * n > self.size:
-                self.size *= 4
-            self.keys, self.vals = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
-            self._put(keys, vals)
-        self._put(h, np.arange(self.n, n, dtype=np.int32))
-        self.n, self.used = n, self.used + len(ids)
-
-    def encode(self, h: np.ndarray, unseen: Callable[[np.ndarray], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids one after another, and the number of ids of each. unseen(i): the ids of the words i."""
-        h = np.where(h == 0, np.uint64(1), h)
-        got = self.find(h)
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            keys, one = np.unique(h[new], return_index=True)
-            if self.n + len(keys) > self.most and self.n:
-                self.clear()
-                return self.encode(h, unseen)
-            found = unseen(new[one])
-            self.add(keys, np.array([len(x) for x in found], np.int64), np.array([y for x in found for y in x], np.uint32))
-            got[new] = self.find(h[new])
-        length = self.length[got].astype(np.int64)
-        return self.ids[ragged(self.start[got], length)], length
+
+@cache
+def tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,50 +34,98 @@ def byte_letters() -> dict[str, int]:
 
 
 class Merges:
-    """Byte-pair merges by rank, exact for single words, from a tokenizer's file.
-
-    Where the vocabulary marks word ends, the mark is the byte 0xFF, which is in no UTF-8 text, and joins the last
-    byte before all other merges.
-    """
-
-    def __init__(self, path: str):
-        import json
-
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        letter, mark = byte_letters(), model.get("end_of_word_suffix") or ""
-        vocab = model["vocab"]
-
-        def raw(token: str) -> bytes:
-            if mark and token.endswith(mark):
-                return bytes(letter[c] for c in token[: -len(mark)]) + b"\xff"
-            return bytes(letter[c] for c in token)
-
-        of = {b: c for c, b in letter.items()}
-        ranks = {bytes([b]): b for b in range(256)}
-        ids = [vocab.get(of[b], 0) for b in range(256)]
-        if mark:
-            for b in range(256):
-                ranks[bytes([b, 255])] = len(ids)
-                ids.append(vocab.get(of[b] + mark, 0))
-        for pair in model["merges"]:
-            token = "".join(pair if isinstance(pair, list) else pair.split(" "))
-            if (r := raw(token)) not in ranks:
-                ranks[r] = len(ids)
-                ids.append(vocab[token])
-        self.end = b"\xff" if mark else b""
-        self.ids = np.array(ids, np.uint32)
-        self.bytes = {i: (b[:-1] + b" " if mark and b.endswith(b"\xff") and len(b) > 1 else b) for b, i in ((r, ids[n]) for r, n in ranks.items())}
-        self.core = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    """Ids of single words by the merges of the tokenizer's own model. Remembers words until there are ``most`` of them."""
+
+    def __init__(self, path: str, most: int = REMEMBERED):
+        self.model, self.most = tokenizer(path).model, most
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.first, self.ids = array("q", [0]), array("I")
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        one, end = self.core.encode_single_piece, self.end
-        got = [one(w + end) for w in words]
-        flat = self.ids[np.array([r for x in got for r in x], np.int64)].tolist() if got else []
-        out, at = [], 0
-        for x in got:
-            out.append(flat[at : at + len(x)])
-            at += len(x)
-        return out
+        """The ids of each word."""
+        merged, letters = self.model.tokenize, self.letters
+        return [[t.id for t in merged(w.decode("latin-1").translate(letters))] if w else [] for w in words]
+
+    def arrays(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
+        if len(self.number) > self.most:
+            self.forget()
+        number, get = self.number, self.number.get
+        at = [get(w, -1) for w in words]
+        new = [i for i, k in enumerate(at) if k < 0]
+        long = []
+        for i, ids in zip(new, self.encode([words[i] for i in new])):
+            at[i] = len(self.first) - 1
+            self.ids.extend(ids)
+            self.first.append(len(self.ids))
+            if len(words[i]) <= LONGEST:
+                number[words[i]] = at[i]
+            else:
+                long.append(i)
+        first, k = np.array(self.first), np.array(at, np.int64)
+        n = first[k + 1] - first[k]
+        out = np.array(self.ids, np.uint32)[ragged(first[k], n)]
+        if long:
+            self.forget()
+        return out, n
+
+
+@cache
+def merges(path: str) -> Merges:
+    return Merges(path)
+
+
+def distinct(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each word, a span of ``data`` that begins where the one before it ends or later, and the words."""
+    if not len(start):
+        return np.zeros(0, np.int64), []
+    cuts = np.stack([start, end], 1).ravel().astype(np.int64)
+    # what is between words is an element of its own, between each two of them
+    spans = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+    coded = spans.dictionary_encode()
+    number = coded.indices.to_numpy()[0::2]
+    used = np.zeros(len(coded.dictionary), bool)
+    used[number] = True
+    return (np.cumsum(used) - 1)[number], coded.dictionary.filter(pa.array(used)).to_pylist()
+
+
+def encoded(data: bytes, start: np.ndarray, end: np.ndarray, ids_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All words' ids one after another, and the number of ids of each. ids_of: the same of distinct words."""
+    number, words = distinct(data, start, end)
+    flat, length = ids_of(words)
+    first, n = (np.cumsum(length) - length)[number], length[number]
+    return flat[ragged(first, n)], n
+
+
+def byte_offsets(codes: np.ndarray) -> np.ndarray:
+    """Where each code point (and the end) is in the text's UTF-8."""
+    out = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000), out=out[1:])
+    return out
+
+
+def beyond(texts: list[str | None], special: list[str]) -> list[int]:
+    """The texts that only the tokenizer itself can split: with a special token's string or an unassigned code point."""
+
+    def unassigned(t: str) -> bool:
+        return bool((classes()[np.frombuffer(t.encode("utf-32-le"), np.uint32)] == UNASSIGNED).any())
+
+    odd = unassigned("".join(t for t in texts if t and not t.isascii()))
+    return [i for i, t in enumerate(texts) if t and (any(x in t for x in special) or (odd and unassigned(t)))]
+
+
+def with_whole(ids: np.ndarray, of: np.ndarray, texts: list[str | None], whole: list[int], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """ids and the rows' offsets, with the rows ``whole`` encoded by the tokenizer."""
+    if not whole:
+        return ids, of
+    rows = [ids[a:b] for a, b in zip(of[:-1].tolist(), of[1:].tolist())]
+    t = tokenizer(path)
+    for i in whole:
+        rows[i] = np.array(t.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+    of = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(r) for r in rows], out=of[1:])
+    return np.concatenate(rows), of

@@ -2,17 +2,19 @@
 
 The most frequent words of the corpus are compiled, with their ids, into a minimal acyclic automaton: equal suffixes
 are one path. Each edge adds a number; their sum along a word is the word's number, by which its ids are found. The
-automaton is one file in the shared folder, which workers map into memory. Words that it lacks are merged exactly, by
-rank. Splitting, look-up and decoding work on whole Arrow batches.
+automaton is one file in the shared folder, which workers map into memory. It is asked for each distinct word of a
+batch; words that it lacks are merged exactly, by the model's merges. Splitting, look-up and decoding work on whole
+Arrow batches.
 
-Cases: null and empty texts have no ids and decode to the empty text; texts with a special token's string go through
-the tokenizer itself; repeated rows and columns other than doc_id and text don't matter; an empty table has an empty
+Cases: null and empty texts have no ids and decode to the empty text; texts with a special token's string, or with a
+code point that Python's Unicode lacks, go through the tokenizer itself; repeated rows and columns other than doc_id and text don't matter; an empty table has an empty
 lexicon and result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 
@@ -22,12 +24,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm import _io, _text
+from shelfspark.llm import _io, _text, _vocab
 from shelfspark.llm._chars import SPACE, classes
-from shelfspark.llm._vocab import Merges, Vocabulary
 from shelfspark.llm.packing import contractions
 
 WORDS = 30_000
+#: So many distinct words a task counts at once.
+TALLY = 100_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -158,10 +161,29 @@ def _lexicon(uri: str) -> Lexicon:
         return Lexicon(f.read_buffer())
 
 
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words split at white space with their counts. A tally that grows large is handed on and begun anew."""
+
+    def tally() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+
+    seen: Counter[bytes] = Counter()
+    for b in _text.pieces(batches, "text"):
+        data, off = _text.utf8(b.column("text"))
+        s, e, _ = _text.words(data, off)
+        number, words = _vocab.distinct(data.tobytes(), s, e)
+        for w, n in zip(words, np.bincount(number, minlength=len(words)).tolist()):
+            if len(w) <= _vocab.LONGEST:
+                seen[w] += n
+        if len(seen) > TALLY:
+            yield tally()
+            seen.clear()
+    yield tally()
+
+
 def frequent_words(docs: DataFrame, most: int = WORDS) -> list[str]:
     """The words, split at white space, that occur most often in all texts: ``most`` of them at most, whole classes of like frequency."""
-    spaced = F.translate("text", "\n\t\r\x0b\x0c", "     ")
-    counted = docs.select(F.explode(F.split(spaced, " ")).alias("w")).where("w <> '' and length(w) <= 40").groupBy("w").agg(F.count("*").alias("n"))
+    counted = docs.select("text").mapInArrow(_counting, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     counted = _io.saved(counted.where("n > 1"), "words")
     # how many words have each order of frequency (a bounded table) tells from which on they fit
     order = F.floor(F.log2("n") * 16)
@@ -187,7 +209,7 @@ def written_lexicon(docs: DataFrame, path: str, most: int = WORDS) -> str:
     where, name = fs.FileSystem.from_uri(uri)
     where.create_dir(name.rpartition("/")[0], recursive=True)
     with where.open_output_stream(name) as f:
-        f.write(compile_lexicon(zip(ordered, Merges(path).encode(ordered))))
+        f.write(compile_lexicon(zip(ordered, _vocab.merges(path).encode(ordered))))
     return uri
 
 
@@ -231,68 +253,58 @@ def contractions_in_rows(codes: np.ndarray, start: np.ndarray, edge: np.ndarray)
 
 
 @cache
-def _coder(path: str):
-    from tokenizers import Tokenizer
-
-    merges, t = Merges(path), Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    special = {i: x.content for i, x in t.get_added_tokens_decoder().items()}
-    n = max([*merges.bytes, *special]) + 1
-    tokens = [merges.bytes.get(i, b"") for i in range(n)]
-    for i, x in special.items():
-        tokens[i] = x.encode()
+def _decoder(path: str) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """The bytes of all tokens one after another with their starts and lengths; each id in decimal with a comma, in 8 bytes."""
+    t = _vocab.tokenizer(path)
+    letters = _vocab.byte_letters()
+    special = {i: x.content.encode() for i, x in t.get_added_tokens_decoder().items()}
+    of = {i: bytes(letters[c] for c in x) for x, i in t.get_vocab(with_added_tokens=False).items() if i not in special} | special
+    n = max(of, default=-1) + 1
+    tokens = [of.get(i, b"") for i in range(n)]
     length = np.array([len(x) for x in tokens], np.int64)
-    start = np.cumsum(length) - length
     decimal = np.zeros((n, 8), np.uint8)
     for i in range(n):
         s = f"{i},".encode()
         decimal[i, : len(s)] = np.frombuffer(s, np.uint8)
-    return Vocabulary(), merges, t, list(special.values()), (np.frombuffer(b"".join(tokens), np.uint8), start, length), decimal.view(np.uint64).ravel()
+    return (np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(length) - length, length), decimal.view(np.uint64).ravel()
 
 
 def encode(texts: list[str | None], path: str, lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all rows one after another, and the rows' offsets."""
-    vocabulary, merges, tokenizer, special, _, _ = _coder(path)
-    whole = [i for i, t in enumerate(texts) if t and any(x in t for x in special)]
+    """The ids of all rows one after another, and the rows' offsets. The lexicon is asked first, for each distinct word."""
+    merges = _vocab.merges(path)
+    whole = _vocab.beyond(texts, [t.content for t in _vocab.tokenizer(path).get_added_tokens_decoder().values()])
     skip = set(whole)
     plain = ["" if t is None or i in skip else t for i, t in enumerate(texts)]
     text = "".join(plain)
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     off = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in plain], out=off[1:])
-    if len(codes):
-        s, e, first = split(codes, off)
-    else:
-        s = e = np.zeros(0, np.int64)
-        first = np.zeros(len(texts) + 1, np.int64)
-
-    def unseen(i: np.ndarray) -> list[list[int]]:
-        words = [text[a:b].encode() for a, b in zip(s[i].tolist(), e[i].tolist())]
-        if lexicon is None:
-            return merges.encode(words)
+    none = np.zeros(0, np.int64)
+    s, e, first = split(codes, off) if len(codes) else (none, none, np.zeros(len(texts) + 1, np.int64))
+
+    def ids_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not lexicon:
+            return merges.arrays(words)
         number = lexicon.numbers(words)
         rest = np.flatnonzero(number < 0)
-        merged = dict(zip(rest.tolist(), merges.encode([words[j] for j in rest])))
-        return [merged[j] if k < 0 else lexicon.ids[lexicon.start[k] : lexicon.start[k + 1]].tolist() for j, k in enumerate(number.tolist())]
-
-    ids, length = vocabulary.encode(_text.Rolling(codes).spans(s, e), unseen) if len(s) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        own, count = merges.arrays([words[i] for i in rest.tolist()])
+        # the words' ids lie in the lexicon's, followed by those of the words it lacks
+        start, length = lexicon.start[np.maximum(number, 0)].astype(np.int64), np.zeros(len(words), np.int64)
+        known = number >= 0
+        length[known] = lexicon.start[number[known] + 1] - start[known]
+        start[rest], length[rest] = len(lexicon.ids) + np.cumsum(count) - count, count
+        return np.concatenate([lexicon.ids.astype(np.uint32), own])[_text.ragged(start, length)], length
+
+    at = _vocab.byte_offsets(codes)
+    ids, length = _vocab.encoded(text.encode(), at[s], at[e], ids_of)
     ends = np.zeros(len(s) + 1, np.int64)
     np.cumsum(length, out=ends[1:])
-    of = ends[first]
-    if not whole:
-        return ids, of
-    rows = [ids[of[i] : of[i + 1]] for i in range(len(texts))]
-    for i in whole:
-        rows[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-    of = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(r) for r in rows], out=of[1:])
-    return np.concatenate(rows), of
+    return _vocab.with_whole(ids, ends[first], texts, whole, path)
 
 
 def decode(ids: np.ndarray, of: np.ndarray, path: str) -> list[bytes]:
     """The text of each row of ids in UTF-8; bytes that are no UTF-8 become replacement characters."""
-    data, start, length = _coder(path)[4]
+    data, start, length = _decoder(path)[0]
     n = length[ids]
     flat = data[_text.ragged(start[ids], n)].tobytes()
     ends = np.zeros(len(ids) + 1, np.int64)
@@ -303,7 +315,7 @@ def decode(ids: np.ndarray, of: np.ndarray, path: str) -> list[bytes]:
 
 def decimals(ids: np.ndarray, of: np.ndarray, path: str) -> list[bytes]:
     """Each row's ids in decimal, joined by commas."""
-    wide = _coder(path)[5][ids].view(np.uint8)
+    wide = _decoder(path)[1][ids].view(np.uint8)
     kept = wide != 0
     ends = np.zeros(len(ids) + 1, np.int64)
     np.cumsum(kept.reshape(-1, 8).sum(1), out=ends[1:])

@@ -4,7 +4,7 @@ A document is its token ids and one end id. Only a document longer than a sequen
 rest. What is packed is the histogram of piece lengths (as many rows as a sequence has tokens, at most), so that the
 search does not grow with the corpus: around the largest open length, branch and bound enumerates undominated
 fillings of the space beside it, prunes those whose waste cannot beat the incumbent (the best-fit filling first), and
-lays as many equal sequences at once as the counts allow. Pieces get their places by their rank within their length,
+lays as many equal sequences at once as the counts allow. Each filling wastes as little as the pieces left allow. Pieces get their places by their rank within their length,
 counted in salted groups, so that no length's pieces meet in one task.
 
 Cases: null and empty texts are the end id alone; repeated rows are documents of their own; documents whose doc_id is
@@ -17,18 +17,18 @@ import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm import _io, _text
+from shelfspark.llm import _io, _text, _vocab
 from shelfspark.llm._chars import LETTER, NUMBER, SPACE, classes
-from shelfspark.llm._vocab import Merges, Vocabulary
 
 LENGTH, END = 4096, 1
+#: Bytes of text that are split at once.
+TEXT_BYTES = 1 << 18
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,21 +38,6 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
-@cache
-def _vocabulary(path: str) -> tuple[Vocabulary, Merges]:
-    return Vocabulary(), Merges(path)
-
-
 def contractions(codes: np.ndarray, start: np.ndarray) -> None:
     """Let tokens 's 't 'm 'd 're 've 'll, where a token starts with the apostrophe, end after their letters."""
     at = np.flatnonzero((codes[:-2] == 39) & start[:-2])
@@ -94,37 +79,22 @@ def _normal(t: str) -> str:
 def tokenised(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows one after another, and the rows' offsets.
 
-    Words are looked up in a vocabulary of what was met so far; new words are merged by rank. Texts that hold a special
-    token's string go through the tokenizer itself.
+    Words are split here, each distinct one of a batch is merged by the tokenizer's model. Texts with a special token's
+    string, or with a code point that Python's Unicode lacks, go through the tokenizer itself.
     """
-    vocabulary, merges = _vocabulary(path)
-    tokenizer = _tokenizer(path)
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    whole = [i for i, t in enumerate(texts) if t and "<|" in t and any(x in t for x in special)]
+    whole = _vocab.beyond(texts, [t.content for t in _vocab.tokenizer(path).get_added_tokens_decoder().values()])
     skip = set(whole)
     normal = ["" if t is None or i in skip else t.lower() if t.isascii() else _normal(t) for i, t in enumerate(texts)]
     text = "  ".join(normal) + "  "
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     off = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 2 for t in normal], out=off[1:])
     s, e, first = words_of(codes, off)
-    h = _text.Rolling(codes).spans(s, e)
-
-    def unseen(i: np.ndarray) -> list[list[int]]:
-        return merges.encode([text[a:b].encode() for a, b in zip(s[i].tolist(), e[i].tolist())])
-
-    ids, length = vocabulary.encode(h, unseen) if len(s) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    at = _vocab.byte_offsets(codes)
+    ids, length = _vocab.encoded(text.encode(), at[s], at[e], _vocab.merges(path).arrays)
     ends = np.zeros(len(s) + 1, np.int64)
     np.cumsum(length, out=ends[1:])
-    of = ends[first]
-    if not whole:
-        return ids, of
-    rows = [ids[of[i] : of[i + 1]] for i in range(len(texts))]
-    for i in whole:
-        rows[i] = np.array(tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-    of = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(r) for r in rows], out=of[1:])
-    return np.concatenate(rows), of
+    return _vocab.with_whole(ids, ends[first], texts, whole, path)
 
 
 def cut(path: str, length: int, end: int):
@@ -132,7 +102,7 @@ def cut(path: str, length: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
-        for b in _text.pieces(batches, "text", 1 << 20):
+        for b in _text.pieces(batches, "text", TEXT_BYTES):
             ids, of = tokenised(b.column("text").to_pylist(), path)
             out: list[tuple] = []
             for doc, lo, hi in zip(b.column("doc_id").to_pylist(), of[:-1].tolist(), of[1:].tolist()):
@@ -167,13 +137,15 @@ def reachable(counts: dict[int, int], space: int) -> list[int]:
 
 
 def fillings(lengths: list[int], counts: dict[int, int], space: int, budget: int = 400, sums: list[int] | None = None) -> list[int]:
-    """The filling of ``space`` with the least waste that was found: lengths in descending order, none used too often.
+    """A filling of ``space`` with the least waste there is: lengths in descending order, none used too often.
 
     lengths: those with a count, ascending. The incumbent is best fit: always the largest length that fits. Branch and
-    bound goes on from it over all smaller choices: a branch ends when the space is filled, or when the largest sum that
-    the remaining lengths reach in what is left (``sums``, see reachable(), of these counts or larger ones) cannot waste
-    less than the incumbent does. A filling into which another length would fit is dominated and is never kept.
-    ``budget`` bounds the nodes that are visited.
+    bound goes on from it, larger lengths first: a branch ends when the space is filled, or when the largest sum that the
+    remaining lengths reach in what is left (``sums``, see reachable(), of these counts or larger ones) cannot waste less
+    than the incumbent does. A filling into which another length would fit is dominated and is never kept.
+
+    Sums of larger counts than these are bounds that may not be met. So when ``budget`` nodes are visited, the sums of
+    just these counts are made, and completed() follows them to the least waste: the budget decides about time alone.
     """
     best, least = [], space
     nodes = 0
@@ -205,14 +177,32 @@ def fillings(lengths: list[int], counts: dict[int, int], space: int, budget: int
         return least == 0 or nodes > budget
 
     search(space, space, [])
+    if nodes > budget and least > 0:
+        other = completed(lengths, counts, space)
+        return other if sum(other) > sum(best) else best
     return best
 
 
+def completed(lengths: list[int], counts: dict[int, int], space: int) -> list[int]:
+    """The filling with the least waste that holds most of the largest lengths, by exact bounds.
+
+    Each step takes a length as often as the sums of the smaller ones allow the best total still to be reached, so that
+    no branch fails.
+    """
+    sums = reachable(counts, space)
+    free, out = sums[space].bit_length() - 1, []
+    for size in reversed(lengths[: bisect_right(lengths, space)]):
+        times = next(m for m in range(min(counts[size], free // size), -1, -1) if sums[size - 1] >> (free - m * size) & 1)
+        out += [size] * times
+        free -= times * size
+    return out
+
+
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[list[int], int]]:
     """Sequences as (piece lengths, how many times), for all pieces of the histogram.
 
-    The number of searches is bounded by the lengths, not by the pieces: each lays its sequence as often as its
-    scarcest length allows.
+    Around the largest length left, a filling of the rest is searched and laid as often as its scarcest length allows,
+    so that the number of searches is bounded by the lengths, not by the pieces.
     """
     counts = {k: v for k, v in histogram.items() if v > 0}
     lengths = sorted(counts)
@@ -221,7 +211,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[list[int
     while lengths:
         top = lengths[-1]
         counts[top] -= 1
-        fill = fillings(lengths, counts, length - top, sums=sums)
+        fill = fillings([x for x in lengths if counts[x]] if not counts[top] else lengths, counts, length - top, sums=sums)
         counts[top] += 1
         sequence = [top, *fill]
         need = {x: sequence.count(x) for x in set(sequence)}

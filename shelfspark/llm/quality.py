@@ -52,7 +52,6 @@ def features(col: pa.Array) -> dict[str, np.ndarray]:
     before = np.zeros(len(data) + 1, np.int64)
     np.cumsum(start, out=before[1:])
     width = before[e] - before[s]
-    roll = _text.Rolling(data)
     # lines with a word, by their start and end
     breaks = np.flatnonzero(data == 10)
     ls = np.unique(np.concatenate([off[:-1], breaks + 1]))
@@ -63,7 +62,7 @@ def features(col: pa.Array) -> dict[str, np.ndarray]:
     le = np.minimum(ends, off[row + 1])
     worded = np.searchsorted(s, le) > np.searchsorted(s, ls)
     ls, le, row = ls[worded], le[worded], row[worded]
-    dup = _repeats(row, roll.spans(ls, le))[0]
+    dup = _repeats(row, _text.spans(data, ls, le))[0]
     last = e[np.maximum(np.searchsorted(s, le) - 1, 0)] - 1
     ended = np.isin(data[last], np.frombuffer(b'.!?":;', np.uint8)) if len(last) else np.zeros(0, bool)
     # words of letters alone, but for one mark at the end
@@ -77,7 +76,7 @@ def features(col: pa.Array) -> dict[str, np.ndarray]:
     of = np.zeros(len(n) + 1, np.int64)
     np.cumsum(long, out=of[1:])
     at = np.arange(of[-1]) - np.repeat(of[:-1], long) + np.repeat(first[:-1], long)
-    w = _text.Rolling(roll.spans(s, e), 0xC2B2AE3D27D4EB4F)
+    w = _text.Rolling(_text.spans(data, s, e), 0xC2B2AE3D27D4EB4F)
     twice = _repeats(np.repeat(np.arange(len(n)), long), w.spans(at, at + 3))[1]
     covered = np.zeros(len(s) + 3, bool)
     for j in range(3):

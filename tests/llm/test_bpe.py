@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import regex
 from tokenizers import Tokenizer
@@ -78,15 +79,34 @@ def test_query(awkward, empty, byte_bpe):
     assert bpe.coded(empty).collect() == []
 
 
-def test_vocabulary_empties_itself():
-    import numpy as np
-
-    from shelfspark.llm._vocab import Vocabulary
-
-    v = Vocabulary(most=1000)
-    r = np.random.default_rng(2)
+def test_a_worker_remembers_few_words():
+    path = bpe.byte_tokenizer()
+    v, r = Merges(path, most=1000), random.Random(2)
     for _ in range(20):
-        h = r.integers(0, 4000, 700).astype(np.uint64) * np.uint64(1 << 40)
-        ids, n = v.encode(h, lambda i, h=h: [[int(h[k] >> np.uint64(40)), 7][: int(h[k] >> np.uint64(40)) % 3] for k in i])
-        want = [x for k in h.tolist() for x in [k >> 40, 7][: (k >> 40) % 3]]
-        assert ids.tolist() == want and v.n <= 1000
+        words = list({f" w{r.randrange(4000)}".encode() for _ in range(700)} | {b"long" * 100, b"a", b" "})
+        ids, n = v.arrays(words)
+        assert np.split(ids, np.cumsum(n))[:-1] != [] and [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == v.encode(words)
+        assert len(v.number) <= 1700
+
+
+def test_words_with_equal_polynomial_hashes():
+    """Two words of 1,024 letters whose sums of powers modulo 2**64 agree whatever the base."""
+    odd = lambda i: bin(i).count("1") % 2
+    a, b = ("".join("ab"[odd(i) ^ k] for i in range(1024)) for k in (0, 1))
+    for path, encode in ((bpe.byte_tokenizer(), lambda t, p: bpe.encode(t, p)), (packing.word_tokenizer(), packing.tokenised)):
+        t = Tokenizer.from_file(path)
+        ids, of = encode([a, b, f"{a} {b}"], path)
+        assert [ids[x:y].tolist() for x, y in zip(of[:-1], of[1:])] == [t.encode(x).ids for x in (a, b, f"{a} {b}")]
+
+
+def test_every_code_point():
+    """Each code point beside letters, digits, spaces and itself, as both tokenizers have it."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}{chr(c)}\n" for c in points[i : i + 512]) for i in range(0, len(points), 512)]
+    for path, encode in ((bpe.byte_tokenizer(), lambda t, p: bpe.encode(t, p)), (packing.word_tokenizer(), packing.tokenised)):
+        t = Tokenizer.from_file(path)
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
+            ids, of = encode(some, path)
+            for i, x in enumerate(t.encode_batch(some, add_special_tokens=False)):
+                assert ids[of[i] : of[i + 1]].tolist() == x.ids, hex(points[(at + i) * 512])

@@ -107,3 +107,25 @@ def test_the_bound_is_above_every_sum():
     for top in (2, 3, 5, 9, 20):
         own = {3 * a + 5 * b + 9 * c for a in range(3) for b in range(2) for c in range(5) if (top >= 3 or not a) and (top >= 5 or not b) and (top >= 9 or not c)}
         assert {k for k in range(21) if sums[top] >> k & 1} == {k for k in own if k <= 20}
+
+
+def test_fillings_waste_as_little_as_possible():
+    """Whatever the budget of nodes: the best sum of lengths by all subsets."""
+    r = random.Random(3)
+    for _ in range(300):
+        space = r.randint(1, 60)
+        counts = Counter(r.randint(2, 40) for _ in range(r.randint(1, 8)))
+        sums = {0}
+        for x, k in counts.items():
+            sums = {s + m * x for s in sums for m in range(k + 1) if s + m * x <= space}
+        for budget in (0, 3, 400):
+            got = P.fillings(sorted(counts), dict(counts), space, budget, P.reachable({x: 60 for x in counts}, space))
+            assert sum(got) == max(sums) and not Counter(got) - counts
+        got = P.completed(sorted(counts), dict(counts), space)
+        assert sum(got) == max(sums) and not Counter(got) - counts and got == sorted(got, reverse=True)
+
+
+def test_sequences_against_the_lower_bound(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    row = P.packed(df).selectExpr("count(distinct sequence_id) as used", "sum(length) as tokens").first()
+    assert row["used"] <= -(-row["tokens"] // P.LENGTH) + 2
