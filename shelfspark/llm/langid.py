@@ -4,9 +4,11 @@ A filter is a bit-sliced Bloom filter: each of its positions holds one bit for e
 n-gram's positions is the set of all languages that (may) contain it. For each document the bits are counted by
 language, the counts are corrected for the filter's false positives, and the highest count decides.
 
-Learning. The filters are fitted on a bounded sample of labelled rows: of each language about ``sample`` documents
-(drawn by a hash of doc_id at a rate that follows from the exact number of rows by language). From it come the most
-frequent n-grams, at most ``grams`` for each language. Rows with a null language or text are not learned from.
+Learning. The filters are fitted on a bounded sample of labelled rows: of each language's distinct texts the ``sample``
+of least hash, as long as they are ``SAMPLE_BYTES`` at most together; no single text above ``LONGEST_BYTES`` is learned
+from. The sample follows from the texts alone, so that null, equal or repeated doc_ids don't matter, and copies count
+once. From it come the most frequent n-grams, at most ``grams`` for each language. Rows with a null language or text are
+not learned from. A filter has 2 ** 20 positions at most, since three of them are taken from one 64-bit hash.
 
 Cases: null texts and texts without a letter give ``und`` and score 0; texts whose letters are in no filter give the
 language with the most learned documents and score 0; ties go to the language that comes first by name. With no
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.llm import _io, _text
@@ -30,6 +32,7 @@ from shelfspark.llm._chars import code_points, lowered
 
 N, HASHES, UND = 4, 3, "und"
 GRAMS, SAMPLE = 6000, 800
+SAMPLE_BYTES, LONGEST_BYTES = 16 << 20, 1 << 20
 
 
 @dataclass
@@ -140,22 +143,30 @@ def predict(col: pa.Array, f: Filters) -> tuple[list[str], np.ndarray]:
 
 
 def sampled(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[dict[str, list[str]], dict[str, int]]:
-    """About ``sample`` texts for each language (each row with that chance), and the number of rows by language."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """The ``sample`` distinct texts of least hash of each language, and the number of rows by language."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").withColumn("h", F.xxhash64("text"))
+    narrow = _io.saved(rows.select("lang", "h", F.octet_length("text").alias("size")), "labelled")
+    found = narrow.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return {}, {}
-    rate = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, sample / v))])
-    place = (F.xxhash64(F.lit("sample"), "doc_id").bitwiseAND((1 << 52) - 1)) / float(1 << 52)
-    out: dict[str, list[str]] = {}
-    for r in rows.where(place < rate[F.col("lang")]).select("lang", "text").collect():
-        out.setdefault(r["lang"], []).append(r["text"])
-    return out, counts
+    # twice as many as wanted, by an estimate of the distinct texts, and of them exactly the first ones
+    rate = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, 2 * sample / max(1, r["texts"])))])
+    place = F.col("h").bitwiseAND((1 << 52) - 1) / float(1 << 52)
+    few = narrow.where((place < rate[F.col("lang")]) & (F.col("size") <= LONGEST_BYTES)).groupBy("lang", "h").agg(F.min("size").alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.col("h").bitwiseAND((1 << 52) - 1), "h")
+    few = few.withColumns({"rank": F.row_number().over(order), "bytes": F.sum("size").over(order)})
+    few = few.where((F.col("rank") <= sample) & (F.col("bytes") <= SAMPLE_BYTES)).select("lang", "h")
+    texts = rows.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # ``sample`` rows a language
+    out: dict[str, list[str]] = {k: [] for k in counts}
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
+        out[r["lang"]].append(r["text"])
+    return {k: v for k, v in out.items() if v}, counts
 
 
 def predictor(f: Filters, carry: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _text.pieces(batches, "text", 1 << 18):
+        for b in _text.pieces(batches, "text"):
             lang, score = predict(b.column("text"), f)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(lang, pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
 
