@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,10 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Let executors import this package, whether or not it is installed there, and bound their Arrow batches.
 
-    Texts may be long: batches of 16 MB keep a worker's memory small.
+    Texts may be long: batches of 4 MB keep the memory of a worker, and of the executor that fills them, small.
     """
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     if getattr(sc, "_shelfspark_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -51,10 +50,7 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, what)
-    at = time.monotonic()
     df.write.parquet(path)
-    if time.monotonic() - at > 10:
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files that a large write was made from
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,12 +70,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     logarithm of the longest path. Edges stay distributed; each round is written to the shared folder.
     Null ends and self-loops are dropped; an empty input gives an empty result.
     """
+    def written(df: DataFrame) -> tuple[DataFrame, dict]:
+        # a set of edges that a round leaves as it was has the same size and sums of hashes, which are counted as it is written
+        mark = Observation()
+        out = saved(df.observe(mark, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")), "edges")
+        return out, mark.get
+
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null").where("u <> v").distinct()
-    e = saved(e, "edges")
-    # a set of edges that a round leaves as it was has the same size and sums of hashes
-    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    before = mark(e)
-    while True:
+    e, before = written(e)
+    while before["n"]:
         # large star: each node's larger neighbours go to its smallest neighbour (itself included)
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -94,8 +93,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u > v")
             .distinct()
         )
-        after = saved(after, "edges")
-        e, last, before = after, before, mark(after)
+        last, (e, before) = before, written(after)
         if before == last:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -112,3 +110,9 @@ def bounded(small: DataFrame, what: str) -> DataFrame:
     out = saved(small, what)
     size = int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(out) if size <= BROADCAST_BYTES else out
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that no column of the frames has, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)

@@ -17,7 +17,8 @@ of n - 1 as the longer.
 
 Cases: blank lines are no duplicates and stay; null text stays null, empty text stays empty; rows without a doc_id
 come last; rows of equal doc_id and different texts are in the order of their texts' hash; a repeated row keeps what the
-first keeps; a document whose lines all go has empty text; other columns are passed through; an empty table gives an empty result. Line breaks are \\n.
+first keeps; a document whose lines all go has empty text; other columns are passed through, whatever their names; an
+empty table gives an empty result. Line breaks are \\n. Very long texts take time in proportion to their lines.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ DOC = "named_struct('id', coalesce(doc_id, 9223372036854775807L), 'text', xxhash
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc, its line numbers i (from 0) and lines that are not blank."""
-    d = docs.where("text is not null").select(F.expr(DOC).alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    # a document's name is made before its lines are, once, so that no line carries the text
+    named = docs.where("text is not null").select(F.expr(DOC).alias("doc"), "text")
+    d = named.select("doc", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return d.where("line rlike '[^ \\\\t-\\\\r]'")
 
 
@@ -87,8 +90,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # the candidates' own text, once more from the documents
     lists = _io.bounded(some.groupBy("doc").agg(F.collect_set("i").alias("wanted")), "candidates")
     found = docs.select(F.expr(DOC).alias("doc"), "text").join(lists, "doc")
-    wanted = found.select("doc", F.expr("filter(transform(split(text, '\\n'), (x, k) -> if(array_contains(wanted, k), named_struct('i', k, 'line', x), null)), x -> x is not null)").alias("x"))
-    wanted = wanted.select("doc", F.explode("x").alias("x")).select("doc", "x.i", "x.line").dropDuplicates(["doc", "i"])
+    # a text is split once, and each line taken by its number
+    taken = "element_at(transform(array(split(text, '\n')), ls -> transform(wanted, k -> named_struct('i', k, 'line', ls[k]))), 1)"
+    wanted = found.select("doc", F.explode(F.expr(taken)).alias("x")).select("doc", "x.i", "x.line").dropDuplicates(["doc", "i"])
     gone = _io.saved(near(wanted), "near")
     # every occurrence but the earliest of a line, and all of a line with an earlier neighbour
     whole = distinct.select("h", "g", "n", "at").join(gone.select(F.struct(F.col("doc"), F.col("i")).alias("at"), F.lit(True).alias("gone")), "at", "left")
@@ -96,11 +100,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return occurrences.join(whole, ["h", "g", "n"]).where("gone or at.doc <> doc or at.i <> i").select("doc", "i")
 
 
+def _left_over(text: str, gone: str) -> str:
+    """SQL for text without the lines of the ascending numbers ``gone``: what is between two of them is taken in one piece."""
+    start, end = f"if(j = 0, 0, {gone}[j - 1] + 1)", f"if(j = size({gone}), size(ls), {gone}[j])"
+    runs = f"flatten(transform(sequence(0, size({gone})), j -> slice(ls, {start} + 1, {end} - {start})))"
+    return f"element_at(transform(array(split({text}, '\n')), ls -> array_join({runs}, '\n')), 1)"
+
+
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """docs without the lines that go; ``counts`` adds n_lines and n_removed."""
-    gone = removed_lines(docs).groupBy("doc").agg(F.collect_set("i").alias("_lines_gone")).withColumnRenamed("doc", "_lines_doc")
-    df = docs.withColumn("_lines_doc", F.expr(DOC)).join(_io.bounded(gone, "gone"), "_lines_doc", "left")
-    kept = F.expr("if(_lines_gone is null, text, array_join(filter(split(text, '\\n'), (x, k) -> not array_contains(_lines_gone, k)), '\\n'))")
-    out = [kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    more = [F.expr("coalesce(size(split(text, '\\n')), 0)").cast("long").alias("n_lines"), F.expr("if(_lines_gone is null or text is null, 0, size(_lines_gone))").cast("long").alias("n_removed")]
+    """docs without the lines that go; ``counts`` adds n_lines and n_removed, in place of columns of these names."""
+    doc, lines = _io.unused("lines_doc", docs), _io.unused("lines_gone", docs)
+    gone = removed_lines(docs.select("doc_id", "text")).groupBy(F.col("doc").alias(doc)).agg(F.array_sort(F.collect_set("i")).alias(lines))
+    df = docs.withColumn(doc, F.expr(DOC)).join(_io.bounded(gone, "gone"), doc, "left")
+    kept = F.expr(f"if({lines} is null or text is null, text, {_left_over('text', lines)})")
+    more = [F.expr("coalesce(size(split(text, '\n')), 0)").cast("long").alias("n_lines"), F.expr(f"if({lines} is null or text is null, 0, size({lines}))").cast("long").alias("n_removed")]
+    names = [c for c in docs.columns if not (counts and c.lower() in ("n_lines", "n_removed"))]
+    out = [kept.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in names]
     return df.select(*out, *(more if counts else []))

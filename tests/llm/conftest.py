@@ -24,8 +24,10 @@ def awkward(spark):
         (10, "same line\nsame line\nsame lime\nother"), (11, "a" * 70_000), (12, prose(r, 30_000)), (13, "<|endoftext|> it's 's <|startoftext|>"), (14, base), (14, base), (15, "!!! ### ???"),
         (None, prose(r, 40)), (16, "x y z\u0085\x1c\x0b\x0c\r\n"),
     ]
-    rows = [(d, t, "en", "s", len(t or ""), "X", 1, [1], True, "h") for d, t in texts]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, doc string, i int, bits array<int>, halo boolean, task string"), texts
+    inside = ["tie", "key", "c", "n", "h", "at", "pii_pattern", "pii_found", "pii_made", "_pii_found", "PII_MADE_1", "lines_doc", "lines_gone", "_lines_gone", "n_lines", "n_removed", "length", "row", "salt", "place", "size", "m", "k"]
+    rows = [(d, t, "en", "s", len(t or ""), "X", 1, [1], True, "h", *["keep"] * len(inside)) for d, t in texts]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, doc string, i int, bits array<int>, halo boolean, task string"
+    return spark.createDataFrame(rows, ", ".join([kinds, *(f"`{c}` string" for c in inside)])), texts
 
 
 @pytest.fixture(scope="session")

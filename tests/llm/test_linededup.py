@@ -76,3 +76,21 @@ def test_rows_of_equal_id(spark):
     got = sorted(r["text"] for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     # a repeated row keeps what the first keeps; the line that both texts of id 1 hold stays in one of them
     assert got in (["", "another one", "first line\nsecond line", "first line\nsecond line"], ["", "first line\nanother one", "second line", "second line"])
+
+
+def test_a_million_lines_in_one_document(spark):
+    """Half of them repeat; what goes is found by number, not by search."""
+    lines = [f"line number {i}, with some words of its own {i * i}" for i in range(100_000)]
+    many = [x for i in range(500_000) for x in (f"{i * 7919} unique {i}", "a line that returns again and again")]
+    rows = [(1, "\n".join(many)), (2, "\n".join(lines[:10] + ["a line that returns again and again"] + lines[10:]))]
+    got = {r["doc_id"]: r for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert got[1]["n_lines"] == 1_000_000 and got[1]["n_removed"] >= 499_999
+    assert "a line that returns" not in got[2]["text"] and got[1]["text"].count("a line that returns") == 1
+
+
+def test_columns_of_any_name(awkward):
+    df, texts = awkward
+    got = L.deduplicated(df)
+    assert got.columns == df.columns and {r["lines_gone"] for r in got.collect()} == {"keep"}
+    counted = L.deduplicated(df, counts=True)
+    assert sorted(counted.columns) == sorted(df.columns) and {r["n_lines"] for r in counted.select("n_lines").distinct().collect()} != {"keep"}
