@@ -14,10 +14,14 @@ earlier: in a document with a smaller doc_id, or before it in the same one. Wind
    windows are few; their digests are aggregated to their earliest occurrence. A window's earliest occurrence is
    either an owner's or among the rest itself, so that nothing is missed.
 
+A seed that holds more than its share of all occurrences is dealt to several tasks where occurrences meet their owner.
+Words are compared by their 64-bit hashes, windows of the rest by two hashes of their words'.
+
 Cases: null and empty texts have no words and keep the digest of the empty text; a text of fewer than ``length`` words
-has no window and keeps all; rows of equal doc_id are told apart only by their words, and each is judged against
-documents with smaller ids and itself; rows with a null doc_id come last; an empty table gives an empty result; columns
-other than doc_id and text are ignored. Very long texts are streamed in whole.
+has no window and keeps all; rows of equal doc_id are documents of their own, each judged against documents with smaller
+ids and itself (so equal rows have equal results); rows with a null doc_id come after doc_ids below 2 ** 62, in the order
+of a hash of their texts; an empty table gives an empty result; columns other than doc_id and text are ignored. Very long
+texts are streamed in whole.
 """
 
 from __future__ import annotations
@@ -33,14 +37,17 @@ from pyspark.sql import functions as F
 from shelfspark.llm import _io, _text
 
 LENGTH, PHRASE, PIECE = 20, 8, 64
-LAST = "9223372036854775807L"
+#: Text of the documents and passages of one automaton.
+SHARD_BYTES = 1 << 20
+#: A document's place in the order; its texts' hash tells rows of equal doc_id apart.
+DOC = "coalesce(doc_id, 4611686018427387904L + (xxhash64(coalesce(text, '')) & 4611686018427387903L))"
 MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, off = _text.utf8(col)
     s, e, first = _text.words(data, off)
-    return data, s, e, first, _text.Rolling(data).spans(s, e)
+    return data, s, e, first, _text.spans(data, s, e)
 
 
 def _least(x: np.ndarray, k: int, f=np.minimum) -> np.ndarray:
@@ -94,28 +101,31 @@ def _cutting(length: int):
         for b in _text.pieces(batches, "text"):
             data, s, e, first, _ = _words(b.column("text"))
             out: list[tuple] = []
-            for i, (doc, wanted) in enumerate(zip(b.column("doc").to_pylist(), b.column("wanted").to_pylist())):
+            for i, (doc, tie, wanted) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", "tie", "wanted")))):
                 for j in wanted:
                     lo, hi = max(0, j * PIECE - before), min(first[i + 1] - first[i], (j + 1) * PIECE + after)
                     if lo < hi:
-                        out.append((doc, j, lo, data[s[first[i] + lo] : e[first[i] + hi - 1]].tobytes().decode()))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, kinds)], ["doc", "piece", "start", "text"])
+                        out.append((doc, tie, j, lo, data[s[first[i] + lo] : e[first[i] + hi - 1]].tobytes().decode()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], ["owner", "tie", "piece", "start", "text"])
 
     return run
 
 
-def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int], tuple[int, np.ndarray]], length: int = LENGTH) -> list[np.ndarray]:
-    """For each document (id, word hashes), whether the window at each word is in an earlier passage.
+Name = tuple[int, int, int]
+
 
-    passages: by owner and piece, where it starts in its owner, and its word hashes. One automaton holds all of them.
+def located(docs: list[tuple[int, int, np.ndarray]], passages: dict[Name, tuple[int, np.ndarray]], length: int = LENGTH) -> list[np.ndarray]:
+    """For each document (id, its text's hash, word hashes), whether the window at each word is in an earlier passage.
+
+    passages: by owner (id, hash) and piece, where it starts in its owner, and its word hashes. One automaton holds all.
     """
     import ahocorasick
 
-    found = [bytearray(max(0, len(w) - length + 1)) for _, w in docs]
+    found = [bytearray(max(0, len(w) - length + 1)) for _, _, w in docs]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     step = length - PHRASE + 1
-    places: dict[tuple, list[tuple[tuple[int, int], int]]] = {}
+    places: dict[tuple, list[tuple[Name, int]]] = {}
     for name, (_, w) in passages.items():
         codes = (w >> np.uint64(33)).astype(np.int64).tolist()
         # any window of a passage holds a phrase that starts at a multiple of step
@@ -125,7 +135,7 @@ def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int],
         for phrase, where in places.items():
             automaton.add_word(phrase, where)
         automaton.make_automaton()
-    for (doc, w), flags in zip(docs, found):
+    for (doc, tie, w), flags in zip(docs, found):
         if not places or not flags:
             continue
         known: dict[tuple, int] = {}  # up to which word of the document a passage at a shift has been compared
@@ -139,7 +149,7 @@ def located(docs: list[tuple[int, np.ndarray]], passages: dict[tuple[int, int],
                 if known.get((name, shift), -1) > end:
                     continue
                 start, p = passages[name]
-                if not (name[0] < doc or (name[0] == doc and start < shift)):
+                if not (name[0] < doc or (name[:2] == (doc, tie) and start < shift)):
                     continue
                 lo, hi = max(0, shift), min(len(w), shift + len(p))
                 same = (w[lo:hi] == p[lo - shift : hi - shift]).tobytes()
@@ -161,7 +171,7 @@ def covered(windows: np.ndarray, n: int, length: int = LENGTH) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-LOCATED = "doc long, doc_id long, n_words long, n_removed long, kept_sha256 string, found array<int>, rest array<struct<s:int,u:long,v:long>>, text string"
+LOCATED = "doc long, tie long, doc_id long, n_words long, n_removed long, kept_sha256 string, found array<int>, rest array<struct<s:int,u:long,v:long>>, text string"
 
 
 def _kept(data: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, gone: np.ndarray) -> list[str]:
@@ -182,38 +192,44 @@ def _streaming(length: int):
         """rows: in order of doc; kind 0 is a text, 1 the places of its seeds that others own, 2 a passage."""
         texts = [r for r in rows if r["kind"] == 0]
         marked = {r["doc"]: r["places"] for r in rows if r["kind"] == 1}
-        owned = {(r["owner"], r["piece"]): r for r in rows if r["kind"] == 2}
+        owned = {(r["owner"], r["tie"], r["piece"]): r for r in rows if r["kind"] == 2}
         data, s, e, first, w = _words(pa.array([r["text"] for r in texts], pa.large_string()))
         _, ps, _, pfirst, pw = _words(pa.array([r["text"] for r in owned.values()], pa.large_string()))
         passages = {k: (r["start"], pw[pfirst[i] : pfirst[i + 1]]) for i, (k, r) in enumerate(owned.items())}
-        docs = [(r["doc"], w[first[i] : first[i + 1]]) for i, r in enumerate(texts)]
-        found = located(docs, passages, length)
+        docs = [(r["doc"], r["tie"], w[first[i] : first[i + 1]]) for i, r in enumerate(texts)]
+        found = [f.copy() for f in located(docs, passages, length)]
         gone = np.zeros(len(w), bool)
-        for i, windows in enumerate(found):
-            if windows.any():
-                gone[first[i] : first[i + 1]] = covered(windows, len(docs[i][1]), length)
-        digests = _kept(data, s, e, first, gone)
-        out = []
+        rests = []
         for i, (r, windows) in enumerate(zip(texts, found)):
-            rest = []
+            own, rest = docs[i][2], []
             if len(windows) and (places := marked.get(r["doc"])):
                 at = np.unique((np.array(places)[:, None] - np.arange(length - PHRASE + 1)).ravel())
                 at = at[(at >= 0) & (at < len(windows))]
                 at = at[~windows[at]]
-                own = docs[i][1]
-                u = _text.Rolling(own, 0xC2B2AE3D27D4EB4F).spans(at, at + length).view(np.int64).tolist()
-                v = _text.Rolling(_text.mix(own + np.uint64(7))).spans(at, at + length).view(np.int64).tolist()
-                rest = [{"s": a, "u": x, "v": y} for a, x, y in zip(at.tolist(), u, v)]
-            out.append((r["doc"], r["doc_id"], len(docs[i][1]), int(gone[first[i] : first[i + 1]].sum()), digests[i], np.flatnonzero(windows).tolist() if rest else [], rest, r["text"] if rest else None))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.struct([("s", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, kinds)], ["doc", "doc_id", "n_words", "n_removed", "kept_sha256", "found", "rest", "text"])
+                u = _text.Rolling(own, 0xC2B2AE3D27D4EB4F).spans(at, at + length).view(np.int64)
+                v = _text.Rolling(_text.mix(own + np.uint64(7))).spans(at, at + length).view(np.int64)
+                # what the document itself holds earlier goes here and now
+                order = np.lexsort((at, v, u))
+                again = np.zeros(len(at), bool)
+                again[order[1:]] = (u[order][1:] == u[order][:-1]) & (v[order][1:] == v[order][:-1])
+                windows[at[again]] = True
+                rest = [{"s": a, "u": x, "v": y} for a, x, y in zip(at[~again].tolist(), u[~again].tolist(), v[~again].tolist())]
+            rests.append(rest)
+            if windows.any():
+                gone[first[i] : first[i + 1]] = covered(windows, len(own), length)
+        digests = _kept(data, s, e, first, gone)
+        out = []
+        for i, (r, windows, rest) in enumerate(zip(texts, found, rests)):
+            out.append((r["doc"], r["tie"], r["doc_id"], len(docs[i][2]), int(gone[first[i] : first[i + 1]].sum()), digests[i], np.flatnonzero(windows).tolist() if rest else [], rest, r["text"] if rest else None))
+        kinds = [*[pa.int64()] * 5, pa.string(), pa.list_(pa.int32()), pa.list_(pa.struct([("s", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 9, kinds)], ["doc", "tie", "doc_id", "n_words", "n_removed", "kept_sha256", "found", "rest", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         size = 0
         for b in _text.pieces(batches, "text", 1 << 20):
             for r in b.to_pylist():
-                if size > _text.PIECE and r["doc"] != rows[-1]["doc"]:
+                if size > SHARD_BYTES and r["doc"] != rows[-1]["doc"]:
                     yield shard(rows)
                     rows, size = [], 0
                 rows.append(r)
@@ -248,30 +264,47 @@ def _finishing(length: int):
     return run
 
 
+def owned(found: DataFrame) -> DataFrame:
+    """(doc, at, owner, home) of the occurrences of recurring seeds, but for those of the owners themselves.
+
+    Each seed's occurrences meet its one owner in a join. A seed with more than half a task's share of all occurrences
+    is dealt to as many tasks as it has such shares; there are 2 * tasks of these seeds at most.
+    """
+    parts = _io.parts(found.sparkSession)
+    seeds = found.groupBy("h").agg(F.count("*").alias("times"), F.min("doc").alias("owner"), F.expr("min_by(at, doc) filter (where once)").alias("home"))
+    recurring = _io.saved(seeds.where("times > 1"), "recurring")
+    total = recurring.agg(F.sum("times")).first()[0] or 0
+    share = max(1, total // (2 * parts))
+    salts = F.expr(f"cast(ceil(times / {share}) as int)")
+    hot = _io.bounded(recurring.where(f"times > {share}").select("h", salts.alias("salts")), "hot")
+    dealt = found.join(hot, "h", "left").withColumn("salt", F.expr("if(salts is null, 0, pmod(xxhash64(doc, at), salts))").cast("int"))
+    owners = recurring.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(owners, ["h", "salt"]).select("doc", "at", "owner", "home").where("doc <> owner or at <> home")
+
+
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
     spark = docs.sparkSession
     _io.ship(spark)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(f"coalesce(doc_id, {LAST})").alias("doc"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(DOC).alias("doc")).withColumn("tie", F.xxhash64("text"))
     found = texts.select("doc", "text").mapInArrow(_seeding(length), "h long, doc long, at int, once boolean")
-    recurring = found.groupBy("h").agg(
-        F.count("*").alias("times"), F.min("doc").alias("owner"), F.expr("min_by(at, doc) filter (where once)").alias("home")
-    ).where("times > 1").select("h", "owner", "home")
-    shared = found.join(recurring, "h").select("doc", "at", "owner", "home").where("doc <> owner or at <> home")
-    shared = _io.saved(shared, "shared")
+    shared = _io.saved(owned(found), "shared")
     pairs = shared.select("doc", "owner", F.expr(f"cast(home div {PIECE} as int)").alias("piece")).distinct()
     wanted = _io.bounded(pairs.select("owner", "piece").distinct().groupBy(F.col("owner").alias("doc")).agg(F.collect_set("piece").alias("wanted")), "wanted")
-    pieces = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cutting(length), "doc long, piece int, start int, text string")
-    pieces = _io.saved(pieces.withColumnRenamed("doc", "owner"), "passages")
+    # of rows of equal doc_id each gives the piece
+    pieces = texts.join(wanted, "doc").select("doc", "tie", "text", "wanted").mapInArrow(_cutting(length), "owner long, tie long, piece int, start int, text string")
+    pieces = _io.saved(pieces, "passages")
     places = shared.groupBy("doc").agg(F.collect_set("at").alias("places"))
-    none = lambda kind: F.lit(None).cast(kind)
-    a = texts.select("doc", F.lit(0).alias("kind"), "doc_id", "text", none("array<int>").alias("places"), none("long").alias("owner"), none("int").alias("piece"), none("int").alias("start"))
-    b = places.select("doc", F.lit(1).alias("kind"), none("long").alias("doc_id"), none("string").alias("text"), "places", none("long").alias("owner"), none("int").alias("piece"), none("int").alias("start"))
-    c = pairs.join(pieces, ["owner", "piece"]).select("doc", F.lit(2).alias("kind"), none("long").alias("doc_id"), "text", none("array<int>").alias("places"), "owner", "piece", "start")
-    together = a.unionByName(b).unionByName(c).repartition(_io.parts(spark), "doc").sortWithinPartitions("doc", "kind")
+    columns = {"doc": "long", "kind": "int", "tie": "long", "doc_id": "long", "text": "string", "places": "array<int>", "owner": "long", "piece": "int", "start": "int"}
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        return df.select(*[F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in columns.items()])
+
+    together = rows(texts, 0).unionByName(rows(places, 1)).unionByName(rows(pairs.join(pieces, ["owner", "piece"]), 2))
+    together = together.repartition(_io.parts(spark), "doc").sortWithinPartitions("doc", "kind")
     done = _io.saved(together.mapInArrow(_streaming(length), LOCATED), "located")
-    rest = done.select("doc", F.explode("rest").alias("r")).select("doc", "r.s", "r.u", "r.v")
-    first = rest.groupBy("u", "v").agg(F.count("*").alias("times"), F.min(F.struct("doc", "s")).alias("first")).where("times > 1")
-    later = rest.join(first, ["u", "v"]).where("doc <> first.doc or s <> first.s").groupBy("doc").agg(F.collect_set("s").alias("more"))
-    out = done.join(_io.bounded(later, "later"), "doc", "left")
+    rest = done.select("doc", "tie", F.explode("rest").alias("r")).select("doc", "tie", "r.s", "r.u", "r.v")
+    first = rest.groupBy("u", "v").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("u", "v", "first")
+    later = rest.join(first, ["u", "v"]).where("doc > first").groupBy("doc", "tie").agg(F.collect_set("s").alias("more"))
+    out = done.join(_io.bounded(later, "later"), ["doc", "tie"], "left")
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "found", "text", "more").mapInArrow(_finishing(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")

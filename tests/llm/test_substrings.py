@@ -58,3 +58,28 @@ def test_seeds_cover_every_window():
     for r, n in ((1, 20), (2, 265), (3, 200)):
         for s in range(n - 19):
             assert any((r, p) in chosen for p in range(s, s + 13))
+
+
+def test_equal_and_missing_ids(spark):
+    """Rows of equal doc_id are documents of their own; those without one come last."""
+    r = random.Random(8)
+    a, b, c = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (1, f"{c} {c}"), (4, f"q {c}"), (None, f"z {a}"), (None, c), (1, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"] or 0, x["n_words"], x["n_removed"]) for x in S.deduplicated(df).collect())
+    assert got == sorted([(1, 40, 0), (1, 40, 0), (1, 40, 0), (1, 80, 40), (2, 40, 40), (3, 40, 40), (4, 41, 40), (0, 41, 40), (0, 40, 40)])
+    # the same place in both rows of one id: each later copy goes, whichever it follows
+    rows = [(1, f"{a} {b}"), (1, f"{a} {c}"), (2, b), (3, c), (4, a)]
+    got = sorted((x["doc_id"], x["n_removed"]) for x in S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 0), (1, 0), (2, 40), (3, 40), (4, 40)]
+
+
+def test_one_passage_in_most_documents(spark):
+    """A seed that most documents hold is dealt to many tasks."""
+    r = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, f"u{i} " * 3 + common + "".join(f" x{r.randrange(10**6)}" for _ in range(20))) for i in range(600)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    found = texts.mapInArrow(S._seeding(20), "h long, doc long, at int, once boolean")
+    assert {x["doc"] for x in S.owned(found).collect()} == set(range(1, 600))
