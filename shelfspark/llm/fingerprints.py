@@ -69,7 +69,7 @@ def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     data, off = _text.utf8(col)
     data = _text.lower(data)
     s, e, first = _text.words(data, off)
-    x, of, _ = _text.ngrams(_text.Rolling(data).spans(s, e), first, WORDS)
+    x, of, _ = _text.ngrams(_text.spans(data, s, e), first, WORDS)
     return x, of, e - np.repeat(off[:-1], np.diff(first)), first
 
 
@@ -141,45 +141,53 @@ def _cuts(of: np.ndarray, same: np.ndarray) -> np.ndarray:
     return np.append(np.stack([of[:-1], of[:-1] + same], 1).ravel(), of[-1])
 
 
+def _bounds(rows: DataFrame, n: int) -> list:
+    """Places in the order that cut the rows into about n runs of like size, greatest first: a sample of 200 rows a run tells."""
+    rate = min(1.0, 200 * n / max(1, rows.count()))
+    drawn = (F.xxhash64(F.lit("bounds"), "doc_id", "tie").bitwiseAND((1 << 52) - 1) / float(1 << 52)) < rate
+    sample = sorted((tuple(r[0]) for r in rows.where(drawn).select(F.expr(ORDER)).distinct().collect()), reverse=True)
+    return [sample[len(sample) * i // n] for i in range(1, n)] if len(sample) >= n else sample[1:]
+
+
+#: The order of documents, descending: those without a doc_id last, equal ones by their text's hash.
+ORDER = "named_struct('k', doc_id is not null, 'doc', coalesce(doc_id, 0L), 'tie', tie)"
+
+
 def in_sequence(docs: DataFrame) -> DataFrame:
     """Partitions of consecutive documents by descending doc_id, each ending with its successor's copy (halo).
 
-    Quantiles of doc_id bound the partitions; the first document of each is sent to the one before it too
-    (the first of all: to the last). Nulls come last; repeated doc_ids follow the hash of their text.
-    One shuffle of the texts. The driver sees one row for each partition.
+    The first document of each partition is sent to the one before it too (the first of all: to the last). Nulls come
+    last; repeated doc_ids follow the hash of their text. One shuffle of the texts. The driver sees a bounded sample of
+    the ids, and one row for each partition.
     """
-    spark = docs.sparkSession
-    n = _io.parts(spark)
+    n = _io.parts(docs.sparkSession)
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    cuts = df.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []), reverse=True)
+    cuts = sorted(set(_bounds(df.select("doc_id", "tie"), n)), reverse=True) if n > 1 else []
+    long = lambda v: f"({v}L)" if v != -(1 << 63) else "long('-9223372036854775808')"
+    place = lambda c: f"named_struct('k', {str(c[0]).lower()}, 'doc', {long(c[1])}, 'tie', {long(c[2])})"
     bucket = "0"
     if cuts:
         steps = max(1, len(cuts).bit_length())
-        bounds = "array(" + ",".join(f"{c}L" for c in cuts) + ")"
-        # the number of bounds that are greater than doc_id, by bisection; null is after them all
+        bounds, middle = "array(" + ",".join(map(place, cuts)) + ")", "int((s.lo + s.hi) div 2)"
+        # the number of bounds that are greater than the row's place, by bisection
         bucket = (
-            f"if(doc_id is null, {len(cuts)}, aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, i) -> "
-            f"if(s.lo >= s.hi, s, if(element_at({bounds}, int((s.lo + s.hi) div 2) + 1) > doc_id, named_struct('lo', int((s.lo + s.hi) div 2) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', int((s.lo + s.hi) div 2)))), s -> s.lo))"
+            f"aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', {len(cuts)}), (s, i) -> "
+            f"if(s.lo >= s.hi, s, if(element_at({bounds}, {middle} + 1) > place, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle}))), s -> s.lo)"
         )
-    df = df.withColumn("bucket", F.expr(bucket).cast("int"))
-    order = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", F.col("tie"))
-    heads = {r["bucket"]: r["m"] for r in df.groupBy("bucket").agg(F.max(order).alias("m")).collect()}
+    df = df.withColumn("place", F.expr(ORDER)).withColumn("bucket", F.expr(bucket).cast("int"))
+    heads = {r["bucket"]: tuple(r["m"]) for r in df.groupBy("bucket").agg(F.max("place").alias("m")).collect()}
     if not heads:
         return df.select("doc_id", "text", F.lit(False).alias("halo"))
     there = sorted(heads)
     before = dict(zip(there, [there[-1], *there[:-1]]))
     size = max(there) + 1
-    value = lambda f: "array(" + ",".join(f(heads[i]) if i in heads else "null" for i in range(size)) + ")"
-    long = lambda v: "null" if v is None else f"({v}L)" if v != -(1 << 63) else "long('-9223372036854775808')"
-    is_head = F.expr(
-        f"doc_id <=> element_at(cast({value(lambda m: long(m['doc_id']))} as array<bigint>), bucket + 1) and tie = element_at(cast({value(lambda m: long(m['tie']))} as array<bigint>), bucket + 1)"
-    )
-    prev = F.expr("element_at(array(" + ",".join(str(before.get(i, 0)) for i in range(size)) + "), bucket + 1)")
-    own, copy = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("halo")), F.struct(prev.alias("to"), F.lit(True).alias("halo"))
-    dealt = df.withColumn("x", F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own)))).select("doc_id", "text", "tie", "x.to", "x.halo")
+    head = "array(" + ",".join(place(heads.get(i, (False, 0, 0))) for i in range(size)) + ")"
+    previous = "array(" + ",".join(str(before.get(i, 0)) for i in range(size)) + ")"
+    own, copy = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("halo")), F.struct(F.expr(f"element_at({previous}, bucket + 1)").alias("to"), F.lit(True).alias("halo"))
+    dealt = df.withColumn("x", F.explode(F.when(F.expr(f"place = element_at({head}, bucket + 1)"), F.array(own, copy)).otherwise(F.array(own))))
     return (
-        dealt.repartitionById(size, F.col("to"))
+        dealt.select("doc_id", "text", "tie", "x.to", "x.halo")
+        .repartitionById(size, F.col("to"))
         .sortWithinPartitions("halo", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
         .select("doc_id", "text", "halo")
     )
@@ -197,7 +205,7 @@ def _banding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, of = ngram_join.sets(b.column("text"), WORDS)
         c, d = ngram_join.digests(x, of)
         sig = least(x, of, ab)[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, ROWS)
-        bands = _text.Rolling(sig.ravel()).spans(np.arange(len(sig)) * ROWS, (np.arange(len(sig)) + 1) * ROWS).view(np.int64)
+        bands = _text.spans(sig.ravel(), np.arange(len(sig)) * ROWS, (np.arange(len(sig)) + 1) * ROWS).view(np.int64)
         at = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(of).astype(np.int32)), pa.array(c), pa.array(d), pa.ListArray.from_arrays(at, pa.array(bands))], ["doc_id", "n", "c", "d", "bands"])
 

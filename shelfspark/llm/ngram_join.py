@@ -13,13 +13,14 @@ Two documents link when 100 * |x and y| >= percent * |x or y|. The join is exact
 * First each class is compared with two pivots of each of its tiles, which is linear in a group's size, and links are
   contracted to components. Then, in tiles that still hold more than one component, classes of different components
   are compared: bitmaps of hashed shingles bound the overlap from above by |x| less the bits that y lacks, and what
-  passes is verified by intersecting the sorted sets. Links inside a component are already known to connect.
+  passes is verified by intersecting the sorted sets. Links inside a component are already known to connect. A large
+  tile is cut into blocks of classes; two blocks at a time meet, so that no task holds the whole tile.
 
 So no link between components is lost, and a group of copies is never expanded into its pairs.
 
 Cases: null texts and texts without words have the empty set, link with nothing and are their own component; fewer
-words than n are one shingle; repeated rows have equal sets; a null doc_id is never a component's name unless all of it
-are null; an empty table gives an empty result; columns other than doc_id and text are ignored. A-Z count as a-z.
+words than n are one shingle; repeated rows have equal sets; rows without a doc_id link as others do, and a component's
+name is null only if all of it are without one; an empty table gives an empty result; columns other than doc_id and text are ignored. A-Z count as a-z.
 """
 
 from __future__ import annotations
@@ -41,7 +42,11 @@ FREQUENT, MOST_FREQUENT = 200, 50_000
 SEVERAL = 6
 #: One in so many tiles is looked through before all are.
 SAMPLED = 16
-SETS = "doc_id long, n int, k int, c long, d long, prefix array<long>, bits array<long>"
+#: Classes in a block of a large tile.
+BLOCK = 256
+#: What a text is fetched by: two texts may share a key, since digests tell which one is meant.
+KEY = "coalesce(doc_id, xxhash64(text))"
+SETS = "doc_id long, key long, n int, k int, c long, d long, prefix array<long>, bits array<long>"
 
 
 def sets(col: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +54,7 @@ def sets(col: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     data, off = _text.utf8(col)
     data = _text.lower(data)
     s, e, first = _text.words(data, off)
-    x, of, _ = _text.ngrams(_text.Rolling(data).spans(s, e), first, n)
+    x, of, _ = _text.ngrams(_text.spans(data, s, e), first, n)
     row = np.repeat(np.arange(len(of) - 1), np.diff(of))
     order = np.lexsort((x, row))
     x, row = x[order], row[order]
@@ -60,9 +65,9 @@ def sets(col: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digests(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    c = _text.Rolling(x).spans(of[:-1], of[1:])
-    d = _text.Rolling(_text.mix(x + np.uint64(1)), 0xC2B2AE3D27D4EB4F).spans(of[:-1], of[1:])
-    return c.view(np.int64), d.view(np.int64)
+    """Two independent hashes of each row's set."""
+    c, d = (_text.spans(x, of[:-1], of[1:], lane).view(np.int64) for lane in (0, 1))
+    return c, d
 
 
 def bitmaps(x: np.ndarray, of: np.ndarray) -> pa.ListArray:
@@ -88,7 +93,7 @@ def _counting(n: int):
             x, k = np.unique(sets(b.column("text"), n)[0], return_counts=True)
             both, at = np.unique(np.concatenate([v, x]), return_inverse=True)
             v, c = both, np.bincount(at, np.concatenate([c, k]), len(both)).astype(np.int64)
-            if len(v) > 1_000_000:
+            if len(v) > 250_000:
                 v, c = v[c > 1], c[c > 1]
         often = c >= 4
         yield pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often])], ["x", "times"])
@@ -124,36 +129,32 @@ def _signing(last: np.ndarray, n: int, percent: int):
             ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array(size.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(c), pa.array(d),
+                    b.column("doc_id"), b.column("key"), pa.array(size.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(c), pa.array(d),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(prefix)),
                     bitmaps(x, of),
                 ],
-                ["doc_id", "n", "k", "c", "d", "prefix", "bits"],
+                ["doc_id", "key", "n", "k", "c", "d", "prefix", "bits"],
             )
 
     return run
 
 
-def _once(ids: pa.Array, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sets of texts of which neighbouring rows may be the same, and each row's number among them."""
-    i = ids.to_numpy()
-    new = np.ones(len(i), bool)
-    new[1:] = i[1:] != i[:-1]
-    _, off = _text.utf8(texts)
-    size = np.diff(off)
-    new[1:] |= size[1:] != size[:-1]
-    rows = np.flatnonzero(new)
-    return *sets(texts.take(pa.array(rows)), n), np.cumsum(new) - 1
+def _once(keys: pa.Array, ties: pa.Array, texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of texts of which neighbouring rows may be the same (by key and hash), and each row's number among them."""
+    k, h = keys.to_numpy(), ties.to_numpy()
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+    return *sets(texts.take(pa.array(np.flatnonzero(new))), n), np.cumsum(new) - 1
 
 
 def _verifying(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _text.pieces(batches, "text_a", 1 << 20):
-            for b in _text.pieces([batch], "text_b", 1 << 20):
+        for batch in _text.pieces(batches, "text_a"):
+            for b in _text.pieces([batch], "text_b"):
                 ca, cb = b.column("a").to_numpy(), b.column("b").to_numpy()
-                xa, oa, ia = _once(b.column("doc_a"), b.column("text_a"), n)
-                xb, ob, ib = _once(b.column("doc_b"), b.column("text_b"), n)
-                # a doc_id may stand on several rows: only the class's own text counts
+                xa, oa, ia = _once(b.column("doc_a"), b.column("tie_a"), b.column("text_a"), n)
+                xb, ob, ib = _once(b.column("doc_b"), b.column("tie_b"), b.column("text_b"), n)
+                # a key may stand on several texts: only the class's own counts
                 right = np.flatnonzero((digests(xa, oa)[0][ia] == ca) & (digests(xb, ob)[0][ib] == cb))
                 ok = []
                 for i in right.tolist():
@@ -173,21 +174,24 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     doc = classes.select("c", "doc")
     p = pairs.join(doc.withColumnsRenamed({"c": "a", "doc": "doc_a"}), "a").join(doc.withColumnsRenamed({"c": "b", "doc": "doc_b"}), "b")
     p = _io.saved(p, "pairs")
-    ids = _io.bounded(p.select(F.col("doc_a").alias("doc_id")).union(p.select("doc_b")).distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    both = p.join(texts.withColumnsRenamed({"doc_id": "doc_a", "text": "text_a"}), "doc_a").join(texts.withColumnsRenamed({"doc_id": "doc_b", "text": "text_b"}), "doc_b")
-    return both.select("a", "b", "doc_a", "text_a", "doc_b", "text_b").sortWithinPartitions("doc_b", "doc_a").mapInArrow(_verifying(n, percent), "a long, b long").distinct()
+    ids = _io.bounded(p.select(F.col("doc_a").alias("doc")).union(p.select("doc_b")).distinct(), "wanted")
+    texts = docs.select("doc_id", F.expr(KEY).alias("doc"), F.xxhash64("text").alias("tie"), "text").join(ids, "doc", "left_semi")
+    # rows without a doc_id have a key for each text: one row of each is enough
+    texts = texts.where("doc_id is not null").drop("doc_id").unionByName(texts.where("doc_id is null").drop("doc_id").dropDuplicates(["doc", "tie"]))
+    side = lambda x: texts.withColumnsRenamed({c: f"{c}_{x}" for c in ("doc", "tie", "text")})
+    both = p.join(side("a"), "doc_a").join(side("b"), "doc_b")
+    return both.sortWithinPartitions("doc_b", "tie_b", "doc_a", "tie_a").mapInArrow(_verifying(n, percent), "a long, b long").distinct()
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     _io.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = _io.saved(docs.mapInArrow(_signing(frequent(docs, n), n, percent), SETS), "sets")
+    signed = _io.saved(docs.withColumn("key", F.expr(KEY)).mapInArrow(_signing(frequent(docs, n), n, percent), SETS), "sets")
     full = signed.where("n > 0")
     # equal sets have equal columns
     classes = _io.saved(
-        full.groupBy("c", "d").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("k").alias("k"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")).where("doc is not null"),
+        full.groupBy("c", "d").agg(F.min("key").alias("doc"), F.any_value("n").alias("n"), F.any_value("k").alias("k"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")),
         "classes",
     )
     listed = classes.select("c", "n", "k", F.explode("prefix").alias("x"))
@@ -236,13 +240,17 @@ def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str,
 def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that share a tile, are in different components and may link."""
     placed = tiles.select("x", "tile", "c").join(member.select("c", "component"), "c")
-    split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("x", "tile")
-    open_ = _io.saved(tiles.select("x", "tile", "c").join(split, ["x", "tile"], "left_semi").join(member, "c").withColumn("band", F.expr(band)), "open")
-    one = open_.select("x", "tile", "band", F.col("c").alias("a"), "n", "component", "bits")
-    two = open_.select("x", "tile", F.col("band").alias("band_b"), F.col("c").alias("b"), F.col("n").alias("m"), F.col("component").alias("of"), F.col("bits").alias("other"))
-    # two of one band meet in two tiles: one is enough
-    apart = f"a < b and component <> of and tile = least(band, band_b) and 100 * least(n, m) >= {percent} * greatest(n, m)"
-    return one.join(two, ["x", "tile"]).where(apart).where(_bound("n", "m", "bits", "other", percent)).select("a", "b").distinct()
+    split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
+    split = split.select("x", "tile", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+    # a class is in one block of its tile and meets all blocks; a tile of one block is joined as it is
+    open_ = tiles.select("x", "tile", "c").join(split, ["x", "tile"]).join(member, "c").withColumns({"band": F.expr(band), "block": F.expr("pmod(xxhash64(c), blocks)")})
+    open_ = open_.withColumn("other_block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "other_block"), "hi": F.greatest("block", "other_block")})
+    open_ = _io.saved(open_.select("x", "tile", "lo", "hi", "block", "band", "c", "n", "component", "bits"), "open")
+    one = open_.withColumnsRenamed({"c": "a"})
+    two = open_.withColumnsRenamed({"c": "b", "block": "block_b", "band": "band_b", "n": "m", "component": "of", "bits": "other"})
+    # two of one block meet where it meets itself, two of one band in two tiles: one is enough
+    apart = f"a < b and (block <> block_b or lo = hi) and component <> of and tile = least(band, band_b) and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    return one.join(two, ["x", "tile", "lo", "hi"]).where(apart).where(_bound("n", "m", "bits", "other", percent)).select("a", "b").distinct()
 
 
 def _bound(n: str, m: str, x: str, y: str, percent: int) -> str:

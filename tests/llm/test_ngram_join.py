@@ -99,3 +99,37 @@ def test_components(spark):
 def test_plan_has_no_cross_join(spark, sf_dir):
     plan = J.joined(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id") < 20))._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_without_an_id_link(spark):
+    """They join what they are near to, name no component, and are one another's partners too."""
+    r = random.Random(6)
+    a, b = ([f"{x}{r.randrange(10**6)}" for _ in range(120)] for x in "ab")
+    text = lambda w, *edits: " ".join(f"e{i}" if i in edits else x for i, x in enumerate(w))
+    # 5 and 7 link only through the row without an id
+    rows = [(5, text(a)), (7, text(a, 20, 21, 22, 60, 61, 62)), (None, text(a, 20, 21, 22)), (None, text(a, 20, 21, 22)), (None, text(b)), (None, text(b, 50)), (9, text(b, 0, 10, 20, 30, 40, 50, 60, 70, 80))]
+    s = [shingles(t) for _, t in rows]
+    like = lambda i, j: len(s[i] & s[j]) / len(s[i] | s[j])
+    assert like(0, 1) < 0.85 <= min(like(0, 2), like(1, 2), like(4, 5))
+    got = sorted((x["doc_id"] or 0, x["component_id"] or 0) for x in J.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (0, 0), (0, 5), (0, 5), (5, 5), (7, 5), (9, 9)]
+
+
+def test_one_id_on_several_texts_of_one_length(spark):
+    r = random.Random(7)
+    words = [f"{r.randrange(10**5):05}" for _ in range(100)]
+    change = lambda w, i: [*w[:i], f"{r.randrange(10**5):05}", *w[i + 1 :]]
+    other = [f"{r.randrange(10**5):05}" for _ in range(100)]
+    rows = [(1, " ".join(words)), (1, " ".join(other)), (2, " ".join(change(words, 50))), (3, " ".join(change(other, 50)))]
+    got = sorted((x["doc_id"], x["component_id"]) for x in J.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_large_tiles_are_cut_into_blocks(spark, monkeypatch):
+    """With blocks of four classes the result is the same."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(60)]
+    texts = [t for k in range(25) for t in variants(r, base[:40] + [f"v{k}x{i}" for i in range(20)], 4, 3)]
+    rows = list(enumerate(texts))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
