@@ -1,12 +1,12 @@
 """Quality rules as weak supervision.
 
 Each rule votes for a document (1), against it (-1), or abstains (0). Expectation-maximisation over the counts of
-vote patterns (a bounded table: 3 to the power of the number of rules, counted in Spark over all documents)
-estimates how often each rule votes and errs in good and in bad documents, and the share of good ones. A document's
-posterior probability of being good, not an all-must-pass filter, decides.
+vote patterns (a bounded table: 3 to the power of the number of rules, counted in Spark over all documents that the base
+rule lets through) estimates how often each rule votes and errs in good and in bad documents, and the share of good
+ones. A document's posterior probability of being good, not an all-must-pass filter, decides.
 
-Cases: null, empty and blank texts have no words, fail the base rule, and get posterior 0 votes' worth (the prior of
-the patterns); repeated rows count as often as they occur; an empty table gives an empty result; columns other than
+Cases: null, empty and blank texts have no words, fail the base rule, and get the posterior of their votes as every
+document does; repeated rows count as often as they occur; an empty table gives an empty result; columns other than
 doc_id and text are ignored.
 """
 
@@ -103,40 +103,35 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: A rule's name, where it speaks against a document, and where it speaks for it; else it abstains.
 RULES = [
-    ("symbols", "n_symbols > 0.1 * n_words", "false"),
-    ("capitals", "n_upper > 0.30 * word_chars", "false"),
-    ("lines", "n_dup_lines > 0.30 * n_lines", "false"),
-    ("repeats", "n_repeat_words > 0.30 * n_words", "false"),
-    ("length", "n_words < 30", "false"),
-    ("width", "n_words > 0 and (word_chars < 2.5 * n_words or word_chars > 12 * n_words)", "false"),
-    ("endings", "n_lines >= 3 and n_ended < 0.3 * n_lines", "false"),
-    ("plain words", "plain_words < 0.6 * n_words", "plain_words >= 0.85 * n_words and n_words > 0"),
+    ("symbols", "n_symbols > 0.1 * n_words", "n_words > 0 and n_symbols <= 0.01 * n_words"),
+    ("capitals", "n_upper > 0.3 * word_chars", "n_words > 0 and n_upper <= 0.1 * word_chars"),
+    ("lines", "n_dup_lines > 0.3 * n_lines", "n_lines >= 2 and n_dup_lines = 0"),
+    ("repeats", "n_repeat_words > 0.3 * n_words", "n_words >= 50 and n_repeat_words <= 0.05 * n_words"),
+    ("length", "n_words < 30", "n_words >= 100"),
+    ("width", "n_words > 0 and (word_chars < 2.5 * n_words or word_chars > 12 * n_words)", "n_words > 0 and word_chars between 3.5 * n_words and 7 * n_words"),
+    ("endings", "n_lines >= 3 and n_ended < 0.3 * n_lines", "n_lines > 0 and n_ended >= 0.9 * n_lines"),
+    ("plain words", "plain_words < 0.6 * n_words", "n_words > 0 and plain_words >= 0.85 * n_words"),
 ]
 
+#: Votes (against, none, for) that each rule is taken to have cast before any is counted, on bad and on good documents: a
+#: rule is right rather than wrong. A few documents outweigh it.
+PRIOR_VOTES = np.array([[2.0, 1.0, 0.5], [0.5, 1.0, 2.0]])
 
-#: Of good documents a rule speaks against so many at most: rules are written to be precise where they speak against.
-MOST_ERRORS = 0.01
 
-
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, most_errors: float = MOST_ERRORS) -> tuple[np.ndarray, float, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float, np.ndarray]:
     """Posterior of good by pattern, the prior, and P(vote | class) as rules x classes (bad, good) x votes (-1, 0, 1).
 
-    Abstaining is a vote of its own here: whether a rule speaks at all may depend on the class. Starts from documents
-    that no rule speaks against as good; one vote of each kind is added to all counts.
+    Abstaining is a vote of its own here: whether a rule speaks at all may depend on the class. Starts from the sum of
+    the votes; nothing binds the estimates but PRIOR_VOTES. A pattern with count 0 takes its posterior from the others.
     """
-    n, r = patterns.shape
     hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
-    against = (patterns < 0).sum(1)
-    post = np.where(against == 0, 0.95, np.where(patterns.sum(1) > 0, 0.3, 0.1) ** against)
-    table, prior = np.full((r, 2, 3), 1 / 3), 0.75
+    post = 1 / (1 + np.exp(-patterns.sum(1, dtype=float)))
+    table, prior = np.tile(PRIOR_VOTES / PRIOR_VOTES.sum(1, keepdims=True), (patterns.shape[1], 1, 1)), 0.5
     for _ in range(rounds):
         for c, p in enumerate((1 - post, post)):
-            votes = np.einsum("n,nrv->rv", counts * p, hot) + 1
+            votes = np.einsum("n,nrv->rv", counts * p, hot) + PRIOR_VOTES[c]
             table[:, c] = votes / votes.sum(1, keepdims=True)
-        over = np.maximum(0, table[:, 1, 0] - most_errors)
-        table[:, 1, 0] -= over
-        table[:, 1, 2] += over
-        prior = float(np.clip((counts @ post + 1) / (counts.sum() + 2), 0.02, 0.98))
+        prior = float((counts @ post + 1) / (counts.sum() + 2))
         like = np.einsum("nrv,rcv->nc", hot, np.log(table)) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -700, 700)))
         done = np.abs(new - post).max(initial=0) < 1e-9
@@ -152,11 +147,12 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     vote = lambda bad, good: F.when(F.expr(bad), F.lit(-1)).when(F.expr(good), F.lit(1)).otherwise(F.lit(0))
     code = sum(((vote(b, g) + 1) * 3**i for i, (_, b, g) in enumerate(RULES)), F.lit(0))
-    f = _io.saved(docs.select("doc_id", "text").mapInArrow(_features, FEATURES).withColumn("pattern", code.cast("int")), "features")
-    found = sorted((r["pattern"], r["n"]) for r in f.groupBy("pattern").agg(F.count("*").alias("n")).collect())
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    f = docs.select("doc_id", "text").mapInArrow(_features, FEATURES)
+    f = _io.saved(f.withColumn("pattern", code.cast("int")).withColumn("base_failed", failed), "features")
+    found = sorted((r["pattern"], r["n"]) for r in f.groupBy("pattern").agg(F.count_if(~F.col("base_failed")).alias("n")).collect())
     votes = np.array([[p // 3**i % 3 - 1 for i in range(len(RULES))] for p, _ in found], np.int64).reshape(len(found), len(RULES))
     post, _, _ = expectation_maximisation(votes, np.array([n for _, n in found], float))
     table = spark.createDataFrame([(p, float(q)) for (p, _), q in zip(found, post)], "pattern int, posterior double")
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     out = f.join(F.broadcast(table), "pattern")  # 3 ** len(RULES) rows at most
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= 0.5))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5))
