@@ -46,3 +46,8 @@ def membership(expiry: Column | str, as_of: Day = None) -> Column:
 def later(due: Column | str, days: int | Column = 21) -> Column:
     """A date's text, so many days later."""
     return show(F.date_add(parse(due), days))
+
+
+def iso(c: Column | str) -> Column:
+    """A timestamp in UTC as ISO text with milliseconds."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

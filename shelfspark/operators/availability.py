@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.copies import exploded, loaned
+from shelfspark.functions.copies import COPIES, exploded, loaned
 
 AVAILABLE, ON_LOAN, NO_COPIES = "available", "on-loan", "no-copies"
 
@@ -17,9 +17,10 @@ def copy_flags(media: DataFrame, loans: DataFrame, variant: str) -> DataFrame:
 
 
 def counts(media: DataFrame, loans: DataFrame, variant: str) -> DataFrame:
-    """id, copies, availableCount of every resource; 0 where there is none."""
-    g = copy_flags(media, loans, variant).groupBy("id").agg(F.count("*").alias("copies"), F.count_if("free").alias("availableCount"))
-    return media.select("id").join(g, "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("copies", "availableCount")])
+    """id, copies, availableCount of every resource; 0 where there is none. One aggregation by id, which resources without copies pass too."""
+    on = loaned(loans, variant).withColumn("taken", F.lit(True))
+    j = media.select("id", F.explode_outer(COPIES[variant]("barcodes")).alias("copy")).join(on, "copy", "left")
+    return j.groupBy("id").agg(F.count("copy").alias("copies"), F.count_if(F.col("copy").isNotNull() & F.col("taken").isNull()).alias("availableCount"))
 
 
 def status(media: DataFrame, loans: DataFrame, variant: str = "K2") -> DataFrame:
@@ -43,7 +44,7 @@ def available_copies(media: DataFrame, loans: DataFrame, variant: str = "K1") ->
 def loans_of(loans: DataFrame, media: DataFrame, resource: str) -> DataFrame:
     """The loans of one resource's copies."""
     own = exploded(media.where(F.col("id") == resource), "K2").distinct()
-    return loans.join(F.broadcast(own), F.col("barcode") == F.col("copy"), "left_semi")  # one resource's copies
+    return loans.join(own, F.col("barcode") == F.col("copy"), "left_semi")
 
 
 def on_loan(loans: DataFrame, barcodes: DataFrame) -> DataFrame:

@@ -25,19 +25,25 @@ def insert(df: DataFrame, table: str, rows: DataFrame) -> DataFrame:
     return df.select(*TABLES[table].names).unionByName(new)
 
 
-def _first(df: DataFrame, value: str, ordinal: str | None) -> Column:
-    """Whether a row is the first of those with the id; without an ordinal all of them are."""
-    hit = same_id("id", value)
-    return hit if ordinal is None else hit & (F.row_number().over(Window.partitionBy(hit).orderBy(ordinal)) == 1)
+def _apart(df: DataFrame, value: str, ordinal: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The row that is meant, further rows with its id, and all others. Only rows with the id are put in order."""
+    hit = F.coalesce(same_id("id", value), F.lit(False))
+    own, others = df.where(hit), df.where(~hit)
+    if ordinal is None:
+        return own, own.limit(0), others
+    nth = next(n for n in ("nth", *(f"nth_{i}" for i in range(len(df.columns)))) if n not in df.columns)
+    own = own.withColumn(nth, F.row_number().over(Window.partitionBy(same_id("id", value)).orderBy(ordinal)))
+    return own.where(F.col(nth) == 1).drop(nth), own.where(F.col(nth) > 1).drop(nth), others
 
 
 def update(df: DataFrame, value: str, patch: Mapping[str, str | Column], ordinal: str | None = None) -> DataFrame:
     """The row's cells in patch change; its id becomes the one given."""
-    flagged = df.withColumn("_hit", _first(df, value, ordinal))
+    first, more, others = _apart(df, value, ordinal)
     new = {"id": value, **patch}
-    cell = lambda c: F.when(F.col("_hit"), new[c] if isinstance(new[c], Column) else F.lit(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c)
-    return flagged.select(*map(cell, df.columns))
+    cell = lambda c: (new[c] if isinstance(new[c], Column) else F.lit(new[c])).alias(c) if c in new else F.col(c)
+    return others.unionByName(more).unionByName(first.select(*map(cell, df.columns)))
 
 
 def delete(df: DataFrame, value: str, ordinal: str | None = None) -> DataFrame:
-    return df.withColumn("_hit", _first(df, value, ordinal)).where("not coalesce(_hit, false)").drop("_hit")
+    _, more, others = _apart(df, value, ordinal)
+    return others.unionByName(more)

@@ -7,6 +7,7 @@ with the guards and messages of the circulation desk. Nothing is written until a
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
@@ -65,15 +66,16 @@ def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circula
     new_id = f"concat('L', lpad(cast(pmod({seed}, 100000) as string), 5, '0'), char(cast(65 + pmod(shiftright({seed}, 20), 26) as int)), lpad(cast(pmod(shiftright({seed}, 30), 10000) as string), 4, '0'))"
     due = "coalesce(try_to_date(s.loan.dueDate, 'MMMM d, yyyy'), try_to_date(s.loan.dueDate, 'yyyy-MM-dd'))"
     checked = f"named_struct('id', {new_id}, 'barcode', barcode, 'title', o.title, 'checkoutDate', date_format(day, '{fmt}'), 'dueDate', date_format(date_add(day, o.days), '{fmt}'), 'borrowerName', o.borrowerName, 'borrowerId', o.borrowerId)"
-    extended = f"named_struct('id', s.loan.id, 'barcode', s.loan.barcode, 'title', s.loan.title, 'checkoutDate', s.loan.checkoutDate, 'dueDate', coalesce(date_format(date_add({due}, o.days), '{fmt}'), s.loan.dueDate), 'borrowerName', s.loan.borrowerName, 'borrowerId', s.loan.borrowerId)"
-    done = "array<struct<seq:bigint,op:string,error:string,action:string>>"
+    more = f"coalesce(date_format(date_add({due}, o.days), '{fmt}'), s.loan.dueDate)"
+    extended = f"named_struct('id', s.loan.id, 'barcode', s.loan.barcode, 'title', s.loan.title, 'checkoutDate', s.loan.checkoutDate, 'dueDate', {more}, 'borrowerName', s.loan.borrowerName, 'borrowerId', s.loan.borrowerId)"
+    done = "array<struct<seq:bigint,op:string,error:string,action:string,dueDate:string>>"
 
-    def result(error: str, action: str = "cast(null as string)") -> str:
-        return f"concat(s.done, array(named_struct('seq', o.seq, 'op', o.op, 'error', {error}, 'action', {action})))"
+    def result(error: str, action: str = "cast(null as string)", after: str = "cast(null as string)") -> str:
+        return f"concat(s.done, array(named_struct('seq', o.seq, 'op', o.op, 'error', {error}, 'action', {action}, 'dueDate', {after})))"
 
     ok = "cast(null as string)"
     taken = "'" + SAYS["taken"] + "'"
-    none = "concat('No active loan found for barcode ', barcode)"
+    none = "replace('" + SAYS["not loaned"] + "', '{barcode}', barcode)"
     says_out = "concat('checked out \"', o.title, '\" (barcode=', barcode, ') to ', o.borrowerName, ' (borrower=', o.borrowerId, ') for ', o.days, ' days')"
     says_in = "concat('returned \"', s.loan.title, '\" (barcode=', barcode, ') from ', s.loan.borrowerName)"
     says_more = "concat('extended \"', s.loan.title, '\" (barcode=', barcode, ') by ', o.days, ' days')"
@@ -82,28 +84,34 @@ def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circula
       when o.op = 'checkout' then named_struct('loan', s.loan, 'done', {result(taken)})
       when s.loan is null then named_struct('loan', s.loan, 'done', {result(none)})
       when o.op = 'return' then named_struct('loan', cast(null as {loan_type}), 'done', {result(ok, says_in)})
-      else named_struct('loan', cast({extended} as {loan_type}), 'done', {result(ok, says_more)}) end"""
+      else named_struct('loan', cast({extended} as {loan_type}), 'done', {result(ok, says_more, more)}) end"""
     folded = j.withColumn("f", F.expr(f"aggregate(ops, named_struct('loan', cast(loan as {loan_type}), 'done', cast(array() as {done})), (s, o) -> {step})"))
     after = folded.where("f.loan is not null").select("f.loan.*")
     seen = folded.where("loan is not null").select(F.col("loan.id").alias("id"))
     each = folded.select("barcode", F.explode("f.done").alias("d")).select("d.*", "barcode")
     return Circulated(
         loans.select(*names).join(seen, "id", "left_anti").select(*names).unionByName(after),
-        each.select("seq", "op", "barcode", F.col("error").isNull().alias("success"), "error"),
+        each.select("seq", "op", "barcode", F.col("error").isNull().alias("success"), "error", "dueDate"),
         each.where("action is not null").select("seq", "action"),
     )
 
 
+def said(what: str, **values: Column | str) -> Column:
+    """What the desk says as a column: columns stand for the message's placeholders."""
+    parts = re.split(r"\{(\w+)\}", SAYS[what])
+    value = lambda v: (F.col(v) if isinstance(v, str) else v).cast("string")
+    return F.concat(*[value(values[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+
+
 def resolve(todo: DataFrame, media: DataFrame) -> DataFrame:
-    """Scanned barcodes of many commands to the catalogue's: barcode, title, and an error if unknown or in a box."""
-    own = exploded(media, "K2", "id", "title").withColumn("key", F.lower("copy")).groupBy("key").agg(F.min(F.struct("id", "title", "copy")).alias("m"))
+    """Scanned barcodes of many commands to the catalogue's: id, barcode, title, and an error if unknown or in a box."""
+    own = exploded(media, "K2", "id", "title").groupBy(F.lower("copy").alias("key")).agg(F.min(F.struct("id", "title", "copy")).alias("m"))
     box = boxes.containing(media).select("id", F.col("barcode").alias("copy"), "boxBarcode", "boxTitle")
-    j = todo.drop("title").withColumn("key", F.lower("barcode")).join(own, "key", "left")
-    j = j.select(*[c for c in todo.columns if c not in ("barcode", "title")], F.col("barcode").alias("scanned"), F.col("m.id").alias("id"), F.col("m.title").alias("title"), F.col("m.copy").alias("copy"))
-    j = j.join(box, ["id", "copy"], "left")
-    error = F.when(F.col("copy").isNull(), F.format_string("Barcode %s not found in catalog", "scanned")).when(
-        F.col("boxBarcode").isNotNull(), F.format_string('"%s" (%s) is inside box "%s" (%s). Check out the box instead.', "title", "copy", "boxTitle", "boxBarcode")
-    )
+    kept = [c for c in todo.columns if c not in ("barcode", "title")]
+    j = todo.select(*kept, F.col("barcode").alias("scanned")).withColumn("key", F.lower("scanned")).join(own, "key", "left")
+    j = j.select(*kept, "scanned", "m.id", "m.title", "m.copy").join(box, ["id", "copy"], "left")
+    in_box = said("boxed out", title="title", barcode="copy", boxTitle="boxTitle", boxBarcode="boxBarcode")
+    error = F.when(F.col("copy").isNull(), said("unknown", barcode="scanned")).when(F.col("boxBarcode").isNotNull(), in_box)
     return j.withColumn("error", error).withColumn("barcode", F.coalesce("copy", "scanned")).drop("copy", "boxBarcode", "boxTitle")
 
 
@@ -128,7 +136,7 @@ class Desk:
         return replace(self, audit=(*self.audit, (self.user, action)))
 
     def _one(self, df: DataFrame) -> Row | None:
-        return df.limit(1).collect()[0] if df.limit(1).count() else None
+        return next(iter(df.head(1)), None)
 
     def _text(self, c: Column) -> str:
         return self.loans.sparkSession.range(1).select(c).first()[0]

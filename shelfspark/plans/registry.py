@@ -208,6 +208,13 @@ def j4(spark, d):
     return A.counts(m, loans, "K3").select("id", "availableCount")
 
 
+@_q("J5_free_copies", f"select c.id, c.copy from {_copies('K3')} c left join {_on('K3')} l on l.copy = c.copy where l.copy is null")
+def j5_all(spark, d):
+    """J5 of every resource at once."""
+    _, m, loans = _tables(spark, d)
+    return A.available_copies(m, loans, "K3").select("id", "copy")
+
+
 @_q("J5_free_copies_of_resource", f"select c.id, c.copy from {_copies('K3')} c left join {_on('K3')} l on l.copy = c.copy where l.copy is null and c.id = 'M000003'")
 def j5(spark, d):
     _, m, loans = _tables(spark, d)
@@ -245,10 +252,13 @@ def j10(spark, d):
     return Q.in_catalogue(m, loans.select("barcode").union(loans.select(F.concat(F.lit("none"), "barcode"))))
 
 
-@_q("J11_boxes", f"""select e.id, e.barcode, e.box as "boxBarcode", coalesce(nullif(o.title, ''), e.box) as "boxTitle" from (
+_BOXES = f"""select e.id, e.barcode, e.box as "boxBarcode", coalesce(nullif(o.title, ''), e.box) as "boxTitle" from (
   select id, unnest(json_keys(j)) as barcode, j, json_extract_string(j, '$."' || unnest(json_keys(j)) || '"') as box, json_type(j, '$."' || unnest(json_keys(j)) || '"') as kind
   from (select id, case when json_valid("resourceBox") then "resourceBox"::json end as j from media where "resourceBox" <> '') where json_type(j) = 'OBJECT') e
-  left join (select copy, min_by(title, id) as title from {_copies('K2', 'id, title')} group by 1) o on o.copy = e.box where e.kind = 'VARCHAR' and e.box <> ''""")
+  left join (select copy, min_by(title, id) as title from {_copies('K2', 'id, title')} group by 1) o on o.copy = e.box where e.kind = 'VARCHAR' and e.box <> ''"""
+
+
+@_q("J11_boxes", _BOXES)
 def j11(spark, d):
     return boxes.containing(S.media(spark, d))
 

@@ -18,6 +18,7 @@ ID_PREFIX = {"Borrowers": "B", "Media": "M", "Loans": "L"}
 #: Property names under which the tables' locations are configured.
 PROPERTY = {"Borrowers": "BORROWERS_ID", "Media": "MEDIA_ID", "Loans": "LOANS_ID"}
 LAST_DISCOVERY = "LAST_DISCOVERY_DATE"
+AUDIT_LOCATION = "AUDIT_LOG_ID"
 
 DATE_FORMAT = "MMMM d, yyyy"
 TIME_ZONE = "Europe/Paris"

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfspark.schemas import AUDIT, TABLES
 
@@ -61,3 +63,28 @@ def append_audit(rows: DataFrame, path: str) -> None:
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*AUDIT.names)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which executors share; in local mode, where it is unset, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="shelfspark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def numbered(ordered: DataFrame, column: str = "rank") -> DataFrame:
+    """A sorted DataFrame with the number of each row in its order, from 1. Written once; no task sees more than its own rows."""
+    spark, path = ordered.sparkSession, scratch(ordered.sparkSession, "numbered")
+    ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before, at = {}, 0
+    for r in sorted(rows.groupBy("_part").agg(F.min("_at").alias("first"), F.count("*").alias("n")).collect()):  # a row for each partition
+        before[r["_part"]], at = at - r["first"] + 1, at + r["n"]
+    if not before:
+        return rows.withColumn(column, F.lit(0).cast("long")).drop("_part", "_at")
+    shift = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)])
+    return rows.withColumn(column, F.col("_at") + shift[F.col("_part")]).drop("_part", "_at")

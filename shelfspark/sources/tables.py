@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions import text as X
-from shelfspark.schemas import DATE_FORMAT, EXACT_CLASSIFICATIONS, LAST_DISCOVERY, PREFIX_CLASSIFICATIONS, PROPERTY, TABLES
+from shelfspark.schemas import AUDIT_LOCATION, DATE_FORMAT, EXACT_CLASSIFICATIONS, LAST_DISCOVERY, PREFIX_CLASSIFICATIONS, PROPERTY, TABLES
 
 
 def scan_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -44,6 +44,11 @@ def encode(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[X.text(c).alias(c) for c in TABLES[table].names])
 
 
+def write_csv(df: DataFrame, table: str, path: str) -> None:
+    """All columns of the table as CSV with a header; blanks at a cell's ends stay."""
+    encode(df, table).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def by_id(df: DataFrame, value: str | int, ordinal: str | None = None) -> DataFrame:
     """The first row with this id; ids are compared as text."""
     found = df.where(X.same_id("id", value))
@@ -88,6 +93,13 @@ class Config:
     def location(self, table: str) -> str | None:
         return self.values.get(PROPERTY[table])
 
+    def set_audit(self, location: str) -> None:
+        """Where the audit log is; a log that is not there begins with its first record."""
+        self.set(AUDIT_LOCATION, location)
+
+    def audit(self) -> str | None:
+        return self.values.get(AUDIT_LOCATION)
+
     def set(self, key: str, value: str) -> None:
         self.values[key] = value
         self._saved()
@@ -103,6 +115,18 @@ class Config:
             self.values.pop(key, None)
         self._saved()
 
+    def raw(self, spark: SparkSession, table: str) -> DataFrame | None:
+        """The configured file as it is, with its own column names; None as in open()."""
+        path = self.location(table)
+        if not path:
+            return None
+        try:
+            return spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
     def open(self, spark: SparkSession, table: str) -> DataFrame | None:
         """The configured table; None if it is not configured or not there. Lack of permission raises."""
         path = self.location(table)
@@ -137,3 +161,25 @@ def with_ids(df: DataFrame, prefix: str = "M") -> DataFrame:
 def headers_match(df: DataFrame, table: str) -> bool:
     """Whether the table's first columns have the expected names."""
     return df.columns[: len(TABLES[table])] == TABLES[table].names
+
+
+def initialise_headers(spark: SparkSession, config: Config) -> dict[str, dict]:
+    """For each table whether it has the expected columns in front, or why not. Parquet and CSV files are not changed."""
+    out = {}
+    for table in TABLES:
+        df = config.raw(spark, table)
+        error = f"{table} is not configured" if df is None else None if headers_match(df, table) else f"{table} has other columns: {', '.join(df.columns)}"
+        out[table] = {"success": error is None, **({"error": error} if error else {})}
+    return out
+
+
+def backfill(spark: SparkSession, config: Config, path: str, table: str = "Media") -> dict:
+    """Write the configured table with ids to ``path`` and configure that, if it has no ids yet; how many rows got one."""
+    df = config.raw(spark, table)
+    if df is None:
+        return {"success": False, "error": f"{table} is not configured"}
+    if df.columns[:1] == ["id"]:
+        return {"success": True, "rowsUpdated": 0}
+    with_ids(df).write.parquet(path)
+    config.set(PROPERTY[table], path)
+    return {"success": True, "rowsUpdated": spark.read.parquet(path).count()}

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfspark.functions.dates import Day
 from shelfspark.plans.commands import circulate
 from shelfspark.schemas import AUDIT
-from shelfspark.sources.store import Snapshots, append_audit
+from shelfspark.sources.store import Snapshots
 
 
 def audit_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -23,8 +23,9 @@ def actions_by_window(log: DataFrame, width: str = "1 hour", late: str = "10 min
 
 
 def circulate_stream(commands: DataFrame, store: Snapshots, audit: str, checkpoint: str, as_of: Day = None) -> StreamingQuery:
-    """Apply each micro-batch of commands to the stored loans. A batch that is run again after a failure is skipped
-    if its snapshot was saved: the store remembers the last batch."""
+    """Apply each micro-batch of commands to the stored loans. The store remembers the last batch, so that one that is
+    run again after its snapshot was saved is skipped. ``audit`` is a folder of the stream's own with a part for each
+    batch, which a batch that is run again overwrites."""
 
     def apply(batch: DataFrame, number: int) -> None:
         done = store.load("_batch").first()[0] if store.version and "_batch" in store._where() else -1
@@ -32,7 +33,7 @@ def circulate_stream(commands: DataFrame, store: Snapshots, audit: str, checkpoi
             return
         out = circulate(store.load("Loans"), batch, as_of)
         rows = out.audit.select(F.current_timestamp().alias("Timestamp"), F.lit("stream").alias("User"), F.col("action").alias("Action"))
-        append_audit(rows, audit)
+        rows.write.mode("overwrite").parquet(f"{audit.rstrip('/')}/batch={number}")
         store.save(Loans=out.loans, _batch=batch.sparkSession.createDataFrame([(number,)], "batch long"))
 
     return commands.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
