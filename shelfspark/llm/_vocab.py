@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Callable
 from functools import cache
 
@@ -10,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 
 from shelfspark.llm._chars import UNASSIGNED, classes
-from shelfspark.llm._text import ragged
+from shelfspark.llm._text import ragged, spans
 
 #: Words that a worker remembers, and the longest of them in bytes: its memory is bounded by both.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 
 @cache
@@ -34,69 +33,163 @@ def byte_letters() -> dict[str, int]:
 
 
 class Merges:
-    """Ids of single words by the merges of the tokenizer's own model. Remembers words until there are ``most`` of them."""
+    """Ids of single words by the merges of the tokenizer's own model."""
 
-    def __init__(self, path: str, most: int = REMEMBERED):
-        self.model, self.most = tokenizer(path).model, most
+    def __init__(self, path: str):
+        self.model = tokenizer(path).model
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.first, self.ids = array("q", [0]), array("I")
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word."""
-        merged, letters = self.model.tokenize, self.letters
-        return [[t.id for t in merged(w.decode("latin-1").translate(letters))] if w else [] for w in words]
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        return self.spans(b"".join(words), np.append(0, ends[:-1])[: len(words)], ends)
 
-    def arrays(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words one after another, and how many each has."""
-        if len(self.number) > self.most:
-            self.forget()
-        number, get = self.number, self.number.get
-        at = [get(w, -1) for w in words]
-        new = [i for i, k in enumerate(at) if k < 0]
-        long = []
-        for i, ids in zip(new, self.encode([words[i] for i in new])):
-            at[i] = len(self.first) - 1
-            self.ids.extend(ids)
-            self.first.append(len(self.ids))
-            if len(words[i]) <= LONGEST:
-                number[words[i]] = at[i]
-            else:
-                long.append(i)
-        first, k = np.array(self.first), np.array(at, np.int64)
-        n = first[k + 1] - first[k]
-        out = np.array(self.ids, np.uint32)[ragged(first[k], n)]
-        if long:
+    def spans(self, data: bytes, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+        """The same of spans of bytes: one letter stands for each byte."""
+        shown, merged = data.decode("latin-1").translate(self.letters), self.model.tokenize
+        return [[t.id for t in merged(shown[a:b])] if b > a else [] for a, b in zip(start.tolist(), end.tolist())]
+
+
+class Vocabulary:
+    """What is known of words so far: their ids, found by a hash and confirmed by their bytes.
+
+    Open addressing over numpy arrays, which are looked up for many words at once. It forgets all beyond ``most`` words.
+    """
+
+    def __init__(self, merges: Merges, most: int = REMEMBERED):
+        self.merges, self.most = merges, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.size, self.n = 1 << 15, 0
+        self.keys, self.at = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+        self.ids, self.text = _Pool(np.uint32), _Pool(np.uint8)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of the word of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        open_, slot = np.arange(len(h)), (h & np.uint64(self.size - 1)).astype(np.int64)
+        while len(open_):
+            got = self.keys[slot]
+            hit = got == h[open_]
+            out[open_[hit]] = self.at[slot[hit]]
+            more = ~hit & (got != 0)
+            open_, slot = open_[more], (slot[more] + 1) & (self.size - 1)
+        return out
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        slot = (h & np.uint64(self.size - 1)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[slot[won]], self.at[slot[won]] = h[won], number[won]
+            rest = np.ones(len(h), bool)
+            rest[won] = False
+            h, number, slot = h[rest], number[rest], slot[rest]
+            slot = np.where(self.keys[slot] != 0, (slot + 1) & (self.size - 1), slot)
+
+    def _add(self, h: np.ndarray, text: np.ndarray, width: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Words by their hashes, new and distinct: their bytes and ids one after another, with how many each has."""
+        first = self.n
+        self.n += len(h)
+        self.ids.extend(ids, length)
+        self.text.extend(text, width)
+        if 2 * self.n > self.size:
+            full = self.keys != 0
+            keys, at = self.keys[full], self.at[full]
+            while 2 * self.n > self.size:
+                self.size *= 2
+            self.keys, self.at = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32)
+            self._put(keys, at)
+        self._put(h, np.arange(first, self.n, dtype=np.int32))
+
+    def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, spans of ``data`` in their order, one after another; and how many each has."""
+        if self.n > self.most:
             self.forget()
-        return out, n
+        h = spans(data, start, end)
+        h[h == 0] = 1
+        number = self.find(h)
+        known = np.flatnonzero(number >= 0)
+        known = known[self.text.same(number[known], data, start[known], end[known])]
+        new = np.ones(len(h), bool)
+        new[known] = False
+        new = np.flatnonzero(new)
+        found = self.merges.spans(data.tobytes(), start[new], end[new]) if len(new) else []
+        flat, length = self.ids.take(number[known])
+        own = np.fromiter((x for ids in found for x in ids), np.uint32)
+        n, at = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        n[known], at[known] = length, np.cumsum(length) - length
+        n[new] = [len(x) for x in found]
+        at[new] = len(flat) + np.cumsum(n[new]) - n[new]
+        every, width = np.concatenate([flat, own]), end - start
+        # long words, and those whose hash another word has, are not remembered
+        _, one = np.unique(h[new], return_index=True)
+        keep = new[one]
+        keep = keep[(number[keep] < 0) & (width[keep] <= LONGEST)]
+        self._add(h[keep], data[ragged(start[keep], width[keep])], width[keep], every[ragged(at[keep], n[keep])], n[keep])
+        return every[ragged(at, n)], n
+
+
+class _Pool:
+    """Rows of values one after another, in an array that doubles."""
+
+    def __init__(self, kind: type):
+        self.values, self.first, self.n, self.used = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0, 0
+
+    def extend(self, values: np.ndarray, length: np.ndarray) -> None:
+        while self.used + len(values) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        while self.n + len(length) + 1 > len(self.first):
+            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
+        self.values[self.used : self.used + len(values)] = values
+        self.first[self.n + 1 : self.n + len(length) + 1] = self.used + np.cumsum(length)
+        self.n, self.used = self.n + len(length), self.used + len(values)
+
+    def take(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.first[row + 1] - self.first[row]
+        return self.values[ragged(self.first[row], n)], n
+
+    def same(self, row: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each row holds just the values of its span."""
+        n = self.first[row + 1] - self.first[row]
+        ok = n == end - start
+        at = np.flatnonzero(ok)
+        wrong = self.values[ragged(self.first[row[at]], n[at])] != values[ragged(start[at], n[at])]
+        sums = np.zeros(len(wrong) + 1, np.int64)
+        np.cumsum(wrong, out=sums[1:])
+        ends = np.cumsum(n[at])
+        ok[at] = sums[ends] == sums[ends - n[at]]
+        return ok
 
 
 @cache
-def merges(path: str) -> Merges:
-    return Merges(path)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(Merges(path))
 
 
-def distinct(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The number of each word, a span of ``data`` that begins where the one before it ends or later, and the words."""
+def distinct(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word, a span of ``data`` that begins where the one before it ends or later; the distinct words
+    one after another, and where each begins (and the end)."""
     if not len(start):
-        return np.zeros(0, np.int64), []
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)
     cuts = np.stack([start, end], 1).ravel().astype(np.int64)
     # what is between words is an element of its own, between each two of them
-    spans = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-    coded = spans.dictionary_encode()
+    all_ = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+    coded = all_.dictionary_encode()
     number = coded.indices.to_numpy()[0::2]
     used = np.zeros(len(coded.dictionary), bool)
     used[number] = True
-    return (np.cumsum(used) - 1)[number], coded.dictionary.filter(pa.array(used)).to_pylist()
+    words = coded.dictionary.filter(pa.array(used))
+    _, offs, raw = words.buffers()
+    off = np.frombuffer(offs, np.int64, len(words) + 1, words.offset * 8)
+    return (np.cumsum(used) - 1)[number], np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None else np.zeros(0, np.uint8), off - off[0]
 
 
-def encoded(data: bytes, start: np.ndarray, end: np.ndarray, ids_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def encoded(data: bytes, start: np.ndarray, end: np.ndarray, ids_of: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """All words' ids one after another, and the number of ids of each. ids_of: the same of distinct words."""
-    number, words = distinct(data, start, end)
-    flat, length = ids_of(words)
+    number, words, off = distinct(data, start, end)
+    flat, length = ids_of(words, off[:-1], off[1:])
     first, n = (np.cumsum(length) - length)[number], length[number]
     return flat[ragged(first, n)], n
 

@@ -126,11 +126,14 @@ class Lexicon:
         self.size = size
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word, or -1; all words take their next edge together."""
-        length = np.array([len(w) for w in words], np.int64)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        start = np.cumsum(length) - length
-        out = np.full(len(words), -1, np.int64)
+        """The number of each word, or -1."""
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        return self.numbers_of(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1])[: len(words)], ends)
+
+    def numbers_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same of spans of bytes; all words take their next edge together."""
+        length = end - start
+        out = np.full(len(start), -1, np.int64)
         live = np.flatnonzero(length <= self.longest)
         state, number = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
         for step in range(self.longest + 1):
@@ -171,10 +174,11 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _text.pieces(batches, "text"):
         data, off = _text.utf8(b.column("text"))
         s, e, _ = _text.words(data, off)
-        number, words = _vocab.distinct(data.tobytes(), s, e)
-        for w, n in zip(words, np.bincount(number, minlength=len(words)).tolist()):
-            if len(w) <= _vocab.LONGEST:
-                seen[w] += n
+        number, words, at = _vocab.distinct(data.tobytes(), s, e)
+        raw = words.tobytes()
+        for a, z, n in zip(at[:-1].tolist(), at[1:].tolist(), np.bincount(number, minlength=len(at) - 1).tolist()):
+            if z - a <= _vocab.LONGEST:
+                seen[raw[a:z]] += n
         if len(seen) > TALLY:
             yield tally()
             seen.clear()
@@ -209,7 +213,7 @@ def written_lexicon(docs: DataFrame, path: str, most: int = WORDS) -> str:
     where, name = fs.FileSystem.from_uri(uri)
     where.create_dir(name.rpartition("/")[0], recursive=True)
     with where.open_output_stream(name) as f:
-        f.write(compile_lexicon(zip(ordered, _vocab.merges(path).encode(ordered))))
+        f.write(compile_lexicon(zip(ordered, _vocab.Merges(path).encode(ordered))))
     return uri
 
 
@@ -271,7 +275,7 @@ def _decoder(path: str) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.n
 
 def encode(texts: list[str | None], path: str, lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows one after another, and the rows' offsets. The lexicon is asked first, for each distinct word."""
-    merges = _vocab.merges(path)
+    vocabulary = _vocab.vocabulary(path)
     whole = _vocab.beyond(texts, [t.content for t in _vocab.tokenizer(path).get_added_tokens_decoder().values()])
     skip = set(whole)
     plain = ["" if t is None or i in skip else t for i, t in enumerate(texts)]
@@ -282,18 +286,17 @@ def encode(texts: list[str | None], path: str, lexicon: Lexicon | None = None) -
     none = np.zeros(0, np.int64)
     s, e, first = split(codes, off) if len(codes) else (none, none, np.zeros(len(texts) + 1, np.int64))
 
-    def ids_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not lexicon:
-            return merges.arrays(words)
-        number = lexicon.numbers(words)
-        rest = np.flatnonzero(number < 0)
-        own, count = merges.arrays([words[i] for i in rest.tolist()])
+            return vocabulary(data, start, end)
+        number = lexicon.numbers_of(data, start, end)
+        rest, known = np.flatnonzero(number < 0), number >= 0
+        own, count = vocabulary(data, start[rest], end[rest])
         # the words' ids lie in the lexicon's, followed by those of the words it lacks
-        start, length = lexicon.start[np.maximum(number, 0)].astype(np.int64), np.zeros(len(words), np.int64)
-        known = number >= 0
-        length[known] = lexicon.start[number[known] + 1] - start[known]
-        start[rest], length[rest] = len(lexicon.ids) + np.cumsum(count) - count, count
-        return np.concatenate([lexicon.ids.astype(np.uint32), own])[_text.ragged(start, length)], length
+        at, length = lexicon.start[np.maximum(number, 0)].astype(np.int64), np.zeros(len(number), np.int64)
+        length[known] = lexicon.start[number[known] + 1] - at[known]
+        at[rest], length[rest] = len(lexicon.ids) + np.cumsum(count) - count, count
+        return np.concatenate([lexicon.ids.astype(np.uint32), own])[_text.ragged(at, length)], length
 
     at = _vocab.byte_offsets(codes)
     ids, length = _vocab.encoded(text.encode(), at[s], at[e], ids_of)

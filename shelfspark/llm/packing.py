@@ -91,7 +91,7 @@ def tokenised(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarra
     np.cumsum([len(t) + 2 for t in normal], out=off[1:])
     s, e, first = words_of(codes, off)
     at = _vocab.byte_offsets(codes)
-    ids, length = _vocab.encoded(text.encode(), at[s], at[e], _vocab.merges(path).arrays)
+    ids, length = _vocab.encoded(text.encode(), at[s], at[e], _vocab.vocabulary(path))
     ends = np.zeros(len(s) + 1, np.int64)
     np.cumsum(length, out=ends[1:])
     return _vocab.with_whole(ids, ends[first], texts, whole, path)

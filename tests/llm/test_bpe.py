@@ -6,8 +6,8 @@ import pytest
 import regex
 from tokenizers import Tokenizer
 
-from shelfspark.llm import bpe, packing
-from shelfspark.llm._vocab import Merges
+from shelfspark.llm import _text, _vocab, bpe, packing
+from shelfspark.llm._vocab import Merges, Vocabulary
 
 ODD = [
     "it's we've they'll I'd 'tis ''s 's' x's1 don't  a'b 'S 'RE l'été", "Σίσυφος ΟΔΟΣ İstanbul ß ﬁ é é", "<|endoftext|> hi <|startoftext|>there", "", None, "   ", "a b　c\x1cd\x85e",
@@ -79,14 +79,19 @@ def test_query(awkward, empty, byte_bpe):
     assert bpe.coded(empty).collect() == []
 
 
-def test_a_worker_remembers_few_words():
-    path = bpe.byte_tokenizer()
-    v, r = Merges(path, most=1000), random.Random(2)
-    for _ in range(20):
-        words = list({f" w{r.randrange(4000)}".encode() for _ in range(700)} | {b"long" * 100, b"a", b" "})
-        ids, n = v.arrays(words)
-        assert np.split(ids, np.cumsum(n))[:-1] != [] and [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == v.encode(words)
-        assert len(v.number) <= 1700
+def test_a_worker_remembers_few_words(monkeypatch):
+    """Also where hashes agree, words are told apart by their bytes."""
+    merges, r = Merges(bpe.byte_tokenizer()), random.Random(2)
+    for bits in (64, 6):
+        v = Vocabulary(merges, most=1000)
+        monkeypatch.setattr(_vocab, "spans", lambda *a, b=bits: _text.spans(*a) >> np.uint64(64 - b))
+        for _ in range(20):
+            words = [*{f" w{r.randrange(4000)}".encode() for _ in range(700)}, b"long" * 100, b"a", b" ", b"long" * 100 + b"x"]
+            r.shuffle(words)
+            ends = np.cumsum([len(w) for w in words])
+            ids, n = v(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == merges.encode(words)
+            assert v.n <= 1700
 
 
 def test_words_with_equal_polynomial_hashes():
