@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +55,15 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, what: str) -> DataFrame:
+    """saved(), after which the driver collects its garbage: Spark's cleaner then drops the shuffle files and broadcasts
+    of all that the table was made from, which may be many times its size."""
+    out = saved(df, what)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -101,8 +111,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
-#: A side that is written and below so many bytes is broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 16 << 20
+#: A side that is written and below so many bytes (compressed; several times that in memory) is broadcast; beyond it the
+#: join shuffles.
+BROADCAST_BYTES = 8 << 20
 
 
 def bounded(small: DataFrame, what: str) -> DataFrame:

@@ -18,7 +18,6 @@ not read for a prediction.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -100,12 +99,14 @@ def fit(sample: dict[str, list[str]], counts: dict[str, int], size: int | None =
     langs = sorted(sample)
     found = []
     for lang in langs:
-        seen: Counter = Counter()
+        seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for at in range(0, len(sample[lang]), 200):
             data, off = _text.utf8(pa.array(sample[lang][at : at + 200], pa.large_string()))
             h, n = np.unique(grams(*code_points(data, off))[0], return_counts=True)
-            seen.update(dict(zip(h.tolist(), n.tolist())))
-        found.append(np.array(sorted(seen, key=lambda k: (-seen[k], k))[:most], np.uint64))
+            seen, of = np.unique(np.concatenate([seen, h]), return_inverse=True)
+            times = np.bincount(of, np.concatenate([times, n]), len(seen)).astype(np.int64)
+        found.append(seen[np.lexsort((seen, -times))][:most])
+    _text.release()
     size = size or 1 << max(14, int(np.ceil(np.log2(HASHES * 8 * max([1, *map(len, found)])))))
     size = min(size, 1 << 20)
     bits = np.zeros(((len(langs) + 63) // 64, size), np.uint64)

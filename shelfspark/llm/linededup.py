@@ -84,7 +84,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(docs)
     n = F.length("line")
     hashed = lines.select("doc", "i", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), n.alias("n"), F.expr(_halves("length(line)")).alias("halves"))
-    distinct = _io.saved(hashed.groupBy("h", "g", "n").agg(F.min(F.struct("doc", "i")).alias("at"), F.any_value("halves").alias("halves")), "lines")
+    distinct = _io.settled(hashed.groupBy("h", "g", "n").agg(F.min(F.struct("doc", "i")).alias("at"), F.any_value("halves").alias("halves")), "lines")
     keys = distinct.select("h", "g", "n", "at", F.explode("halves").alias("half"))
     some = _recurring(keys, "half").select("at.doc", "at.i").distinct()
     # the candidates' own text, once more from the documents
@@ -93,7 +93,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # a text is split once, and each line taken by its number
     taken = "element_at(transform(array(split(text, '\n')), ls -> transform(wanted, k -> named_struct('i', k, 'line', ls[k]))), 1)"
     wanted = found.select("doc", F.explode(F.expr(taken)).alias("x")).select("doc", "x.i", "x.line").dropDuplicates(["doc", "i"])
-    gone = _io.saved(near(wanted), "near")
+    gone = _io.settled(near(wanted), "near")
     # every occurrence but the earliest of a line, and all of a line with an earlier neighbour
     whole = distinct.select("h", "g", "n", "at").join(gone.select(F.struct(F.col("doc"), F.col("i")).alias("at"), F.lit(True).alias("gone")), "at", "left")
     occurrences = hashed.select("doc", "i", "h", "g", "n")

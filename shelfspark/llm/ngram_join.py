@@ -187,7 +187,7 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every row."""
     _io.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = _io.saved(docs.withColumn("key", F.expr(KEY)).mapInArrow(_signing(frequent(docs, n), n, percent), SETS), "sets")
+    signed = _io.settled(docs.withColumn("key", F.expr(KEY)).mapInArrow(_signing(frequent(docs, n), n, percent), SETS), "sets")
     full = signed.where("n > 0")
     # equal sets have equal columns
     classes = _io.saved(
@@ -201,17 +201,17 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     keys = met.join(full_of, "c", "left").where((F.col("times") < SEVERAL) | F.col("keeps")).select("c", "n", "x")
     # a band ends where sets are too large to link with its smallest; a class is in its own tile and the one below
     band = f"cast(floor(ln(n) / {1e-9 - float(np.log(percent / 100))!r}) as int)"
-    tiles = _io.saved(keys.withColumn("tile", F.explode(F.expr(f"array({band}, {band} - 1)"))), "tiles")
+    tiles = _io.settled(keys.withColumn("tile", F.explode(F.expr(f"array({band}, {band} - 1)"))), "tiles")
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pivots = tiles.groupBy("x", "tile").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     stars = tiles.join(pivots, ["x", "tile"]).select("c", "n", F.explode(F.array("low", "high")).alias("p")).where("c <> p").distinct()
     sizes = classes.select(F.col("c").alias("p"), F.col("n").alias("m"), F.col("bits").alias("other"))
     stars = stars.join(sizes, "p").where(near).join(classes.select("c", "bits"), "c").where(_bound("n", "m", "bits", "other", percent))
-    stars = _io.saved(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "stars")
+    stars = _io.settled(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "stars")
     links = _io.saved(_verified(stars, classes, docs, n, percent), "links")
     comp = _io.saved(_io.components(links).withColumnsRenamed({"node": "c"}), "components")
     member = classes.select("c", "n", "bits").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    member = _io.saved(member, "members")
+    member = _io.settled(member, "members")
     # classes of different components: first in a sample of the tiles, which joins most of a group whose members share
     # many of them, and then in all tiles that still hold more than one component
     for one_in in (SAMPLED, 1):
@@ -234,7 +234,7 @@ def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str,
     ends = more.join(of.withColumnsRenamed({"c": "a", "component": "p"}), "a").join(of.withColumnsRenamed({"c": "b", "component": "q"}), "b")
     top = _io.components(ends, "p", "q").withColumnsRenamed({"component": "top", "node": "component"})
     member = member.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
-    return _io.saved(member, "members")
+    return _io.settled(member, "members")
 
 
 def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame:
@@ -245,7 +245,7 @@ def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> Da
     # a class is in one block of its tile and meets all blocks; a tile of one block is joined as it is
     open_ = tiles.select("x", "tile", "c").join(split, ["x", "tile"]).join(member, "c").withColumns({"band": F.expr(band), "block": F.expr("pmod(xxhash64(c), blocks)")})
     open_ = open_.withColumn("other_block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "other_block"), "hi": F.greatest("block", "other_block")})
-    open_ = _io.saved(open_.select("x", "tile", "lo", "hi", "block", "band", "c", "n", "component", "bits"), "open")
+    open_ = _io.settled(open_.select("x", "tile", "lo", "hi", "block", "band", "c", "n", "component", "bits"), "open")
     one = open_.withColumnsRenamed({"c": "a"})
     two = open_.withColumnsRenamed({"c": "b", "block": "block_b", "band": "band_b", "n": "m", "component": "of", "bits": "other"})
     # two of one block meet where it meets itself, two of one band in two tiles: one is enough

@@ -272,7 +272,7 @@ def owned(found: DataFrame) -> DataFrame:
     """
     parts = _io.parts(found.sparkSession)
     seeds = found.groupBy("h").agg(F.count("*").alias("times"), F.min("doc").alias("owner"), F.expr("min_by(at, doc) filter (where once)").alias("home"))
-    recurring = _io.saved(seeds.where("times > 1"), "recurring")
+    recurring = _io.settled(seeds.where("times > 1"), "recurring")
     total = recurring.agg(F.sum("times")).first()[0] or 0
     share = max(1, total // (2 * parts))
     salts = F.expr(f"cast(ceil(times / {share}) as int)")
@@ -288,7 +288,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     _io.ship(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(DOC).alias("doc")).withColumn("tie", F.xxhash64("text"))
     found = texts.select("doc", "text").mapInArrow(_seeding(length), "h long, doc long, at int, once boolean")
-    shared = _io.saved(owned(found), "shared")
+    shared = _io.settled(owned(found), "shared")
     pairs = shared.select("doc", "owner", F.expr(f"cast(home div {PIECE} as int)").alias("piece")).distinct()
     wanted = _io.bounded(pairs.select("owner", "piece").distinct().groupBy(F.col("owner").alias("doc")).agg(F.collect_set("piece").alias("wanted")), "wanted")
     # of rows of equal doc_id each gives the piece
@@ -302,7 +302,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     together = rows(texts, 0).unionByName(rows(places, 1)).unionByName(rows(pairs.join(pieces, ["owner", "piece"]), 2))
     together = together.repartition(_io.parts(spark), "doc").sortWithinPartitions("doc", "kind")
-    done = _io.saved(together.mapInArrow(_streaming(length), LOCATED), "located")
+    done = _io.settled(together.mapInArrow(_streaming(length), LOCATED), "located")
     rest = done.select("doc", "tie", F.explode("rest").alias("r")).select("doc", "tie", "r.s", "r.u", "r.v")
     first = rest.groupBy("u", "v").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("u", "v", "first")
     later = rest.join(first, ["u", "v"]).where("doc > first").groupBy("doc", "tie").agg(F.collect_set("s").alias("more"))
