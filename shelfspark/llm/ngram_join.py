@@ -11,8 +11,8 @@ Two documents link when 100 * |x and y| >= percent * |x or y|. The join is exact
 * A tile holds the classes of two neighbouring size bands that share such a shingle: sets that link are in one band
   or in neighbouring ones.
 * First each class is compared with two pivots of each of its tiles, which is linear in a group's size, and links are
-  contracted to components. Then, in tiles that still hold more than one component, classes of different components
-  are compared: bitmaps of hashed shingles bound the overlap from above by |x| less the bits that y lacks, and what
+  contracted to components. Then, in tiles that still hold more than one component (a few tiles of each class first, to
+  contract groups that share many), classes of different components are compared: bitmaps of hashed shingles bound the overlap from above by |x| less the bits that y lacks, and what
   passes is verified by intersecting the sorted sets. Links inside a component are already known to connect. A large
   tile is cut into blocks of classes; two blocks at a time meet, so that no task holds the whole tile.
 
@@ -40,8 +40,8 @@ LONGS = 16
 FREQUENT, MOST_FREQUENT = 200, 50_000
 #: A shingle in the prefixes of so many classes is common.
 SEVERAL = 6
-#: One in so many tiles is looked through before all are.
-SAMPLED = 16
+#: Of each class so many of its shingles are looked through before all are: those of least hash by as many hashes.
+PICKED = 2
 #: Classes in a block of a large tile.
 BLOCK = 256
 #: What a text is fetched by: two texts may share a key, since digests tell which one is meant.
@@ -93,9 +93,9 @@ def _counting(n: int):
             x, k = np.unique(sets(b.column("text"), n)[0], return_counts=True)
             both, at = np.unique(np.concatenate([v, x]), return_inverse=True)
             v, c = both, np.bincount(at, np.concatenate([c, k]), len(both)).astype(np.int64)
-            if len(v) > 250_000:
+            if len(v) > 500_000:
                 v, c = v[c > 1], c[c > 1]
-        often = c >= 4
+        often = c >= 2
         yield pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often])], ["x", "times"])
 
     return run
@@ -212,10 +212,11 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     comp = _io.saved(_io.components(links).withColumnsRenamed({"node": "c"}), "components")
     member = classes.select("c", "n", "bits").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
     member = _io.settled(member, "members")
-    # classes of different components: first in a sample of the tiles, which joins most of a group whose members share
-    # many of them, and then in all tiles that still hold more than one component
-    for one_in in (SAMPLED, 1):
-        member = contracted(tiles.where(f"pmod(xxhash64(x), {one_in}) = 0"), member, stars, band, classes, docs, n, percent)
+    # classes of different components: first in a few tiles of each class, where those of a group that shares many tiles
+    # meet as well but each pair only once or twice, and then in all tiles that still hold more than one component
+    few = picked(tiles)
+    member = contracted(tiles.join(few, ["c", "x"], "left_semi"), member, stars, band, classes, docs, n, percent)
+    member = contracted(tiles, member, stars, band, classes, docs, n, percent)
     of = member.select("c", "component")
     named = full.select("c", "doc_id").join(of, "c")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -224,9 +225,17 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.expr("if(n = 0, doc_id, component_id)").alias("component_id"))
 
 
+def picked(tiles: DataFrame) -> DataFrame:
+    """(c, x): of each class's shingles the PICKED of least hash, each by a hash of its own."""
+    least = tiles.groupBy("c").agg(*[F.min(F.struct(F.xxhash64("x", F.lit(i)).alias("h"), "x")).alias(f"p{i}") for i in range(PICKED)])
+    return least.select("c", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.x") for i in range(PICKED)]))).alias("x"))
+
+
 def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """member with those components made one between which classes of one tile link; pairs in ``known`` were compared before."""
     more = _between(tiles, member, band, percent)
+    if more is None:
+        return member
     more = _io.saved(_verified(more.join(known, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
     if not more.limit(1).count():
         return member
@@ -237,11 +246,14 @@ def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str,
     return _io.settled(member, "members")
 
 
-def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share a tile, are in different components and may link."""
+def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame | None:
+    """Pairs (a, b) of classes that share a tile, are in different components and may link; None if no tile holds two components."""
     placed = tiles.select("x", "tile", "c").join(member.select("c", "component"), "c")
     split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
-    split = split.select("x", "tile", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks"))
+    # a row for each tile, written, so that the rows of a large one can be split among tasks where they meet it
+    split = _io.bounded(split.select("x", "tile", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks")), "split")
+    if not split.limit(1).count():
+        return None
     # a class is in one block of its tile and meets all blocks; a tile of one block is joined as it is
     open_ = tiles.select("x", "tile", "c").join(split, ["x", "tile"]).join(member, "c").withColumns({"band": F.expr(band), "block": F.expr("pmod(xxhash64(c), blocks)")})
     open_ = open_.withColumn("other_block", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"lo": F.least("block", "other_block"), "hi": F.greatest("block", "other_block")})
