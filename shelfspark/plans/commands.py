@@ -280,6 +280,10 @@ class Desk:
         after = after._log(f"deleted media: {m['title']} (ID: {resource})")
         return replace(after, media=R.delete(after.media, resource, self.ordinal)), {"success": True}
 
+    def opened(self, what: str = "the library") -> Desk:
+        """The start of a session, once for each visit."""
+        return self._log(f"opened {what}")
+
     def user_error(self, message: str | None) -> Desk:
         """An error that a user saw, cut to 500 characters."""
         return self._log(f"error shown to user: {(message or '')[:500]}")

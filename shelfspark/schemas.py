@@ -24,20 +24,14 @@ DATE_FORMAT = "MMMM d, yyyy"
 TIME_ZONE = "Europe/Paris"
 LOAN_DAYS = 21
 
-#: Classifications whose members start with the value, and those that equal it.
-PREFIX_CLASSIFICATIONS = {
-    "DVD C": "DVD – Classics",
-    "DVD D": "DVD – Documentaries",
-    "DVD F": "DVD – Film",
-    "DVD K": "DVD – Kids",
-    "DVD S": "DVD – Shakespeare",
-    "DVD TV": "DVD – TV",
-    "English Course": "English Course",
-}
-EXACT_CLASSIFICATIONS = [
-    "Bilingual", "BIOG", "CD", "CF", "DET",
-    "Easy Reader Level 1", "Easy Reader Level 2", "Easy Reader Level 3", "Easy Reader Level 4", "Easy Reader Level 5", "Easy Reader Level 6", "Easy Reader Starter Level",
-    "ELT Magazine", "ELT Magazine CD", "ELT Resource CD", "ELT Resource Folder", "ELT Resource Magazine",
-    "FAN", "FSS", "GEN", "HF", "HUM", "JF", "Kids", "Literature", "Magazine", "RF",
+#: The classifications on offer in their order, with what is shown for those that take all that starts with them.
+CLASSIFICATIONS = [
+    ("Bilingual", None), ("BIOG", None), ("CD", None), ("CF", None), ("DET", None),
+    ("DVD C", "DVD – Classics"), ("DVD D", "DVD – Documentaries"), ("DVD F", "DVD – Film"), ("DVD K", "DVD – Kids"), ("DVD S", "DVD – Shakespeare"), ("DVD TV", "DVD – TV"),
+    ("Easy Reader Level 1", None), ("Easy Reader Level 2", None), ("Easy Reader Level 3", None), ("Easy Reader Level 4", None), ("Easy Reader Level 5", None), ("Easy Reader Level 6", None),
+    ("Easy Reader Starter Level", None), ("ELT Magazine", None), ("ELT Magazine CD", None), ("ELT Resource CD", None), ("ELT Resource Folder", None), ("ELT Resource Magazine", None),
+    ("English Course", "English Course"), ("FAN", None), ("FSS", None), ("GEN", None), ("HF", None), ("HUM", None), ("JF", None), ("Kids", None), ("Literature", None), ("Magazine", None), ("RF", None),
 ]
+PREFIX_CLASSIFICATIONS = {value: label for value, label in CLASSIFICATIONS if label}
+EXACT_CLASSIFICATIONS = [value for value, label in CLASSIFICATIONS if not label]
 NO_CLASSIFICATION, UNCLASSIFIED = "__NONE__", "__UNCLASSIFIED__"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions import text as X
-from shelfspark.schemas import AUDIT_LOCATION, DATE_FORMAT, EXACT_CLASSIFICATIONS, LAST_DISCOVERY, PREFIX_CLASSIFICATIONS, PROPERTY, TABLES
+from shelfspark.schemas import AUDIT_LOCATION, CLASSIFICATIONS, DATE_FORMAT, LAST_DISCOVERY, PROPERTY, TABLES
 
 
 def scan_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -56,9 +56,8 @@ def by_id(df: DataFrame, value: str | int, ordinal: str | None = None) -> DataFr
 
 
 def classifications(spark: SparkSession) -> DataFrame:
-    """value, label and prefix of all options, by value without regard to case."""
-    rows = [(v, label, True) for v, label in PREFIX_CLASSIFICATIONS.items()] + [(v, v, False) for v in EXACT_CLASSIFICATIONS]
-    return spark.createDataFrame(sorted(rows, key=lambda r: r[0].lower()), "value string, label string, prefix boolean")
+    """value, label and prefix of all options, in the order of the list."""
+    return spark.createDataFrame([(value, label or value, label is not None) for value, label in CLASSIFICATIONS], "value string, label string, prefix boolean")
 
 
 def newest(files: DataFrame, prefixes: list[str]) -> DataFrame:
