@@ -52,15 +52,30 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Delete tables that saved() wrote, once all that was made of them is written itself."""
+    for df in frames:
+        if path := getattr(df, "_saved_at", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def collected(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: Spark's cleaner then drops the shuffle files and broadcasts of finished queries."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def settled(df: DataFrame, what: str) -> DataFrame:
-    """saved(), after which the driver collects its garbage: Spark's cleaner then drops the shuffle files and broadcasts
-    of all that the table was made from, which may be many times its size."""
+    """saved(), and collected(): what the table was made from may be many times its size."""
     out = saved(df, what)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    collected(df.sparkSession)
     return out
 
 
@@ -103,12 +118,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u > v")
             .distinct()
         )
-        last, (e, before) = before, written(after)
+        last, old = before, e
+        e, before = written(after)
+        discarded(old)
         if before == last:
             break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    named = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = saved(named, "components")
+    discarded(e)
+    return out
 
 
 #: A side that is written and below so many bytes (compressed; several times that in memory) is broadcast; beyond it the
@@ -120,7 +138,11 @@ def bounded(small: DataFrame, what: str) -> DataFrame:
     """small, written to the shared folder; marked for broadcast only if what was written is small."""
     out = saved(small, what)
     size = int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(out) if size <= BROADCAST_BYTES else out
+    if size > BROADCAST_BYTES:
+        return out
+    marked = F.broadcast(out)
+    marked._saved_at = out._saved_at
+    return marked
 
 
 def unused(name: str, *frames: DataFrame) -> str:

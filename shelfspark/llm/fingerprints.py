@@ -224,7 +224,9 @@ def _with_bits(member: DataFrame, tiles: DataFrame, classes: DataFrame, docs: Da
     ids = _io.bounded(classes.join(open_, "c", "left_semi").select(F.col("doc").alias("doc_id")), "open")
     # a doc_id may stand on several texts: those of other classes do not count, since c is of the text
     made = docs.join(ids, "doc_id", "left_semi").mapInArrow(_bitmaps, "c long, n int, bits array<long>")
-    return _io.settled(member.join(made.dropDuplicates(["c"]), "c", "left"), "members")
+    out = _io.settled(member.join(made.dropDuplicates(["c"]), "c", "left"), "members")
+    _io.discarded(member, ids)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -235,27 +237,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     _io.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     signed = _io.settled(docs.mapInArrow(_banding, "doc_id long, n int, c long, d long, bands array<long>"), "bands")
-    full = signed.where("n > 0")
-    classes = _io.settled(full.groupBy("c", "d").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "classes")
-    banded = classes.select("c", F.posexplode("bands").alias("band", "h"))
+    rows = _io.saved(signed.select("doc_id", "n", "c"), "rows")
+    banding = _io.settled(signed.where("n > 0").groupBy("c", "d").agg(F.min("doc_id").alias("doc"), F.any_value("bands").alias("bands")), "classes")
+    classes = _io.saved(banding.select("c", "doc"), "classes")
+    _io.discarded(signed)
+    banded = banding.select("c", F.posexplode("bands").alias("band", "h"))
     ends = banded.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     tiles = _io.settled(banded.join(ends, ["band", "h"]).select(F.col("h").alias("x"), F.col("band").alias("tile"), "c", "low", "high"), "tiles")
+    _io.discarded(banding)
     stars = tiles.select("c", F.explode(F.array("low", "high")).alias("p")).where("c <> p")
     stars = _io.saved(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "stars")
-    comp = _io.components(ngram_join._verified(stars, classes, docs, WORDS, PERCENT)).withColumnsRenamed({"node": "c"})
-    member = tiles.select("c").distinct().join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    links = ngram_join._verified(stars, classes, docs, WORDS, PERCENT)
+    comp = _io.components(links)
+    member = tiles.select("c").distinct().join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     member = _with_bits(_io.settled(member, "members"), tiles, classes, docs)
+    _io.discarded(links, comp)
     # in a few bands first, which joins most of a group whose members share many of them, and then in all
     for bands in (SAMPLED, BANDS):
         member = ngram_join.contracted(tiles.where(F.col("tile") < bands), member, stars, "tile", classes, docs, WORDS, PERCENT)
     of_class = classes.select("c", "doc").join(member.select("c", "component"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     of_class = _io.settled(of_class, "components")
+    _io.discarded(tiles, stars, member, classes)
     first = of_class.groupBy("component").agg(F.min("doc").alias("class_id"))
-    named = full.select("doc_id", "c").join(of_class.join(first, "component").select("c", "class_id"), "c").select("doc_id", "class_id")
-    return named.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    named = rows.where("n > 0").select("doc_id", "c").join(of_class.join(first, "component").select("c", "class_id"), "c").select("doc_id", "class_id")
+    return named.unionByName(rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """fingerprints_with_edits and the documents' near-duplicate classes."""
     classes = _io.bounded(near_duplicates(docs), "classes")
+    _io.collected(docs.sparkSession)
     return fingerprints_with_edits(docs).join(classes, "doc_id", "left")

@@ -180,7 +180,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     texts = texts.where("doc_id is not null").drop("doc_id").unionByName(texts.where("doc_id is null").drop("doc_id").dropDuplicates(["doc", "tie"]))
     side = lambda x: texts.withColumnsRenamed({c: f"{c}_{x}" for c in ("doc", "tie", "text")})
     both = p.join(side("a"), "doc_a").join(side("b"), "doc_b")
-    return both.sortWithinPartitions("doc_b", "tie_b", "doc_a", "tie_a").mapInArrow(_verifying(n, percent), "a long, b long").distinct()
+    ok = both.sortWithinPartitions("doc_b", "tie_b", "doc_a", "tie_a").mapInArrow(_verifying(n, percent), "a long, b long").distinct()
+    links = _io.saved(ok, "links")
+    _io.discarded(p, ids)
+    return links
 
 
 def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -188,12 +191,13 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     _io.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = _io.settled(docs.withColumn("key", F.expr(KEY)).mapInArrow(_signing(frequent(docs, n), n, percent), SETS), "sets")
-    full = signed.where("n > 0")
     # equal sets have equal columns
     classes = _io.saved(
-        full.groupBy("c", "d").agg(F.min("key").alias("doc"), F.any_value("n").alias("n"), F.any_value("k").alias("k"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")),
+        signed.where("n > 0").groupBy("c", "d").agg(F.min("key").alias("doc"), F.any_value("n").alias("n"), F.any_value("k").alias("k"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")),
         "classes",
     )
+    rows = _io.saved(signed.select("doc_id", "n", "c"), "rows")
+    _io.discarded(signed)
     listed = classes.select("c", "n", "k", F.explode("prefix").alias("x"))
     many = listed.groupBy("x").agg(F.count("*").alias("times")).where("times > 1")
     met = _io.saved(listed.join(many, "x"), "met")
@@ -202,26 +206,30 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # a band ends where sets are too large to link with its smallest; a class is in its own tile and the one below
     band = f"cast(floor(ln(n) / {1e-9 - float(np.log(percent / 100))!r}) as int)"
     tiles = _io.settled(keys.withColumn("tile", F.explode(F.expr(f"array({band}, {band} - 1)"))), "tiles")
+    prefixes, classes = classes, _io.saved(classes.select("c", "doc", "n", "bits"), "sizes")
+    _io.discarded(met, prefixes)
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pivots = tiles.groupBy("x", "tile").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     stars = tiles.join(pivots, ["x", "tile"]).select("c", "n", F.explode(F.array("low", "high")).alias("p")).where("c <> p").distinct()
     sizes = classes.select(F.col("c").alias("p"), F.col("n").alias("m"), F.col("bits").alias("other"))
     stars = stars.join(sizes, "p").where(near).join(classes.select("c", "bits"), "c").where(_bound("n", "m", "bits", "other", percent))
     stars = _io.settled(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "stars")
-    links = _io.saved(_verified(stars, classes, docs, n, percent), "links")
-    comp = _io.saved(_io.components(links).withColumnsRenamed({"node": "c"}), "components")
-    member = classes.select("c", "n", "bits").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    links = _verified(stars, classes, docs, n, percent)
+    comp = _io.components(links)
+    member = classes.select("c", "n", "bits").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     member = _io.settled(member, "members")
+    _io.discarded(links, comp)
     # classes of different components: first in a few tiles of each class, where those of a group that shares many tiles
     # meet as well but each pair only once or twice, and then in all tiles that still hold more than one component
-    few = picked(tiles)
-    member = contracted(tiles.join(few, ["c", "x"], "left_semi"), member, stars, band, classes, docs, n, percent)
-    member = contracted(tiles, member, stars, band, classes, docs, n, percent)
+    few = _io.saved(tiles.join(picked(tiles), ["c", "x"], "left_semi"), "few")
+    for some in (few, tiles):
+        member = contracted(some, member, stars, band, classes, docs, n, percent)
+    _io.discarded(few, tiles, stars, classes)
     of = member.select("c", "component")
-    named = full.select("c", "doc_id").join(of, "c")
+    named = rows.where("n > 0").select("c", "doc_id").join(of, "c")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = of.join(least, "component").select("c", "component_id")
-    out = signed.select("doc_id", "n", "c").join(of_class, "c", "left")
+    out = rows.join(of_class, "c", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.expr("if(n = 0, doc_id, component_id)").alias("component_id"))
 
 
@@ -233,17 +241,20 @@ def picked(tiles: DataFrame) -> DataFrame:
 
 def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """member with those components made one between which classes of one tile link; pairs in ``known`` were compared before."""
-    more = _between(tiles, member, band, percent)
-    if more is None:
+    found = _between(tiles, member, band, percent)
+    if found is None:
         return member
-    more = _io.saved(_verified(more.join(known, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
+    more = _verified(found.join(known, ["a", "b"], "left_anti"), classes, docs, n, percent)
+    _io.discarded(found)
     if not more.limit(1).count():
         return member
     of = member.select("c", "component")
     ends = more.join(of.withColumnsRenamed({"c": "a", "component": "p"}), "a").join(of.withColumnsRenamed({"c": "b", "component": "q"}), "b")
-    top = _io.components(ends, "p", "q").withColumnsRenamed({"component": "top", "node": "component"})
-    member = member.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top")
-    return _io.settled(member, "members")
+    comp = _io.components(ends, "p", "q")
+    top = comp.withColumnsRenamed({"component": "top", "node": "component"})
+    new = _io.settled(member.join(top, "component", "left").withColumn("component", F.coalesce("top", "component")).drop("top"), "members")
+    _io.discarded(more, comp, member)
+    return new
 
 
 def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame | None:
@@ -262,7 +273,9 @@ def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> Da
     two = open_.withColumnsRenamed({"c": "b", "block": "block_b", "band": "band_b", "n": "m", "component": "of", "bits": "other"})
     # two of one block meet where it meets itself, two of one band in two tiles: one is enough
     apart = f"a < b and (block <> block_b or lo = hi) and component <> of and tile = least(band, band_b) and 100 * least(n, m) >= {percent} * greatest(n, m)"
-    return one.join(two, ["x", "tile", "lo", "hi"]).where(apart).where(_bound("n", "m", "bits", "other", percent)).select("a", "b").distinct()
+    pairs = _io.saved(one.join(two, ["x", "tile", "lo", "hi"]).where(apart).where(_bound("n", "m", "bits", "other", percent)).select("a", "b").distinct(), "between")
+    _io.discarded(open_, split)
+    return pairs
 
 
 def _bound(n: str, m: str, x: str, y: str, percent: int) -> str:

@@ -303,6 +303,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     together = rows(texts, 0).unionByName(rows(places, 1)).unionByName(rows(pairs.join(pieces, ["owner", "piece"]), 2))
     together = together.repartition(_io.parts(spark), "doc").sortWithinPartitions("doc", "kind")
     done = _io.settled(together.mapInArrow(_streaming(length), LOCATED), "located")
+    _io.discarded(shared, pieces, wanted)
     rest = done.select("doc", "tie", F.explode("rest").alias("r")).select("doc", "tie", "r.s", "r.u", "r.v")
     first = rest.groupBy("u", "v").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("u", "v", "first")
     later = rest.join(first, ["u", "v"]).where("doc > first").groupBy("doc", "tie").agg(F.collect_set("s").alias("more"))
