@@ -14,7 +14,6 @@ lexicon and result.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 
@@ -167,22 +166,31 @@ def _lexicon(uri: str) -> Lexicon:
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words split at white space with their counts. A tally that grows large is handed on and begun anew."""
 
-    def tally() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+    def tally() -> pa.Table:
+        return pa.concat_tables(parts).group_by("w").aggregate([("n", "sum")]).select(["w", "n_sum"]).rename_columns(["w", "n"])
 
-    seen: Counter[bytes] = Counter()
-    for b in _text.pieces(batches, "text"):
+    def handed_on(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        w = t["w"].combine_chunks().cast(pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([w, t["n"].combine_chunks()], ["w", "n"])
+
+    parts: list[pa.Table] = []
+    rows = 0
+    for b in _text.pieces(batches, "text", 1 << 19):
         data, off = _text.utf8(b.column("text"))
         s, e, _ = _text.words(data, off)
         number, words, at = _vocab.distinct(data.tobytes(), s, e)
-        raw = words.tobytes()
-        for a, z, n in zip(at[:-1].tolist(), at[1:].tolist(), np.bincount(number, minlength=len(at) - 1).tolist()):
-            if z - a <= _vocab.LONGEST:
-                seen[raw[a:z]] += n
-        if len(seen) > TALLY:
-            yield tally()
-            seen.clear()
-    yield tally()
+        short = pa.array(np.diff(at) <= _vocab.LONGEST)
+        own = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(words.tobytes())])
+        parts.append(pa.table({"w": own, "n": pa.array(np.bincount(number, minlength=len(at) - 1))}).filter(short))
+        rows += len(parts[-1])
+        if rows > 4 * TALLY:
+            parts = [tally()]
+            rows = len(parts[0])
+            if rows > TALLY:
+                yield from handed_on(parts.pop())
+                rows = 0
+    if parts:
+        yield from handed_on(tally())
 
 
 def frequent_words(docs: DataFrame, most: int = WORDS) -> list[str]:
