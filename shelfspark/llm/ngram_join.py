@@ -40,8 +40,9 @@ LONGS = 16
 FREQUENT, MOST_FREQUENT = 200, 50_000
 #: A shingle in the prefixes of so many classes is common.
 SEVERAL = 6
-#: Of each class so many of its shingles are looked through before all are: those of least hash by as many hashes.
-PICKED = 2
+#: Of each class the first shingle of its prefix, so many of the last, which are the most common ones, and one in SAMPLED
+#: of all are looked through before the rest is.
+LAST, SAMPLED = 4, 12
 #: Classes in a block of a large tile.
 BLOCK = 256
 #: What a text is fetched by: two texts may share a key, since digests tell which one is meant.
@@ -95,7 +96,7 @@ def _counting(n: int):
             v, c = both, np.bincount(at, np.concatenate([c, k]), len(both)).astype(np.int64)
             if len(v) > 500_000:
                 v, c = v[c > 1], c[c > 1]
-        often = c >= 2
+        often = c >= 4
         yield pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(c[often])], ["x", "times"])
 
     return run
@@ -198,11 +199,12 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     )
     rows = _io.saved(signed.select("doc_id", "n", "c"), "rows")
     _io.discarded(signed)
-    listed = classes.select("c", "n", "k", F.explode("prefix").alias("x"))
+    at = classes.select("c", "n", "k", F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "x"))
+    listed = at.select("c", "n", "k", "x", F.expr(f"i = 0 or i >= size - {LAST} or pmod(xxhash64(x), {SAMPLED}) = 0").alias("pick"))
     many = listed.groupBy("x").agg(F.count("*").alias("times")).where("times > 1")
     met = _io.saved(listed.join(many, "x"), "met")
     full_of = met.where(F.col("times") >= SEVERAL).groupBy("c", "k").agg(F.count("*").alias("common")).where("common >= k").select("c", F.lit(True).alias("keeps"))
-    keys = met.join(full_of, "c", "left").where((F.col("times") < SEVERAL) | F.col("keeps")).select("c", "n", "x")
+    keys = met.join(full_of, "c", "left").where((F.col("times") < SEVERAL) | F.col("keeps")).select("c", "n", "x", "pick")
     # a band ends where sets are too large to link with its smallest; a class is in its own tile and the one below
     band = f"cast(floor(ln(n) / {1e-9 - float(np.log(percent / 100))!r}) as int)"
     tiles = _io.settled(keys.withColumn("tile", F.explode(F.expr(f"array({band}, {band} - 1)"))), "tiles")
@@ -221,10 +223,9 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     _io.discarded(links, comp)
     # classes of different components: first in a few tiles of each class, where those of a group that shares many tiles
     # meet as well but each pair only once or twice, and then in all tiles that still hold more than one component
-    few = _io.saved(tiles.join(picked(tiles), ["c", "x"], "left_semi"), "few")
-    for some in (few, tiles):
+    for some in (tiles.where("pick"), tiles):
         member = contracted(some, member, stars, band, classes, docs, n, percent)
-    _io.discarded(few, tiles, stars, classes)
+    _io.discarded(tiles, stars, classes)
     of = member.select("c", "component")
     named = rows.where("n > 0").select("c", "doc_id").join(of, "c")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -233,12 +234,6 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.expr("if(n = 0, doc_id, component_id)").alias("component_id"))
 
 
-def picked(tiles: DataFrame) -> DataFrame:
-    """(c, x): of each class's shingles the PICKED of least hash, each by a hash of its own."""
-    least = tiles.groupBy("c").agg(*[F.min(F.struct(F.xxhash64("x", F.lit(i)).alias("h"), "x")).alias(f"p{i}") for i in range(PICKED)])
-    return least.select("c", F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.x") for i in range(PICKED)]))).alias("x"))
-
-
 def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """member with those components made one between which classes of one tile link; pairs in ``known`` were compared before."""
     found = _between(tiles, member, band, percent)
@@ -259,11 +254,13 @@ def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str,
 
 def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame | None:
     """Pairs (a, b) of classes that share a tile, are in different components and may link; None if no tile holds two components."""
-    placed = tiles.select("x", "tile", "c").join(member.select("c", "component"), "c")
+    names = _io.bounded(member.select("c", "component"), "names")
+    placed = tiles.select("x", "tile", "c").join(names, "c")
     split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
     # a row for each tile, written, so that the rows of a large one can be split among tasks where they meet it
     split = _io.bounded(split.select("x", "tile", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks")), "split")
     if not split.limit(1).count():
+        _io.discarded(names, split)
         return None
     # a class is in one block of its tile and meets all blocks; a tile of one block is joined as it is
     open_ = tiles.select("x", "tile", "c").join(split, ["x", "tile"]).join(member, "c").withColumns({"band": F.expr(band), "block": F.expr("pmod(xxhash64(c), blocks)")})
@@ -274,7 +271,7 @@ def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> Da
     # two of one block meet where it meets itself, two of one band in two tiles: one is enough
     apart = f"a < b and (block <> block_b or lo = hi) and component <> of and tile = least(band, band_b) and 100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = _io.saved(one.join(two, ["x", "tile", "lo", "hi"]).where(apart).where(_bound("n", "m", "bits", "other", percent)).select("a", "b").distinct(), "between")
-    _io.discarded(open_, split)
+    _io.discarded(open_, split, names)
     return pairs
 
 
