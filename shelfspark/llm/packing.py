@@ -8,7 +8,7 @@ lays as many equal sequences at once as the counts allow. Each filling wastes as
 counted in salted groups, so that no length's pieces meet in one task.
 
 Cases: null and empty texts are the end id alone; repeated rows are documents of their own; documents whose doc_id is
-null are packed too; an empty table gives an empty result; columns other than doc_id and text are ignored.
+null are packed too; any number of short texts may share a sequence; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,48 +140,53 @@ def reachable(counts: dict[int, int], space: int) -> list[int]:
 def fillings(lengths: list[int], counts: dict[int, int], space: int, budget: int = 400, sums: list[int] | None = None) -> list[int]:
     """A filling of ``space`` with the least waste there is: lengths in descending order, none used too often.
 
-    lengths: those with a count, ascending. The incumbent is best fit: always the largest length that fits. Branch and
-    bound goes on from it, larger lengths first: a branch ends when the space is filled, or when the largest sum that the
-    remaining lengths reach in what is left (``sums``, see reachable(), of these counts or larger ones) cannot waste less
-    than the incumbent does. A filling into which another length would fit is dominated and is never kept.
+    lengths: those with a count, ascending. The incumbent is best fit: always the largest length that fits, as often as it
+    fits. Branch and bound goes on from it, a length and how often it is taken at each level (so that there are less than a
+    hundred levels, however short the pieces are), larger lengths and numbers first: a branch ends when the space is filled,
+    or when the largest sum that the remaining lengths reach in what is left (``sums``, see reachable(), of these counts or
+    larger ones) cannot waste less than the incumbent does. A filling into which another length would fit wastes more than
+    one with it, and is not kept.
 
     Sums of larger counts than these are bounds that may not be met. So when ``budget`` nodes are visited, the sums of
     just these counts are made, and completed() follows them to the least waste: the budget decides about time alone.
     """
-    best, least = [], space
+    best: list[tuple[int, int]] | None = None
+    least = space + 1
     nodes = 0
     sums = sums or reachable(counts, space)
 
     def waste(free: int, top: int) -> int:
         return free + 1 - (sums[min(free, top)] & ((2 << free) - 1)).bit_length()
 
-    def search(free: int, top: int, used: list[int]) -> bool:
+    def search(free: int, below: int, used: list[tuple[int, int]]) -> bool:
+        """Fill with lengths of indices under ``below``; whether to stop."""
         nonlocal best, least, nodes
-        nodes += 1
-        i = bisect_right(lengths, min(free, top)) - 1
-        full = True
+        i = bisect_right(lengths, free, 0, below) - 1
+        if i < 0 and free < least:
+            best, least = list(used), free
         while i >= 0:
             size = lengths[i]
-            if counts[size] > used.count(size):
-                full = False
-                # the first way down is best fit, whatever the bound says; smaller choices reach no more than this one
-                if best and waste(free, size) >= least:
-                    break
-                if not best or waste(free - size, size) < least:
-                    used.append(size)
-                    if search(free - size, size, used):
+            for times in range(min(counts[size], free // size), 0, -1):
+                # the first way down is best fit, whatever the bound says
+                if best is not None and waste(free, size) >= least:
+                    return False
+                nodes += 1
+                if best is None or waste(free - times * size, size - 1) < least:
+                    used.append((size, times))
+                    if search(free - times * size, i, used):
                         return True
                     used.pop()
+                if nodes > budget and best is not None:
+                    return True
             i -= 1
-        if full and free < least:
-            best, least = list(used), free
-        return least == 0 or nodes > budget
+        return least == 0
 
-    search(space, space, [])
+    search(space, len(lengths), [])
+    found = [size for size, times in best or [] for _ in range(times)]
     if nodes > budget and least > 0:
         other = completed(lengths, counts, space)
-        return other if sum(other) > sum(best) else best
-    return best
+        return other if sum(other) > sum(found) else found
+    return found
 
 
 def completed(lengths: list[int], counts: dict[int, int], space: int) -> list[int]:
@@ -214,7 +220,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[list[int
         fill = fillings([x for x in lengths if counts[x]] if not counts[top] else lengths, counts, length - top, sums=sums)
         counts[top] += 1
         sequence = [top, *fill]
-        need = {x: sequence.count(x) for x in set(sequence)}
+        need = Counter(sequence)
         times = min(counts[x] // k for x, k in need.items())
         out.append((sequence, times))
         for x, k in need.items():

@@ -129,3 +129,26 @@ def test_sequences_against_the_lower_bound(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     row = P.packed(df).selectExpr("count(distinct sequence_id) as used", "sum(length) as tokens").first()
     assert row["used"] <= -(-row["tokens"] // P.LENGTH) + 2
+
+
+def test_short_pieces_are_packed_at_the_bound():
+    """However many pieces share a sequence: no recursion by piece, and no time by their number."""
+    r = random.Random(8)
+    mixes = [{1: 1_000_000}, {1: 1100}, {4: 20_000, 4000: 3}, {1: 40_000, 3000: 7, 4096: 2}]
+    mixes += [{k: r.randrange(1, 60_000) for k in range(1, 9) if r.random() < 0.6} or {8: 3} for _ in range(12)]
+    for h in mixes:
+        sequences = P.plan(dict(h))
+        got = Counter()
+        for s, times in sequences:
+            assert sum(s) <= 4096
+            for x in s:
+                got[x] += times
+        assert got == h
+        assert sum(t for _, t in sequences) == -(-sum(k * v for k, v in h.items()) // 4096)
+
+
+def test_many_empty_texts(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "if(id % 50 = 0, repeat('some words ', 300), if(id % 2 = 0, '', null)) as text")
+    rows = P.packed(df).select("length", "sequence_id", "offset").collect()
+    assert len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // 4096)
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == 20_000
