@@ -153,7 +153,7 @@ def _table(user: np.ndarray, v: Versions) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(v.batch[at] if len(at) else at, mask=gone), pa.array(v.start[at] if len(at) else at, mask=gone)], COLUMNS)
 
 
-def _merging(gap: int):
+def _merging(gap: int, items: int = ITEMS):
     """Items in order of user and start; whole stretches are worked on, what may go on waits for the next batch."""
     names = ("user", "batch", "start", "end", "n", "h")
 
@@ -176,23 +176,24 @@ def _merging(gap: int):
             a = b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        most = ITEMS
+        held: list[list[np.ndarray]] = []
+        rows, most = 0, items
         for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= most:
+            held.append([b.column(k).to_numpy() for k in names])
+            rows += b.num_rows
+            if rows >= most:
                 x, opens = read(held)
                 cut = int(np.flatnonzero(opens)[-1])
                 if cut:
                     yield from worked({k: v[:cut] for k, v in x.items()}, opens[:cut])
-                held = [pa.RecordBatch.from_arrays([pa.array(x[k][cut:]) for k in names], list(names))]
-                most = max(ITEMS, 2 * held[0].num_rows)
-        if held and sum(x.num_rows for x in held):
+                held = [[x[k][cut:] for k in names]]
+                rows -= cut
+                most = max(items, 2 * rows)
+        if rows:
             yield from worked(*read(held))
 
-    def read(held: list[pa.RecordBatch]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        t = pa.Table.from_batches(held)
-        x = {k: t[k].to_numpy() for k in names}
+    def read(held: list[list[np.ndarray]]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        x = dict(zip(names, map(np.concatenate, zip(*held))))
         user, start, end = x["user"], x["start"], x["end"]
         opens = np.ones(len(user), bool)
         same = user[1:] == user[:-1]
