@@ -39,11 +39,28 @@ SAYS = {
     "current": 'Cannot delete "{title}" — {n} {copies} currently on loan and not yet due. Return {it} first.',
 }
 
+#: What the audit log says.
+LOGS = {
+    "out": 'checked out "{title}" (barcode={barcode}) to {name} (borrower={borrower}) for {days} days',
+    "out by name": 'checked out by name "{title}" (barcode={barcode}) to {name} (borrower={borrower}) for {days} days',
+    "in": 'returned "{title}" (barcode={barcode}) from {name}',
+    "in by id": "returned loan: {outcome}",
+    "more": 'extended "{title}" (barcode={barcode}) by {days} days',
+    "more by id": "extended loan: {loan} by {days} days",
+    "lost": 'deleted overdue loan during resource deletion: "{title}" (barcode={barcode}, loan={loan}, borrower={name})',
+    "deleted": "deleted media: {title} (ID: {resource})",
+    "created": "created media: {title}",
+    "updated": "updated media: {title} (ID: {resource})",
+}
+
 
 class Circulated(NamedTuple):
     loans: DataFrame
     outcomes: DataFrame
     audit: DataFrame
+    #: The loans that commands reached, as they were and as they are.
+    before: DataFrame
+    after: DataFrame
 
 
 def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circulated:
@@ -51,7 +68,8 @@ def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circula
 
     todo: seq (order), op (checkout, return or extend), barcode as the catalogue spells it; of a checkout also title,
     borrowerId and borrowerName; days is optional. Commands on one barcode see what the earlier ones did. A barcode has
-    one loan at most: of several checkouts the first wins.
+    one loan at most: of several checkouts the first wins. Rows of equal id and barcode are one loan; loans of other
+    barcodes stay, whatever their ids.
     """
     have = set(todo.columns)
     cell = lambda c, kind, default: (F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in have else F.lit(default).cast(kind)).alias(c)
@@ -87,18 +105,20 @@ def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circula
       else named_struct('loan', cast({extended} as {loan_type}), 'done', {result(ok, says_more, more)}) end"""
     folded = j.withColumn("f", F.expr(f"aggregate(ops, named_struct('loan', cast(loan as {loan_type}), 'done', cast(array() as {done})), (s, o) -> {step})"))
     after = folded.where("f.loan is not null").select("f.loan.*")
-    seen = folded.where("loan is not null").select(F.col("loan.id").alias("id"))
+    seen = folded.where("loan is not null").select("loan.id", "loan.barcode")
     each = folded.select("barcode", F.explode("f.done").alias("d")).select("d.*", "barcode")
     return Circulated(
-        loans.select(*names).join(seen, "id", "left_anti").select(*names).unionByName(after),
+        loans.select(*names).join(seen, ["id", "barcode"], "left_anti").select(*names).unionByName(after),
         each.select("seq", "op", "barcode", F.col("error").isNull().alias("success"), "error", "dueDate"),
         each.where("action is not null").select("seq", "action"),
+        folded.where("loan is not null").select("loan.*"),
+        after,
     )
 
 
 def said(what: str, **values: Column | str) -> Column:
-    """What the desk says as a column: columns stand for the message's placeholders."""
-    parts = re.split(r"\{(\w+)\}", SAYS[what])
+    """What the desk says (or logs) as a column: columns stand for the message's placeholders."""
+    parts = re.split(r"\{(\w+)\}", SAYS.get(what) or LOGS[what])
     value = lambda v: (F.col(v) if isinstance(v, str) else v).cast("string")
     return F.concat(*[value(values[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
 

@@ -17,6 +17,7 @@ from shelfspark.functions.copies import exploded, k3_loan, k4_loan
 from shelfspark.functions.text import text
 from shelfspark.operators import boxes
 from shelfspark.operators import rows as R
+from shelfspark.operators.ids import identified
 from shelfspark.plans.commands import SAYS, circulate, resolve, said
 from shelfspark.schemas import LOAN_DAYS, LOANS, TABLES
 
@@ -157,7 +158,8 @@ def deletions(media: DataFrame, loans: DataFrame, todo: DataFrame, as_of: D.Day
 def saves(df: DataFrame, table: str, todo: DataFrame) -> Done:
     """Create and update rows. todo: seq, id (blank to create) and any of the table's columns: null leaves a cell as it is.
 
-    Of several updates of one row the last one counts. New ids follow from seq and the row's cells.
+    Updates of one row add up: of each cell the last value that is given counts. New ids are running numbers in the order
+    of seq, shown as ids that the table doesn't have (operators.ids).
     """
     what, label = {"Borrowers": ("borrower", "name"), "Media": ("media", "title"), "Loans": ("loan", "title")}[table]
     given = [c for c in TABLES[table].names if c != "id" and c in todo.columns]
@@ -165,9 +167,9 @@ def saves(df: DataFrame, table: str, todo: DataFrame) -> Done:
     j = todo.join(df.select(F.col("id").alias("known")).distinct(), F.col("id") == F.col("known"), "left")
     error = F.when((F.col("id") != "") & F.col("known").isNull(), F.concat(F.lit(f"{table} with ID "), "id", F.lit(" not found")))
     j = j.withColumn("error", error)
-    new = todo.where("id = ''").withColumn("id", R.seeded_id(table[0], "seq", *given))
-    patch = j.where("known is not null").groupBy("id").agg(*[F.max_by(F.struct(c), "seq").alias(f"new_{c}") for c in given])
-    old = df.join(patch, "id", "left").select(*[(F.coalesce(F.col(f"new_{c}")[c], F.col(c)).alias(c) if c in given else F.col(c)) for c in df.columns])
+    new = identified(todo.where("id = ''").drop("id"), "seq", df, table[0])
+    patch = j.where("known is not null").groupBy("id").agg(F.count("*").alias("n_patches"), *[F.expr(f"max_by({c}, seq) filter (where {c} is not null)").alias(f"new_{c}") for c in given])
+    old = df.join(patch, "id", "left").select(*[(F.coalesce(f"new_{c}", c).alias(c) if c in given else F.col(c)) for c in df.columns])
     name = text(label) if label in todo.columns else F.lit("")
     action = F.when(F.col("id") == "", F.concat(F.lit(f"created {what}: "), name)).otherwise(F.concat(F.lit(f"updated {what}: "), name, F.lit(" (ID: "), F.col("id"), F.lit(")")))
     return Done(R.insert(old, table, new), j.select("seq", "id", F.col("error").isNull().alias("success"), "error"), j.select("seq", action.alias("action")))
