@@ -20,6 +20,7 @@ from shelfspark.functions.text import cut, same_id
 from shelfspark.operators import availability as A
 from shelfspark.operators import boxes
 from shelfspark.operators import rows as R
+from shelfspark.operators.ids import numbered_id
 from shelfspark.plans.queries import in_catalogue, loan_of, owner_of
 from shelfspark.schemas import LOAN_DAYS, LOANS, TABLES
 from shelfspark.sources.tables import by_id
@@ -66,24 +67,26 @@ class Circulated(NamedTuple):
 def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circulated:
     """Fold checkouts, returns and extensions over the loans.
 
-    todo: seq (order), op (checkout, return or extend), barcode as the catalogue spells it; of a checkout also title,
+    todo: seq (order; a running number for the library's life, from which new loans' ids are made: no two below 26 * 10**9
+    make the same, operators.ids), op (checkout, return or extend), barcode as the catalogue spells it; of a checkout also title,
     borrowerId and borrowerName; days is optional. Commands on one barcode see what the earlier ones did. A barcode has
     one loan at most: of several checkouts the first wins. Rows of equal id and barcode are one loan; loans of other
     barcodes stay, whatever their ids.
     """
     have = set(todo.columns)
     cell = lambda c, kind, default: (F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in have else F.lit(default).cast(kind)).alias(c)
-    op = F.struct(F.col("seq").cast("long").alias("seq"), "op", cell("title", "string", ""), cell("borrowerId", "string", ""), cell("borrowerName", "string", ""), cell("days", "int", LOAN_DAYS))
+    op = F.struct(
+        F.col("seq").cast("long").alias("seq"), "op", cell("title", "string", ""), cell("borrowerId", "string", ""), cell("borrowerName", "string", ""), cell("days", "int", LOAN_DAYS),
+        F.when(F.col("op") == "checkout", numbered_id("L", "seq")).alias("new"),
+    )
     per = todo.groupBy("barcode").agg(F.sort_array(F.collect_list(op)).alias("ops"))
     names = LOANS.names
     now = loans.groupBy("barcode").agg(F.min(F.struct(*names)).alias("loan"))
     j = per.join(now, "barcode", "left").withColumn("day", D.day(as_of))
     loan_type = "struct<" + ",".join(f"{n}:string" for n in names) + ">"
     fmt = "MMMM d, yyyy"
-    seed = "xxhash64(barcode, o.seq)"
-    new_id = f"concat('L', lpad(cast(pmod({seed}, 100000) as string), 5, '0'), char(cast(65 + pmod(shiftright({seed}, 20), 26) as int)), lpad(cast(pmod(shiftright({seed}, 30), 10000) as string), 4, '0'))"
     due = "coalesce(try_to_date(s.loan.dueDate, 'MMMM d, yyyy'), try_to_date(s.loan.dueDate, 'yyyy-MM-dd'))"
-    checked = f"named_struct('id', {new_id}, 'barcode', barcode, 'title', o.title, 'checkoutDate', date_format(day, '{fmt}'), 'dueDate', date_format(date_add(day, o.days), '{fmt}'), 'borrowerName', o.borrowerName, 'borrowerId', o.borrowerId)"
+    checked = f"named_struct('id', o.new, 'barcode', barcode, 'title', o.title, 'checkoutDate', date_format(day, '{fmt}'), 'dueDate', date_format(date_add(day, o.days), '{fmt}'), 'borrowerName', o.borrowerName, 'borrowerId', o.borrowerId)"
     more = f"coalesce(date_format(date_add({due}, o.days), '{fmt}'), s.loan.dueDate)"
     extended = f"named_struct('id', s.loan.id, 'barcode', s.loan.barcode, 'title', s.loan.title, 'checkoutDate', s.loan.checkoutDate, 'dueDate', {more}, 'borrowerName', s.loan.borrowerName, 'borrowerId', s.loan.borrowerId)"
     done = "array<struct<seq:bigint,op:string,error:string,action:string,dueDate:string>>"

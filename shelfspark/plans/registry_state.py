@@ -8,10 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import copies as K
-from shelfspark.plans import mixed
-from shelfspark.plans.registry import _DATE, DAY, _copies, _q, _tables
+from shelfspark.operators import ids
+from shelfspark.operators import rows as R
+from shelfspark.plans import desk, mixed
+from shelfspark.plans import queries as Q
+from shelfspark.plans.kept import KeptCounts
+from shelfspark.plans.postings import Postings
+from shelfspark.plans.registry import _DATE, _MEMBER, DAY, _copies, _counts, _has, _q, _tables
 from shelfspark.plans.registry_commands import ORACLE_SQL, QUERIES
+from shelfspark.schemas import BORROWERS, MEDIA, PROPERTY, TABLES
 from shelfspark.sources import fixtures as S
+from shelfspark.sources import store as W
+from shelfspark.sources import tables as T
+from shelfspark.sources.parts import Parts, indexed
+from shelfspark.streaming import circulation
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -78,3 +88,219 @@ def mixed_outcomes(spark, d):
 def mixed_loans(spark, d):
     out = _mixed(spark, d).loans
     return out.select("barcode", "dueDate", F.col("id").startswith("LP").alias("old"))
+
+
+# ---- the same as a stream with keyed state --------------------------------------------------------------------------
+
+
+@_q("C1_to_C10_stream_outcomes", f"""with c as (select copy, row_number() over (order by copy) as n from {_copies('K2')})
+  select n * 10 + 1 as seq, 'checkout' as op, c.copy as barcode, l.id is null as success, null::varchar as "dueDate" from c left join loans l on l.barcode = c.copy
+  union all select n * 10 + 2, 'extend', copy, true, strftime(coalesce({_DATE.format('l."dueDate"')}, date '{DAY}' + 21) + 7, '%B %-d, %Y') from c left join loans l on l.barcode = c.copy
+  union all select n * 10 + 3, 'return', copy, true, null from c where right(copy, 1) = '1'
+  union all select n * 10 + 4, 'extend', copy, right(copy, 1) <> '1', case when right(copy, 1) <> '1' then strftime(coalesce({_DATE.format('l."dueDate"')}, date '{DAY}' + 21) + 14, '%B %-d, %Y') end from c left join loans l on l.barcode = c.copy""".replace("with c as", "select * from (with c as", 1) + ")")
+def stream_outcomes(spark, d):
+    """A checkout, an extension, for every first copy a return, and another extension, in two runs of a stream."""
+    _, m, loans = _tables(spark, d)
+    path = W.scratch(spark, "stream")
+    c = W.numbered(K.exploded(m, "K2").select(F.col("copy").alias("barcode")).orderBy("barcode"), "n").select("barcode", F.col("n").cast("long").alias("n"))
+    command = lambda rows, k, op: rows.select((F.col("n") * 10 + k).alias("seq"), F.lit(op).alias("op"), "barcode", F.lit(7 if op == "extend" else 21).alias("days"))
+    kind = "seq long, op string, barcode string, days int"
+    for part in (command(c, 1, "checkout").union(command(c, 2, "extend")), command(c.where("right(barcode, 1) = '1'"), 3, "return").union(command(c, 4, "extend"))):
+        part.write.mode("append").parquet(f"{path}/in")
+        circulation.start(spark.readStream.schema(kind).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint", loans, DAY).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("seq", "op", "barcode", "success", "dueDate")
+
+
+# ---- kept counts and postings ----------------------------------------------------------------------------------------
+
+
+def _kept(spark, d) -> KeptCounts:
+    """Counts made with the loans of first copies, to which two commits add those of others and take some of them away again."""
+    _, m, loans = _tables(spark, d)
+    path = W.scratch(spark, "kept")
+    loans.write.parquet(f"{path}/loans")
+    loans = spark.read.parquet(f"{path}/loans")
+    own = lambda *k: loans.where(F.right("barcode", F.lit(1)).isin(list(k)))
+    kept = KeptCounts(spark, f"{path}/counts", n=8).create(m, own("1"))
+    kept.commit_loans(1, loans.limit(0), own("2", "3"))
+    kept.commit_loans(2, own("3"), loans.limit(0))
+    changed = m.where("id like '%7'")
+    kept.commit_media(3, changed, changed.withColumn("barcodes", F.concat("barcodes", F.lit("|NEW"))))
+    return kept
+
+
+_CHANGED = "(select id, case when id like '%7' then barcodes || '|NEW' else barcodes end as barcodes from media)"
+_FEWER = "(select * from loans where right(barcode, 1) <> '3')"
+
+
+@_q("J4_kept_counts", f"with changed as {_CHANGED}, fewer as {_FEWER} select * from {_counts('K2').replace('media', 'changed').replace('loans', 'fewer')}".replace("with changed", "select * from (with changed", 1) + ")")
+def j4_kept(spark, d):
+    return _kept(spark, d).counts.read()
+
+
+@_q("P1_search_members_postings", f"select *, {_MEMBER} from borrowers where {_has('r#00000001', 'name', 'email')}")
+def p1_postings(spark, d):
+    """Members found through postings of three characters."""
+    p = Postings(spark, W.scratch(spark, "postings"), BORROWERS, ["name", "email"], n=8).create(S.borrowers(spark, d))
+    return Q.members(p.search("R#00000001"), DAY)
+
+
+@_q("P3_search_media_postings", f"select id, title from media where {_has('l giz', 'title', 'author', 'type', 'classification', 'barcodes')}")
+def p3_postings(spark, d):
+    m = S.media(spark, d)
+    return Postings(spark, W.scratch(spark, "postings"), MEDIA, ["title", "author", "type", "classification", "barcodes"], n=8).create(m).search("L Giz").select("id", "title")
+
+
+# ---- tables in parts, ids, patches -----------------------------------------------------------------------------------
+
+
+@_q("M2_update_in_parts", "select id, case when id = 'M000042' then 'Changed' else title end as title, barcodes from media")
+def m2_parts(spark, d):
+    """One part is rewritten; see tests/test_kept.py for its files."""
+    p = Parts(spark, W.scratch(spark, "parts"), MEDIA, n=8).create(S.media(spark, d))
+    p.upsert(R.update(p.find("M000042"), "M000042", {"title": "Changed"}))
+    return p.read().select("id", "title", "barcodes")
+
+
+@_q("M3_delete_in_parts", "select id, title from media where id not like '%42'")
+def m3_parts(spark, d):
+    p = Parts(spark, W.scratch(spark, "parts"), MEDIA, n=8).create(S.media(spark, d))
+    p.upsert(p.read([]), p.read().where("id like '%42'").select("id"))
+    return p.read().select("id", "title")
+
+
+@_q("S3_found_in_parts", "select * from media where id = 'M000042'")
+def s3_parts(spark, d):
+    """A look-up that reads one part, and in it the row groups that may hold the id."""
+    return Parts(spark, W.scratch(spark, "parts"), MEDIA, n=8).create(S.media(spark, d)).find("M000042")
+
+
+@_q("J8_loan_by_key_indexed", "select * from loans where lower(barcode) in (select lower('P' || lpad(p_partkey::varchar, 6, '0') || 'C1') from part where p_partkey in (5, 9, 42))")
+def j8_indexed(spark, d):
+    """Loans with a Bloom filter on the key by which scans look them up."""
+    path = W.scratch(spark, "loans")
+    indexed(S.loans(spark, d).withColumn("key", K.k4_loan("barcode")).sort("key"), "key", "id").parquet(path)
+    return spark.read.parquet(path).where(F.col("key").isin("p000005c1", "p000009c1", "p000042c1")).drop("key")
+
+
+@_q("M5_distinct_ids", "select /*plain*/ count(*) as n, count(*) as ids, count(*) as shaped from lineitem")
+def m5(spark, d):
+    """An id for each line by its running number: none twice."""
+    li = W.numbered(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey").orderBy("l_orderkey"), "n")
+    made = li.select(ids.numbered_id("L", "n").alias("id"))
+    return made.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("id").rlike(r"^L\d{5}[A-Z]\d{4}$")).alias("shaped"))
+
+
+@_q("C11_patches_of_one_row", "select id, title || ' 3' as title, author || ' 2' as author, type, barcodes from media")
+def c11_patches(spark, d):
+    """Three patches of every resource: title, author, and the title again. Each cell has the last value given."""
+    m = S.media(spark, d)
+    seq = lambda k: (F.abs(F.crc32("id")) * 4 + k).alias("seq")
+    cell = lambda c, k: F.concat(c, F.lit(f" {k}")).alias(c)
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    todo = m.select(seq(1), "id", cell("title", 1), none("author")).union(m.select(seq(2), "id", none("title"), cell("author", 2))).union(m.select(seq(3), "id", cell("title", 3), none("author")))
+    return desk.saves(m, "Media", todo).state.select("id", "title", "author", "type", "barcodes")
+
+
+# ---- files, configuration, headers, the audit log ----------------------------------------------------------------------
+
+
+def _touched(spark, path: str, seconds: int) -> None:
+    """Set when a file was last modified."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).setTimes(where, seconds * 1000, -1)
+
+
+def _sheet(df: DataFrame, path: str) -> str:
+    """df as one CSV file of that name, as a spreadsheet is."""
+    spark, folder = df.sparkSession, W.scratch(df.sparkSession, "sheet")
+    df.coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if x.getPath().getName().endswith(".csv"))
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path).getParent())
+    fs.rename(part, jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+@_q("S6_newest_of_files", "select * from borrowers where id like '%1'")
+def s6_files(spark, d):
+    """Of several files of members in a folder the newest is found, by name and time alone, and opened."""
+    b, folder = S.borrowers(spark, d), W.scratch(spark, "files")
+    for name, rows, at in (("Borrowers old.csv", b.where("id like '%0'"), 1000), ("Borrowers new.csv", b.where("id like '%1'"), 3000), ("all Borrowers.csv", b, 9000), ("Borrowers too.csv", b.where("id like '%2'"), 3000)):
+        _touched(spark, _sheet(rows, f"{folder}/{name}"), at)
+    config = T.Config()
+    T.discover(T.listing(spark, folder, list(TABLES)), config, DAY)
+    return config.open(spark, "Borrowers")
+
+
+def _configured(spark, d) -> T.Config:
+    """All three tables written and configured, and where the audit log is."""
+    config, where = T.Config(), W.scratch(spark, "tables")
+    for t, df in zip(("Borrowers", "Media", "Loans"), _tables(spark, d)):
+        df.write.parquet(f"{where}/{t}")
+        config.set(PROPERTY[t], f"{where}/{t}")
+    config.set_audit(f"{where}/audit")
+    return config
+
+
+@_q("S8_configured_tables", "select 'Borrowers' as \"table\", count(*) as n from borrowers union all select 'Media', count(*) from media union all select 'Loans', count(*) from loans")
+def s8(spark, d):
+    config = _configured(spark, d)
+    found = [t for t, where in config.master().items() if where and t in TABLES]
+    return reduce(DataFrame.union, [config.open(spark, t).agg(F.lit(t).alias("table"), F.count("*").alias("n")) for t in found])
+
+
+@_q("M18_cleared", "select count(*) as n, 0::bigint as tables, 1::bigint as logs from loans")
+def m18(spark, d):
+    """The tables are forgotten, their files and the audit log's place stay."""
+    config = _configured(spark, d)
+    where = config.location("Loans")
+    config.clear()
+    left = [config.open(spark, t) for t in TABLES]
+    return spark.read.parquet(where).agg(F.count("*").alias("n"), F.lit(sum(x is not None for x in left) + (config.master() is not None)).cast("long").alias("tables"), F.lit(int(config.audit() is not None)).cast("long").alias("logs"))
+
+
+@_q("M6_header_put_in", "select * from media union all select 'a', 'b', 'c', 'd', 'e', 'f', 'g'")
+def m6(spark, d):
+    """A file whose first line has other names: it gets a header above, and that line stays as a row."""
+    config, where = T.Config(), W.scratch(spark, "sheet")
+    config.set(PROPERTY["Media"], _sheet(S.media(spark, d).toDF(*"abcdefg"), f"{where}/Media.csv"))
+    T.ensure_headers(spark, config, "Media", f"{where}/Media with header.csv")
+    T.ensure_headers(spark, config, "Media", f"{where}/not needed.csv")
+    return config.open(spark, "Media")
+
+
+@_q("M8_headers_of_all", "select 'Borrowers' as \"table\", count(*) > 0 as success from borrowers union all select 'Loans', count(*) > 0 from loans union all select 'Media', count(*) < 0 from media")
+def m8(spark, d):
+    """Two tables as they should be, and one without its first column."""
+    config = _configured(spark, d)
+    where = W.scratch(spark, "media")
+    S.media(spark, d).drop("id").write.parquet(where)
+    config.set(PROPERTY["Media"], where)
+    out = T.initialise_headers(spark, config)
+    return reduce(DataFrame.union, [config.raw(spark, t).limit(1).select(F.lit(t).alias("table"), F.lit(r["success"]).alias("success")) for t, r in out.items()])
+
+
+@_q("M9_backfilled_ids", "select 'new' as id, title, barcodes from media")
+def m9(spark, d):
+    """Resources without ids get one each, once."""
+    config, where = T.Config(), W.scratch(spark, "media")
+    S.media(spark, d).drop("id").write.parquet(where)
+    config.set(PROPERTY["Media"], where)
+    for k in range(2):
+        T.backfill(spark, config, f"{where}-{k}")
+    out = config.open(spark, "Media")
+    return out.select(F.when(F.col("id").rlike(r"^M[0-9]{5}[A-Z][0-9]{4}$"), "new").alias("id"), "title", "barcodes")
+
+
+@_q("M16_audit_in_its_place", 'select /*plain*/ ts as "Timestamp", user_id::varchar as "User", event_type as "Action" from events')
+def m16(spark, d):
+    """The log is created where the configuration says, without a record; then one batch is appended, and again."""
+    config, rows = T.Config(), S.audit(spark, d)
+    config.set_audit(W.scratch(spark, "audit"))
+    W.create_audit(spark, config.audit())
+    W.read_audit(spark, config.audit()).count()
+    for _ in range(2):
+        W.append_audit(rows, config.audit(), 1)
+    return W.read_audit(spark, config.audit())

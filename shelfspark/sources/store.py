@@ -56,13 +56,25 @@ class Snapshots:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{where[name]}") if name in TABLES else self.spark.read.parquet(f"{self.path}/{where[name]}")
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Timestamp, User and Action, partitioned by day."""
-    rows.selectExpr("Timestamp", "User", "Action", "to_date(Timestamp) as day").write.mode("append").partitionBy("day").parquet(path)
+def append_audit(rows: DataFrame, path: str, batch: str | int | None = None) -> None:
+    """Timestamp, User and Action, partitioned by day, in a folder of the batch's own.
+
+    A batch with a name (or number) that is appended again takes the place of what it wrote before, so that a job that
+    failed may be run again; one without gets a name that nobody else has.
+    """
+    name = uuid.uuid4().hex if batch is None else str(batch)
+    rows.selectExpr("Timestamp", "User", "Action", "to_date(Timestamp) as day").write.mode("overwrite").partitionBy("day").parquet(f"{path.rstrip('/')}/batch={name}")
+
+
+def create_audit(spark: SparkSession, path: str) -> None:
+    """An audit log without a record, with its columns; one that is there stays as it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], AUDIT).write.parquet(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*AUDIT.names)
+    return spark.read.schema(AUDIT).option("recursiveFileLookup", True).parquet(path)
 
 
 def scratch(spark: SparkSession, what: str) -> str:

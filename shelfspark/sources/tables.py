@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -74,6 +76,23 @@ def newest(files: DataFrame, prefixes: list[str]) -> DataFrame:
     )
 
 
+def listing(spark: SparkSession, folder: str, prefixes: list[str] | None = None) -> DataFrame:
+    """id (path), name and lastModified of the files in a folder and those below; with prefixes only of names that start so.
+
+    A scan that lists: each prefix is a glob of its own, which is all that storage is asked for, and no content is read.
+    """
+    escaped = ["*"] if prefixes is None else [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) + "*" for p in prefixes]
+    scans = [spark.read.format("binaryFile").option("pathGlobFilter", g).option("recursiveFileLookup", True).load(folder).select("path", "modificationTime") for g in escaped]
+    found = reduce(DataFrame.unionByName, scans)
+    return found.select(F.col("path").alias("id"), F.substring_index("path", "/", -1).alias("name"), F.col("modificationTime").alias("lastModified")).distinct()
+
+
+def first_of(spark: SparkSession, folder: str) -> str | None:
+    """The first table file of a container: a folder of CSV files is what a spreadsheet of sheets is, in the order of names."""
+    csv = listing(spark, folder).where(F.lower("name").endswith(".csv"))
+    return csv.agg(F.min_by("id", "name")).first()[0]
+
+
 @dataclass
 class Config:
     """Where the tables are, as properties that may be kept in a JSON file."""
@@ -172,6 +191,29 @@ def initialise_headers(spark: SparkSession, config: Config) -> dict[str, dict]:
     return out
 
 
+def ensure_headers(spark: SparkSession, config: Config, table: str, path: str) -> dict:
+    """If the configured table's first columns have other names, write it to ``path`` with the expected ones, and configure that.
+
+    A CSV file's first line is then taken for a row, which stays, below the header that is put above it; Parquet columns
+    are named by position. Further columns are not kept: a scan by position ignores them.
+    """
+    df = config.raw(spark, table)
+    if df is None:
+        return {"success": False, "error": f"{table} is not configured"}
+    if headers_match(df, table):
+        return {"success": True, "inserted": False}
+    where = config.location(table)
+    if where.endswith(".csv"):
+        names = TABLES[table].names
+        lines = spark.read.schema(TABLES[table]).option("header", False).csv(where)
+        path = path if path.endswith(".csv") else path + ".csv"
+        write_csv(lines.select(*names), table, path)
+    else:
+        decode(df, table).write.parquet(path)
+    config.set(PROPERTY[table], path)
+    return {"success": True, "inserted": True}
+
+
 def backfill(spark: SparkSession, config: Config, path: str, table: str = "Media") -> dict:
     """Write the configured table with ids to ``path`` and configure that, if it has no ids yet; how many rows got one."""
     df = config.raw(spark, table)

@@ -22,6 +22,12 @@ def actions_by_window(log: DataFrame, width: str = "1 hour", late: str = "10 min
     return log.withWatermark("Timestamp", late).groupBy(F.window("Timestamp", width), kind.alias("kind")).agg(F.count("*").alias("n")).select("window.start", "window.end", "kind", "n")
 
 
+def once(records: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Records of a stream (Timestamp, batch, seq) without those that a source sends again: one each of batch and seq, while
+    it may still come; what it has seen is forgotten after the watermark."""
+    return records.withWatermark("Timestamp", late).dropDuplicatesWithinWatermark(["batch", "seq"])
+
+
 def circulate_stream(commands: DataFrame, store: Snapshots, audit: str, checkpoint: str, as_of: Day = None) -> StreamingQuery:
     """Apply each micro-batch of commands to the stored loans. The store remembers the last batch, so that one that is
     run again after its snapshot was saved is skipped. ``audit`` is a folder of the stream's own with a part for each

@@ -1,5 +1,6 @@
 """What is kept and changed in parts equals what is computed anew."""
 
+import os
 import random
 from pathlib import Path
 
@@ -12,8 +13,10 @@ from shelfspark.operators import ids
 from shelfspark.plans import commands, desk, kept, postings
 from shelfspark.schemas import BORROWERS, LOANS, MEDIA
 from shelfspark.sources import fixtures as S
-from shelfspark.sources.parts import PART, Parts
+from shelfspark.sources import tables as T
+from shelfspark.sources.parts import PART, Parts, indexed
 from tests.test_edges import DAY, loans, media
+from tests.test_mixed import frozen
 
 
 def rows(df, *columns):
@@ -151,6 +154,7 @@ def test_patches_of_one_row_add_up(spark):
     want = []
     for _, i, patch in todo:
         d, out = d.save("Borrowers", patch | {"id": i})
+        d = frozen(spark, d)
         want.append((out["success"], out.get("error")))
     table = spark.createDataFrame([(n, i, *[p.get(c) for c in cols]) for n, i, p in todo], "seq long, id string, " + ", ".join(f"{c} string" for c in cols))
     done = desk.saves(b, "Borrowers", table)
@@ -167,3 +171,48 @@ def test_loans_of_one_id(spark):
     assert rows(out.loans, "id", "barcode") == [("L1", "C")] and rows(out.before, "barcode") == [("A",)] and out.after.count() == 0
 
 
+
+
+# ---- look-ups and files ----
+
+
+def test_a_look_up_skips_row_groups(spark, tmp_path):
+    """Keys in no order, so that only Bloom filters can tell which row groups lack one."""
+    path = str(tmp_path / "t")
+    indexed(spark.range(150_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("key")).coalesce(1), "key", row_group=1 << 20).parquet(path)
+    key = spark.range(1).select(F.sha2(F.lit("777"), 256)).first()[0]
+    for wanted, rows_ in ((key, [777]), ("0" * 64, [])):
+        df = spark.read.parquet(path).where(F.col("key") == wanted).select("id", "key")
+        assert [r["id"] for r in df.collect()] == rows_
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert scan.metrics().get("numOutputRows").get().value() < 50_000
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    """Newest by prefix, ties by path; names with characters that mean something in a glob; content is not read."""
+    for name, at in (("Media 2023.csv", 100), ("Media b.csv", 300), ("below/Media a.csv", 300), ("My Media.csv", 900), ("Loans [x]{y} *1%.csv", 5), ("Loans x.csv", 9)):
+        p = tmp_path / "f" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("id,title\nM1,t\n")
+        os.utime(p, (at, at))
+    found = T.listing(spark, str(tmp_path / "f"), ["Media", "Loans [x]{y} *"])
+    assert {r["name"] for r in found.collect()} == {"Media 2023.csv", "Media b.csv", "Media a.csv", "Loans [x]{y} *1%.csv"}
+    assert T.listing(spark, str(tmp_path / "f")).count() == 6
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,modificationTime:timestamp>" in plan
+    best = T.newest(T.listing(spark, str(tmp_path / "f"), ["Media"]), ["Media"]).first()
+    assert best["spreadsheetName"] == "Media b.csv" and best["spreadsheetId"].endswith("/f/Media b.csv")  # "Media b" is before "below" by path
+    assert T.first_of(spark, str(tmp_path / "f")).endswith("Loans [x]{y} *1%.csv")
+
+
+def test_a_header_is_put_in(spark, tmp_path):
+    c = T.Config()
+    assert T.ensure_headers(spark, c, "Loans", str(tmp_path / "x"))["error"] == "Loans is not configured"
+    (tmp_path / "loans.csv").write_text('L1,A1,"a, b",,"March 5, 2026",n,B1\nL2,A2,,,,,\n')
+    c.set("LOANS_ID", str(tmp_path / "loans.csv"))
+    assert T.ensure_headers(spark, c, "Loans", str(tmp_path / "with")) == {"success": True, "inserted": True}
+    assert T.ensure_headers(spark, c, "Loans", str(tmp_path / "again")) == {"success": True, "inserted": False}
+    assert rows(c.open(spark, "Loans"), "id", "title", "dueDate") == [("L1", "a, b", "March 5, 2026"), ("L2", "", "")]
+    loans(spark, {"id": "L5"}).toDF(*"abcdefg").write.parquet(str(tmp_path / "p"))
+    c.set("LOANS_ID", str(tmp_path / "p"))
+    assert T.ensure_headers(spark, c, "Loans", str(tmp_path / "q"))["inserted"] and c.raw(spark, "Loans").columns == LOANS.names and c.open(spark, "Loans").count() == 1
