@@ -201,17 +201,19 @@ def joined(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     _io.discarded(signed)
     at = classes.select("c", "n", "k", F.size("prefix").alias("size"), F.posexplode("prefix").alias("i", "x"))
     listed = at.select("c", "n", "k", "x", F.expr(f"i = 0 or i >= size - {LAST} or pmod(xxhash64(x), {SAMPLED}) = 0").alias("pick"))
-    many = listed.groupBy("x").agg(F.count("*").alias("times")).where("times > 1")
-    met = _io.saved(listed.join(many, "x"), "met")
+    # a band ends where sets are too large to link with its smallest; of two classes only neighbouring bands can meet
+    band = f"cast(floor(ln(n) / {1e-9 - float(np.log(percent / 100))!r}) as int)"
+    many = listed.groupBy("x").agg(F.count("*").alias("times"), F.expr(f"max({band}) - min({band})").alias("apart"))
+    met = _io.saved(listed.join(many.where("times > 2 or times = 2 and apart < 2").select("x", "times"), "x"), "met")
     full_of = met.where(F.col("times") >= SEVERAL).groupBy("c", "k").agg(F.count("*").alias("common")).where("common >= k").select("c", F.lit(True).alias("keeps"))
     keys = met.join(full_of, "c", "left").where((F.col("times") < SEVERAL) | F.col("keeps")).select("c", "n", "x", "pick")
-    # a band ends where sets are too large to link with its smallest; a class is in its own tile and the one below
-    band = f"cast(floor(ln(n) / {1e-9 - float(np.log(percent / 100))!r}) as int)"
-    tiles = _io.settled(keys.withColumn("tile", F.explode(F.expr(f"array({band}, {band} - 1)"))), "tiles")
+    # a class is in its own tile and the one below; classes of one band meet in their own, so a tile needs one that it is the own of
+    tiles = keys.withColumn("tile", F.explode(F.expr(f"array({band}, {band} - 1)"))).withColumn("own", F.expr(f"tile = {band}"))
+    tiles = _io.settled(tiles, "tiles")
     prefixes, classes = classes, _io.saved(classes.select("c", "doc", "n", "bits"), "sizes")
     _io.discarded(met, prefixes)
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    pivots = tiles.groupBy("x", "tile").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    pivots = tiles.groupBy("x", "tile").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bool_or("own").alias("some")).where("low <> high and some").drop("some")
     stars = tiles.join(pivots, ["x", "tile"]).select("c", "n", F.explode(F.array("low", "high")).alias("p")).where("c <> p").distinct()
     sizes = classes.select(F.col("c").alias("p"), F.col("n").alias("m"), F.col("bits").alias("other"))
     stars = stars.join(sizes, "p").where(near).join(classes.select("c", "bits"), "c").where(_bound("n", "m", "bits", "other", percent))
@@ -255,8 +257,8 @@ def contracted(tiles: DataFrame, member: DataFrame, known: DataFrame, band: str,
 def _between(tiles: DataFrame, member: DataFrame, band: str, percent: int) -> DataFrame | None:
     """Pairs (a, b) of classes that share a tile, are in different components and may link; None if no tile holds two components."""
     names = _io.bounded(member.select("c", "component"), "names")
-    placed = tiles.select("x", "tile", "c").join(names, "c")
-    split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high")
+    placed = tiles.select("x", "tile", "c", "own").join(names, "c")
+    split = placed.groupBy("x", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.bool_or("own").alias("some")).where("low <> high and some")
     # a row for each tile, written, so that the rows of a large one can be split among tasks where they meet it
     split = _io.bounded(split.select("x", "tile", F.expr(f"cast(ceil(size / {BLOCK}) as int)").alias("blocks")), "split")
     if not split.limit(1).count():
