@@ -5,7 +5,7 @@ n-gram's positions is the set of all languages that (may) contain it. For each d
 language, the counts are corrected for the filter's false positives, and the highest count decides.
 
 Learning. The filters are fitted on a bounded sample of labelled rows: of each language's distinct texts the ``sample``
-of least hash, as long as they are ``SAMPLE_BYTES`` at most together; no single text above ``LONGEST_BYTES`` is learned
+of least hash, as long as they are ``SAMPLE_BYTES`` at most together (and an equal share of ``ALL_BYTES`` for all languages); no single text above ``LONGEST_BYTES`` is learned
 from. The sample follows from the texts alone, so that null, equal or repeated doc_ids don't matter, and copies count
 once. From it come the most frequent n-grams, at most ``grams`` for each language. Rows with a null language or text are
 not learned from. A filter has 2 ** 20 positions at most, since three of them are taken from one 64-bit hash.
@@ -32,6 +32,8 @@ from shelfspark.llm._chars import code_points, lowered
 N, HASHES, UND = 4, 3, "und"
 GRAMS, SAMPLE = 6000, 800
 SAMPLE_BYTES, LONGEST_BYTES = 16 << 20, 1 << 20
+#: Bytes of the sample over all languages: where there are many, each has an equal share of it.
+ALL_BYTES = 128 << 20
 
 
 @dataclass
@@ -157,7 +159,7 @@ def sampled(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[dict[
     few = narrow.where((place < rate[F.col("lang")]) & (F.col("size") <= LONGEST_BYTES)).groupBy("lang", "h").agg(F.min("size").alias("size"))
     order = Window.partitionBy("lang").orderBy(F.col("h").bitwiseAND((1 << 52) - 1), "h")
     few = few.withColumns({"rank": F.row_number().over(order), "bytes": F.sum("size").over(order)})
-    few = few.where((F.col("rank") <= sample) & (F.col("bytes") <= SAMPLE_BYTES)).select("lang", "h")
+    few = few.where((F.col("rank") <= sample) & (F.col("bytes") <= min(SAMPLE_BYTES, ALL_BYTES // len(counts)))).select("lang", "h")
     texts = rows.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # ``sample`` rows a language
     out: dict[str, list[str]] = {k: [] for k in counts}
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):

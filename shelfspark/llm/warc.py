@@ -31,6 +31,8 @@ from shelfspark.llm import _io, _text
 
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
+#: A payload of more pages than this doesn't bring them together.
+MANY = 256
 FRAME_BYTES, FRAME_RECORDS, BUNDLE_BYTES = 256 << 10, 128, 64 << 20
 DATE = "2026-01-01T00:00:00Z"
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
@@ -174,10 +176,17 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     where, base = _opened(folder)
     where.create_dir(base, recursive=True)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.sha1("html"))
-    largest = rows.where(F.octet_length("html") >= least).groupBy("key").agg(F.max("page_id").alias("largest"))
-    dealt = rows.join(largest, "key", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")))
+    largest = rows.where(F.octet_length("html") >= least).groupBy("key").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies"))
+    largest = _io.saved(largest.where("copies > 1"), "largest")
+    # payloads of many pages are few, and joined as they are; their pages then have keys that differ, and meet in no task
+    many = _io.bounded(largest.where(F.col("copies") > MANY).select("key", F.col("largest").alias("of_many")), "many")
+    few = largest.where(F.col("copies") <= MANY).select(F.col("key").alias("few_key"), F.col("largest").alias("of_few"))
+    rows = rows.join(many, "key", "left").withColumn("few_key", F.expr("if(of_many is null, key, concat('many', cast(xxhash64(page_id, url) as string)))"))
+    dealt = rows.join(few, "few_key", "left").withColumn("largest", F.coalesce("of_many", "of_few"))
+    dealt = dealt.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")))
     index = dealt.select("page_id", "url", "html", "refers_to").mapInArrow(_writer(folder), INDEX)
     index.write.parquet(f"{folder}/index")
+    _io.discarded(largest, many)
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 
 

@@ -62,3 +62,18 @@ def test_frames_and_seek_table(spark):
     assert whole == b"".join(records)
     with pytest.raises(ValueError):
         warc.parse(records[3].replace(b"\3", b"\4"))
+
+
+def test_a_payload_of_most_pages_is_dealt(spark, monkeypatch):
+    """One payload in nine of ten pages: its pages are written by many tasks, without help from adaptive execution."""
+    monkeypatch.setattr(warc, "MANY", 10)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pages = [(i, f"http://h/{i}", "<p>same</p>" if i % 10 else f"<p>{i % 70}</p>") for i in range(2000)]
+        df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+        assert rows(warc.round_trip(df)) == brute(pages)
+        index = warc.write(df, _io.fresh(spark, "warc"))
+        per = [r["count"] for r in index.groupBy("bundle").count().collect()]
+        assert len(per) == 8 and max(per) < 2 * len(pages) / 8
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
