@@ -20,6 +20,7 @@ from shelfspark.operators import rows as R
 from shelfspark.operators.ids import identified
 from shelfspark.plans.commands import SAYS, circulate, resolve, said
 from shelfspark.schemas import LOAN_DAYS, LOANS, TABLES
+from shelfspark.sources.store import scratch
 
 
 class Done(NamedTuple):
@@ -44,7 +45,13 @@ def _held(media: DataFrame) -> DataFrame:
 
 
 def _circulated(loans: DataFrame, judged: DataFrame, op: str, as_of: D.Day, late: Column, audit: Column, *more: str) -> Done:
-    """Run the commands without an error; ``late`` is what those hear that an earlier command forestalled."""
+    """Run the commands without an error; ``late`` is what those hear that an earlier command forestalled.
+
+    What was judged is written, since both the fold and the outcomes go on from it.
+    """
+    path = scratch(judged.sparkSession, "judged")
+    judged.write.parquet(path)
+    judged = judged.sparkSession.read.schema(judged.schema).parquet(path)
     ok = judged.where("error is null").withColumn("op", F.lit(op))
     out = circulate(loans, ok, as_of)
     got = out.outcomes.select("seq", F.col("success").alias("ran"), "dueDate")
