@@ -52,6 +52,7 @@ LOGS = {
     "deleted": "deleted media: {title} (ID: {resource})",
     "created": "created media: {title}",
     "updated": "updated media: {title} (ID: {resource})",
+    "opened": "opened {what}",
 }
 
 
@@ -305,7 +306,7 @@ class Desk:
 
     def opened(self, what: str = "the library") -> Desk:
         """The start of a session, once for each visit."""
-        return self._log(f"opened {what}")
+        return self._log(LOGS["opened"].format(what=what))
 
     def user_error(self, message: str | None) -> Desk:
         """An error that a user saw, cut to 500 characters."""
@@ -316,3 +317,7 @@ def logged_error(message: Column | str) -> Column:
     return F.concat(F.lit("error shown to user: "), cut(message))
 
 
+
+
+def logged_session(what: str = "the library") -> Column:
+    return F.lit(LOGS["opened"].format(what=what))

@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions import copies as K
+from shelfspark.operators import classification as C
 from shelfspark.operators import ids
 from shelfspark.operators import rows as R
-from shelfspark.plans import desk, mixed
+from shelfspark.plans import commands, desk, mixed
 from shelfspark.plans import queries as Q
 from shelfspark.plans.kept import KeptCounts
 from shelfspark.plans.postings import Postings
-from shelfspark.plans.registry import _DATE, _MEMBER, DAY, _copies, _counts, _has, _q, _tables
+from shelfspark.plans.registry import _DATE, _MEMBER, DAY, _copies, _counts, _has, _q, _sql_class, _tables
 from shelfspark.plans.registry_commands import ORACLE_SQL, QUERIES
-from shelfspark.schemas import BORROWERS, MEDIA, PROPERTY, TABLES
+from shelfspark.schemas import BORROWERS, CLASSIFICATIONS, MEDIA, NO_CLASSIFICATION, PROPERTY, TABLES, UNCLASSIFIED
 from shelfspark.sources import fixtures as S
 from shelfspark.sources import store as W
 from shelfspark.sources import tables as T
@@ -304,3 +305,30 @@ def m16(spark, d):
     for _ in range(2):
         W.append_audit(rows, config.audit(), 1)
     return W.read_audit(spark, config.audit())
+
+
+@_q("S5_first_of_a_container", "select * from loans")
+def s5(spark, d):
+    """Of several files in a folder the first by name is the table."""
+    _, m, loans = _tables(spark, d)
+    folder = W.scratch(spark, "container")
+    _sheet(m, f"{folder}/Sheet2.csv")
+    _sheet(loans, f"{folder}/Sheet1.csv")
+    return T.scan_csv(spark, T.first_of(spark, folder), "Loans")
+
+
+@_q("U1_sessions_opened", "select distinct /*plain*/ user_id::varchar as \"User\", ts::date as day, 'opened the library' as \"Action\" from events".replace("select distinct /*plain*/", "select /*plain*/ distinct"))
+def u1(spark, d):
+    """One record for each user's first visit of a day."""
+    e = S.audit(spark, d)
+    return e.select("User", F.to_date("Timestamp").alias("day"), commands.logged_session().alias("Action")).distinct()
+
+
+_OPTIONS = [v for v, _ in CLASSIFICATIONS] + [NO_CLASSIFICATION, UNCLASSIFIED]
+
+
+@_q("Q11_classifications_in_use", " union all ".join(f"""select '{v.replace("'", "''")}' as value, count(*) filter (where {_sql_class(v)}) as n from media""" for v in _OPTIONS))
+def q11_in_use(spark, d):
+    """How many resources each option of the list selects, counted in one pass."""
+    counted = S.media(spark, d).agg(*[F.count_if(C.selected("classification", v)).alias(f"_{i}") for i, v in enumerate(_OPTIONS)])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(v).alias("value"), F.col(f"_{i}").alias("n")) for i, v in enumerate(_OPTIONS)])).alias("x")).select("x.*")
