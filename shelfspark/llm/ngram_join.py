@@ -174,7 +174,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     """Those pairs (a, b) of classes that link. Only texts of classes in a pair are read into a shuffle."""
     doc = classes.select("c", "doc")
     p = pairs.join(doc.withColumnsRenamed({"c": "a", "doc": "doc_a"}), "a").join(doc.withColumnsRenamed({"c": "b", "doc": "doc_b"}), "b")
-    p = _io.saved(p, "pairs")
+    p = _io.bounded(p, "pairs")
     ids = _io.bounded(p.select(F.col("doc_a").alias("doc")).union(p.select("doc_b")).distinct(), "wanted")
     texts = docs.select("doc_id", F.expr(KEY).alias("doc"), F.xxhash64("text").alias("tie"), "text").join(ids, "doc", "left_semi")
     # rows without a doc_id have a key for each text: one row of each is enough
