@@ -50,8 +50,8 @@ LOGS = {
     "more by id": "extended loan: {loan} by {days} days",
     "lost": 'deleted overdue loan during resource deletion: "{title}" (barcode={barcode}, loan={loan}, borrower={name})',
     "deleted": "deleted media: {title} (ID: {resource})",
-    "created": "created media: {title}",
-    "updated": "updated media: {title} (ID: {resource})",
+    "created": "created {kind}: {name}",
+    "updated": "updated {kind}: {name} (ID: {id})",
     "opened": "opened {what}",
 }
 
@@ -95,12 +95,10 @@ def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circula
     def result(error: str, action: str = "cast(null as string)", after: str = "cast(null as string)") -> str:
         return f"concat(s.done, array(named_struct('seq', o.seq, 'op', o.op, 'error', {error}, 'action', {action}, 'dueDate', {after})))"
 
-    ok = "cast(null as string)"
-    taken = "'" + SAYS["taken"] + "'"
-    none = "replace('" + SAYS["not loaned"] + "', '{barcode}', barcode)"
-    says_out = "concat('checked out \"', o.title, '\" (barcode=', barcode, ') to ', o.borrowerName, ' (borrower=', o.borrowerId, ') for ', o.days, ' days')"
-    says_in = "concat('returned \"', s.loan.title, '\" (barcode=', barcode, ') from ', s.loan.borrowerName)"
-    says_more = "concat('extended \"', s.loan.title, '\" (barcode=', barcode, ') by ', o.days, ' days')"
+    ok, taken, none = "cast(null as string)", _spelled("taken"), _spelled("not loaned", barcode="barcode")
+    says_out = _spelled("out", title="o.title", barcode="barcode", name="o.borrowerName", borrower="o.borrowerId", days="o.days")
+    says_in = _spelled("in", title="s.loan.title", barcode="barcode", name="s.loan.borrowerName")
+    says_more = _spelled("more", title="s.loan.title", barcode="barcode", days="o.days")
     step = f"""case
       when o.op = 'checkout' and s.loan is null then named_struct('loan', cast({checked} as {loan_type}), 'done', {result(ok, says_out)})
       when o.op = 'checkout' then named_struct('loan', s.loan, 'done', {result(taken)})
@@ -120,11 +118,21 @@ def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circula
     )
 
 
+def _parts(what: str) -> list[str]:
+    """A message's texts and, at odd places, its placeholders' names."""
+    return re.split(r"\{(\w+)\}", SAYS.get(what) or LOGS[what])
+
+
+def _spelled(what: str, **values: str) -> str:
+    """What the desk says or logs as SQL: expressions stand for the placeholders."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"concat({', '.join(f'cast({values[p]} as string)' if i % 2 else quoted(p) for i, p in enumerate(_parts(what)) if i % 2 or p)})"
+
+
 def said(what: str, **values: Column | str) -> Column:
     """What the desk says (or logs) as a column: columns stand for the message's placeholders."""
-    parts = re.split(r"\{(\w+)\}", SAYS.get(what) or LOGS[what])
     value = lambda v: (F.col(v) if isinstance(v, str) else v).cast("string")
-    return F.concat(*[value(values[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p])
+    return F.concat(*[value(values[p]) if i % 2 else F.lit(p) for i, p in enumerate(_parts(what)) if i % 2 or p])
 
 
 def resolve(todo: DataFrame, media: DataFrame) -> DataFrame:
@@ -190,19 +198,19 @@ class Desk:
 
     def checkout(self, borrower: str, barcode: str, resource: str, title: str, name: str, days: int = LOAN_DAYS) -> tuple[Desk, dict]:
         """By the catalogue's barcode; logged whether or not it succeeds. The resource's id is not used."""
-        return self._log(f'checked out "{title}" (barcode={barcode}) to {name} (borrower={borrower}) for {days} days')._checkout(borrower, barcode, name, title, days)
+        return self._log(LOGS["out"].format(title=title, barcode=barcode, name=name, borrower=borrower, days=days))._checkout(borrower, barcode, name, title, days)
 
     def checkout_by_barcode(self, borrower: str, barcode: str, name: str, days: int = LOAN_DAYS) -> tuple[Desk, dict]:
         m = self._one(owner_of(self.media, barcode, self.ordinal))
         if not m:
             return self, {"success": False, "notFound": True, "error": SAYS["unknown"].format(barcode=barcode)}
-        return self._boxed_checkout(m["id"], m["copy"], m["title"], borrower, name, days, "checked out")
+        return self._boxed_checkout(m["id"], m["copy"], m["title"], borrower, name, days, "out")
 
-    def _boxed_checkout(self, resource: str, copy: str, title: str, borrower: str, name: str, days: int, verb: str) -> tuple[Desk, dict]:
+    def _boxed_checkout(self, resource: str, copy: str, title: str, borrower: str, name: str, days: int, what: str) -> tuple[Desk, dict]:
         if box := self._box(resource, copy):
             return self, {"success": False, "error": SAYS["boxed out"].format(title=title, barcode=copy, **box.asDict())}
         after, out = self._checkout(borrower, copy, name, title, days)
-        return (after._log(f'{verb} "{title}" (barcode={copy}) to {name} (borrower={borrower}) for {days} days') if out["success"] else after), out
+        return (after._log(LOGS[what].format(title=title, barcode=copy, name=name, borrower=borrower, days=days)) if out["success"] else after), out
 
     def checkout_by_resource(self, borrower: str, resource: str | int, name: str, days: int = LOAN_DAYS) -> tuple[Desk, dict]:
         """Only if exactly one copy is free: then it is known which one was taken."""
@@ -214,7 +222,7 @@ class Desk:
         free = exploded(own, "K2").join(on, F.lower("copy") == F.col("key"), "left_anti").collect()  # one resource's copies
         if len(free) != 1:
             return self, {"success": False, "error": SAYS["many free" if free else "none free"].format(title=m["title"], n=len(free))}
-        return self._boxed_checkout(m["id"], free[0]["copy"], m["title"], borrower, name, days, "checked out by name")
+        return self._boxed_checkout(m["id"], free[0]["copy"], m["title"], borrower, name, days, "out by name")
 
     # -- return --
 
@@ -226,7 +234,7 @@ class Desk:
 
     def return_by_id(self, loan: str) -> tuple[Desk, dict]:
         after, out = self._return(loan)
-        return after._log(f"returned loan: {json.dumps(out, ensure_ascii=False, separators=(',', ':'))}"), {k: v for k, v in out.items() if k != "data"}
+        return after._log(LOGS["in by id"].format(outcome=json.dumps(out, ensure_ascii=False, separators=(",", ":")))), {k: v for k, v in out.items() if k != "data"}
 
     def return_by_barcode(self, barcode: str) -> tuple[Desk, dict]:
         loan = self._one(loan_of(self.loans, barcode, self.ordinal))
@@ -238,7 +246,7 @@ class Desk:
         after, out = self._return(loan["id"])
         if not out["success"]:
             return after, out
-        return after._log(f'returned "{loan["title"]}" (barcode={loan["barcode"]}) from {loan["borrowerName"]}'), {"success": True, "title": loan["title"], "borrowerName": loan["borrowerName"]}
+        return after._log(LOGS["in"].format(title=loan["title"], barcode=loan["barcode"], name=loan["borrowerName"])), {"success": True, "title": loan["title"], "borrowerName": loan["borrowerName"]}
 
     # -- extend --
 
@@ -251,7 +259,7 @@ class Desk:
 
     def extend(self, loan: str, days: int = LOAN_DAYS) -> tuple[Desk, dict]:
         """From the current due date, not from today; logged whether or not it succeeds."""
-        after, out = self._log(f"extended loan: {loan} by {days} days")._extend(loan, days)
+        after, out = self._log(LOGS["more by id"].format(loan=loan, days=days))._extend(loan, days)
         return after, {k: v for k, v in out.items() if k != "newDueDate"}
 
     def extend_by_barcode(self, barcode: str, days: int = LOAN_DAYS) -> tuple[Desk, dict]:
@@ -264,7 +272,7 @@ class Desk:
         after, out = self._extend(loan["id"], days)
         if not out["success"]:
             return after, out
-        return after._log(f'extended "{loan["title"]}" (barcode={loan["barcode"]}) by {days} days'), out | {"title": loan["title"]}
+        return after._log(LOGS["more"].format(title=loan["title"], barcode=loan["barcode"], days=days)), out | {"title": loan["title"]}
 
     # -- members and resources --
 
@@ -275,12 +283,12 @@ class Desk:
         df = getattr(self, key)
         fields = {c: row.get(c) or "" for c in TABLES[table].names if c != "id"}
         if row.get("id"):
-            after = self._log(f"updated {what}: {fields[label]} (ID: {row['id']})")
+            after = self._log(LOGS["updated"].format(kind=what, name=fields[label], id=row["id"]))
             if not self._one(by_id(df, row["id"])):
                 return after, {"success": False, "error": f"{table} with ID {row['id']} not found"}
             given = {c: v for c, v in fields.items() if c in row}
             return replace(after, **{key: R.update(df, row["id"], given, self.ordinal)}), {"success": True}
-        after = self._log(f"created {what}: {fields[label]}")
+        after = self._log(LOGS["created"].format(kind=what, name=fields[label]))
         new = df.sparkSession.createDataFrame([tuple(fields.values())], ", ".join(f"{c} string" for c in fields))
         new = new.withColumn("id", R.seeded_id(table[0], *fields, F.lit(len(self.audit))))
         return replace(after, **{key: R.insert(df, table, new)}), {"success": True}
@@ -300,8 +308,8 @@ class Desk:
         after = self
         for loan in own.where(D.overdue("dueDate", self.as_of)).orderBy(self.ordinal).collect():  # one resource's copies
             after = replace(after, loans=R.delete(after.loans, loan["id"], self.ordinal))
-            after = after._log(f'deleted overdue loan during resource deletion: "{m["title"]}" (barcode={loan["barcode"]}, loan={loan["id"]}, borrower={loan["borrowerName"]})')
-        after = after._log(f"deleted media: {m['title']} (ID: {resource})")
+            after = after._log(LOGS["lost"].format(title=m["title"], barcode=loan["barcode"], loan=loan["id"], name=loan["borrowerName"]))
+        after = after._log(LOGS["deleted"].format(title=m["title"], resource=resource))
         return replace(after, media=R.delete(after.media, resource, self.ordinal)), {"success": True}
 
     def opened(self, what: str = "the library") -> Desk:

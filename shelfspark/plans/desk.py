@@ -64,17 +64,17 @@ def checkouts(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Done:
     """todo: seq, barcode (as the catalogue has it), title, borrowerId, borrowerName and, optionally, days. Every command is logged."""
     j = _asked(todo, "barcode", "title", "borrowerId", "borrowerName").withColumn("error", F.lit(None).cast("string"))
     done = _circulated(loans, j, "checkout", as_of, F.lit(SAYS["taken"]), F.lit(""), "barcode")
-    return done._replace(audit=j.select("seq", _checked_out("checked out").alias("action")))
+    return done._replace(audit=j.select("seq", _checked_out("out").alias("action")))
 
 
 def checkouts_by_barcode(media: DataFrame, loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Done:
     """todo: seq, scanned, borrowerId, borrowerName and, optionally, days."""
     j = resolve(_asked(todo, "scanned", "borrowerId", "borrowerName").withColumnRenamed("scanned", "barcode"), media).withColumn("notFound", F.col("id").isNull())
-    return _circulated(loans, j, "checkout", as_of, F.lit(SAYS["taken"]), _checked_out("checked out"), "notFound", "scanned")
+    return _circulated(loans, j, "checkout", as_of, F.lit(SAYS["taken"]), _checked_out("out"), "notFound", "scanned")
 
 
-def _checked_out(verb: str) -> Column:
-    return F.concat(F.lit(f'{verb} "'), "title", F.lit('" (barcode='), "barcode", F.lit(") to "), "borrowerName", F.lit(" (borrower="), "borrowerId", F.lit(") for "), F.col("days").cast("string"), F.lit(" days"))
+def _checked_out(what: str) -> Column:
+    return said(what, title="title", barcode="barcode", name="borrowerName", borrower="borrowerId", days="days")
 
 
 def checkouts_by_resource(media: DataFrame, loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Done:
@@ -89,7 +89,7 @@ def checkouts_by_resource(media: DataFrame, loans: DataFrame, todo: DataFrame, a
         .when(F.col("boxBarcode").isNotNull(), said("boxed out", title="title", barcode="copy", boxTitle="boxTitle", boxBarcode="boxBarcode"))
     )
     j = j.withColumns({"error": error, "barcode": F.col("copy")})
-    return _circulated(loans, j, "checkout", as_of, said("none free", title="title"), _checked_out("checked out by name"), "resource", F.when(F.col("success"), F.col("barcode")).alias("barcode"))
+    return _circulated(loans, j, "checkout", as_of, said("none free", title="title"), _checked_out("out by name"), "resource", F.when(F.col("success"), F.col("barcode")).alias("barcode"))
 
 
 def _first_loans(loans: DataFrame, key: Column) -> DataFrame:
@@ -104,7 +104,7 @@ def returns_by_barcode(media: DataFrame, loans: DataFrame, todo: DataFrame, as_o
     j = j.join(_held(media).withColumnRenamed("held", "barcode"), ["owner", "barcode"], "left")
     gone = said("not loaned", barcode="scanned")
     error = F.when(F.col("loan").isNull(), gone).when(F.col("boxBarcode").isNotNull(), said("boxed in", title="title", barcode="barcode", boxTitle="boxTitle", boxBarcode="boxBarcode"))
-    action = F.concat(F.lit('returned "'), "title", F.lit('" (barcode='), "barcode", F.lit(") from "), "borrowerName")
+    action = said("in", title="title", barcode="barcode", name="borrowerName")
     return _circulated(loans, j.withColumn("error", error), "return", as_of, gone, action, "scanned")
 
 
@@ -112,7 +112,7 @@ def extensions_by_barcode(media: DataFrame, loans: DataFrame, todo: DataFrame, a
     """todo: seq, scanned and, optionally, days. The outcome has the new due date."""
     j = _asked(todo, "scanned").withColumn("key", F.lower("scanned")).join(_owners(media), "key", "left").join(_first_loans(loans, k4_loan("barcode")), "key", "left")
     error = F.when(F.col("owner").isNull(), said("unknown", barcode="scanned")).when(F.col("loan").isNull(), said("not out", barcode="scanned"))
-    action = F.concat(F.lit('extended "'), "title", F.lit('" (barcode='), "barcode", F.lit(") by "), F.col("days").cast("string"), F.lit(" days"))
+    action = said("more", title="title", barcode="barcode", days="days")
     return _circulated(loans, j.withColumn("error", error), "extend", as_of, said("not out", barcode="scanned"), action, "scanned", F.col("dueDate").alias("newDueDate"))
 
 
@@ -126,14 +126,14 @@ def returns_by_id(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Don
     """todo: seq and loan (its id). Every command is logged with what came of it."""
     done = _circulated(loans, _by_id(loans, todo), "return", as_of, F.lit(SAYS["no loan"]), F.lit(""), F.col("asked").alias("loan"), "data")
     shown = F.when(F.col("success"), F.to_json(F.struct("success", "data"))).otherwise(F.to_json(F.struct("success", "error")))
-    return done._replace(outcomes=done.outcomes.drop("data"), audit=done.outcomes.select("seq", F.concat(F.lit("returned loan: "), shown).alias("action")))
+    return done._replace(outcomes=done.outcomes.drop("data"), audit=done.outcomes.select("seq", said("in by id", outcome=shown).alias("action")))
 
 
 def extensions_by_id(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Done:
     """todo: seq, loan (its id) and, optionally, days: from the current due date. Every command is logged."""
     j = _by_id(loans, todo)
     done = _circulated(loans, j, "extend", as_of, F.lit(SAYS["no loan"]), F.lit(""), F.col("asked").alias("loan"), "dueDate")
-    return done._replace(audit=j.select("seq", F.concat(F.lit("extended loan: "), "asked", F.lit(" by "), F.col("days").cast("string"), F.lit(" days")).alias("action")))
+    return done._replace(audit=j.select("seq", said("more by id", loan="asked", days="days").alias("action")))
 
 
 def deletions(media: DataFrame, loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> tuple[DataFrame, Done]:
@@ -154,9 +154,9 @@ def deletions(media: DataFrame, loans: DataFrame, todo: DataFrame, as_of: D.Day
     j = j.withColumn("error", error).withColumn("success", F.col("error").isNull())
     gone = j.where("success").select("resource", "seq", "title")
     lost = of.where("late").join(gone.drop("title").withColumnRenamed("seq", "by"), "resource")
-    logged = gone.select("seq", F.concat(F.lit("deleted media: "), "title", F.lit(" (ID: "), "resource", F.lit(")")).alias("action"))
+    logged = gone.select("seq", said("deleted", title="title", resource="resource").alias("action"))
     cascade = lost.join(gone.select("resource", F.col("title").alias("of")), "resource").select(
-        F.col("by").alias("seq"), F.concat(F.lit('deleted overdue loan during resource deletion: "'), "of", F.lit('" (barcode='), "barcode", F.lit(", loan="), "id", F.lit(", borrower="), "borrowerName", F.lit(")")).alias("action")
+        F.col("by").alias("seq"), said("lost", title="of", barcode="barcode", loan="id", name="borrowerName").alias("action")
     )
     outcomes = j.select("seq", "resource", "success", "error", F.when(F.col("success"), F.col("late")).otherwise(0).alias("loansDeleted"))
     return media.join(gone.select(F.col("resource").alias("id")), "id", "left_anti").select(*media.columns), Done(loans.join(lost.select("id"), "id", "left_anti").select(*loans.columns), outcomes, logged.unionByName(cascade))
@@ -178,5 +178,5 @@ def saves(df: DataFrame, table: str, todo: DataFrame) -> Done:
     patch = j.where("known is not null").groupBy("id").agg(F.count("*").alias("n_patches"), *[F.expr(f"max_by({c}, seq) filter (where {c} is not null)").alias(f"new_{c}") for c in given])
     old = df.join(patch, "id", "left").select(*[(F.coalesce(f"new_{c}", c).alias(c) if c in given else F.col(c)) for c in df.columns])
     name = text(label) if label in todo.columns else F.lit("")
-    action = F.when(F.col("id") == "", F.concat(F.lit(f"created {what}: "), name)).otherwise(F.concat(F.lit(f"updated {what}: "), name, F.lit(" (ID: "), F.col("id"), F.lit(")")))
+    action = F.when(F.col("id") == "", said("created", kind=F.lit(what), name=name)).otherwise(said("updated", kind=F.lit(what), name=name, id="id"))
     return Done(R.insert(old, table, new), j.select("seq", "id", F.col("error").isNull().alias("success"), "error"), j.select("seq", action.alias("action")))

@@ -156,7 +156,7 @@ def _step(s: Column, o: Column, as_of: D.Day) -> Column:
         failed = F.to_json(F.struct(F.lit(False).alias("success"), w["error"].alias("error")))
         when_ok = lambda *actions: F.when(ok, F.array(*actions)).otherwise(F.array().cast("array<string>"))
         lost = F.transform(v["late"], lambda x: said("lost", title=r["title"], barcode=x["barcode"], loan=x["id"], name=x["borrowerName"]))
-        saved = F.when(o["create"], said("created", title=text(o["cells"]["title"]))).otherwise(said("updated", title=text(o["cells"]["title"]), resource=o["target"]))
+        saved = F.when(o["create"], said("created", kind=F.lit("media"), name=text(o["cells"]["title"]))).otherwise(said("updated", kind=F.lit("media"), name=text(o["cells"]["title"]), id=o["target"]))
         actions = _cases(
             o["op"],
             (["checkout"], F.array(said("out", title=text(title), barcode=o["target"], **out))),
@@ -207,9 +207,9 @@ def run(borrowers: DataFrame, media: DataFrame, loans: DataFrame, todo: DataFram
     """todo: seq (long, no two alike), op, target, days (null: the usual ones) and cells (map of text): of a checkout
     borrowerId, borrowerName and, where the barcode is given as it is, title; of what is saved the cells that change.
 
-    Ids of members, resources and loans are taken to be unique; a blank one names nothing. New rows get ids that their
-    table doesn't have (operators.ids), in the order of seq. A group's commands and rows meet in one row, however many
-    commands there are in all; a copy, loan or resource with very many commands makes a large one.
+    Rows of another op are ignored. Ids of members, resources and loans are taken to be unique; a blank one names nothing.
+    New rows get ids that their table doesn't have (operators.ids), in the order of seq. A group's commands and rows meet
+    in one row, however many commands there are in all; a copy, loan or resource with very many commands makes a large one.
     """
     t = todo.select(F.col("seq").cast("long").alias("seq"), "op", text("target").alias("target"), F.coalesce(F.col("days").cast("int"), F.lit(LOAN_DAYS)).alias("days"), "cells")
     t = _written(t, "commands")
