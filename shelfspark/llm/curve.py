@@ -1,8 +1,9 @@
 """Packing along a space-filling curve: neighbouring documents share sequences.
 
 A document's vector counts its words, hashed into FEATURES places with a sign each, damped by the logarithm and scaled
-to length one. Fixed random directions project it to DIMENSIONS values, whose cells have a place on a Hilbert curve.
-Documents are range-sorted by that key; ties, such as copies, are told apart by a hash of id and text, so that a group of
+to length one. It is projected to DIMENSIONS values, whose cells have a place on a Hilbert curve. The projection is along
+the directions in which vectors differ most, which are fitted on a bounded sample: the SAMPLE distinct texts of least
+hash. It decides who are neighbours, and nothing else: every document is keyed by it and packed. Documents are range-sorted by that key; ties, such as copies, are told apart by a hash of id and text, so that a group of
 copies of any size is dealt to many tasks. Each task then packs its stretch of the curve, document after document:
 sequences of LENGTH ids without a gap, and what is left over at the end of a task in sequences whose lengths are powers
 of two, so that nothing is padded. Only texts and keys are shuffled; they are tokenised where they are packed.
@@ -32,10 +33,20 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PER_TASK = 1 << 40
 
 
-def directions(seed: int = 7) -> np.ndarray:
-    """DIMENSIONS fixed orthonormal directions of the vectors' space."""
-    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, DIMENSIONS)))
-    return q
+#: Texts that the projection is fitted on.
+SAMPLE = 2000
+
+
+def directions(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The middle of vectors (rows), and DIMENSIONS orthonormal directions in which they differ most.
+
+    Where they differ in fewer, fixed random directions follow.
+    """
+    middle = v.mean(0) if len(v) else np.zeros(FEATURES)
+    _, size, along = np.linalg.svd(v - middle, full_matrices=False)
+    more = np.random.default_rng(7).standard_normal((DIMENSIONS, FEATURES))
+    q, r = np.linalg.qr(np.vstack([along[size > 1e-9], more]).T)
+    return middle, q[:, :DIMENSIONS] * np.sign(np.diag(r))[:DIMENSIONS]
 
 
 def vectors(col: pa.Array) -> np.ndarray:
@@ -53,9 +64,9 @@ def vectors(col: pa.Array) -> np.ndarray:
     return v / np.where(length > 0, length, 1)
 
 
-def cells(v: np.ndarray, across: np.ndarray) -> np.ndarray:
+def cells(v: np.ndarray, middle: np.ndarray, across: np.ndarray) -> np.ndarray:
     """(rows, DIMENSIONS) cells of projections. Values crowd around zero, where a tangent hyperbolic makes cells finer."""
-    spread = np.tanh(3 * (v @ across))
+    spread = np.tanh(3 * ((v - middle) @ across))
     return np.minimum(((spread + 1) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
@@ -87,15 +98,35 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def keys(col: pa.Array) -> np.ndarray:
+def keys(col: pa.Array, middle: np.ndarray, across: np.ndarray) -> np.ndarray:
     """Each text's place on the curve, from 1; 0 without a word."""
     v = vectors(col)
-    return np.where(v.any(1), hilbert(cells(v, directions())) + 1, 0)
+    return np.where(v.any(1), hilbert(cells(v, middle, across)) + 1, 0)
+
 
+def _keyed(middle: np.ndarray, across: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys(b.column("text"), middle, across))], ["doc_id", "text", "place"])
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _text.pieces(batches, "text"):
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(keys(b.column("text")))], ["doc_id", "text", "place"])
+        v = vectors(b.column("text")).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([x.tobytes() for x in v], pa.binary())], ["h", "v"])
+
+
+def fitted(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """directions() of the vectors of ``sample`` distinct texts, those of least hash."""
+    rows = docs.where("text is not null").select("text", F.xxhash64("text").alias("h"))
+    place = F.col("h").bitwiseAND((1 << 52) - 1)
+    texts = rows.select(F.approx_count_distinct("h")).first()[0]
+    # somewhat more than wanted, by an estimate of the distinct texts
+    few = rows.where(place < int(min(1.0, 2 * sample / max(1, texts)) * (1 << 52))).groupBy("h").agg(F.min("text").alias("text"))
+    found = few.mapInArrow(_vectors, "h long, v binary").orderBy(F.col("h").bitwiseAND((1 << 52) - 1), "h").limit(sample).collect()
+    return directions(np.array([np.frombuffer(r["v"], np.float32) for r in found], np.float64).reshape(-1, FEATURES))
 
 
 def powers(n: int) -> list[int]:
@@ -177,7 +208,7 @@ def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH, end:
     if length < 1 or length & (length - 1):
         raise ValueError(f"sequences have a power of two as length, not {length}")
     _io.ship(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_keyed, "doc_id long, text string, place long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_keyed(*fitted(docs)), "doc_id long, text string, place long")
     # rows that are equal throughout are told apart by their number, so that they too are dealt to many tasks
     order = ["place", "tie", "row"]
     keyed = keyed.withColumns({"tie": F.xxhash64("doc_id", "text"), "row": F.monotonically_increasing_id()})

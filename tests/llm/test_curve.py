@@ -71,10 +71,11 @@ def test_awkward(spark, awkward, empty):
         C.packed(df, length=1000)
 
 
-def test_neighbours_are_alike(spark):
-    """Documents of one vocabulary lie together on the curve, where packing follows it."""
+@pytest.mark.parametrize(("words", "vocabulary", "least"), [(60, 300, 5 / 8), (120, 40, 0.9)])
+def test_neighbours_are_alike(spark, words, vocabulary, least):
+    """Documents of one vocabulary lie together on the curve, where packing follows it: the more so, the more words they share."""
     r = random.Random(3)
-    texts = [(i, prose(r, 60).replace("w", "abcdefgh"[i % 8])) for i in range(400)]
+    texts = [(i, prose(r, words, vocabulary).replace("w", "abcdefgh"[i % 8])) for i in range(400)]
     kind = lambda i: i % 8
     rows = C.packed(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     check(rows, texts)
@@ -82,7 +83,18 @@ def test_neighbours_are_alike(spark):
     for x in rows:
         by[x["sequence_id"]].append((x["offset"], kind(x["doc_id"])))
     pairs = [a[1] == b[1] for s in by.values() for a, b in zip(sorted(s), sorted(s)[1:])]
-    assert sum(pairs) / len(pairs) > 0.9  # one in eight by chance
+    assert sum(pairs) / len(pairs) > least  # one in eight by chance
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 500])
+def test_directions(n):
+    """Orthonormal whatever the sample, and the first one along what differs most."""
+    r = np.random.default_rng(n)
+    v = r.standard_normal((n, C.FEATURES)) * 0.01
+    v[:, 5] += r.choice([-1, 1], n)
+    middle, across = C.directions(v)
+    assert np.allclose(across.T @ across, np.eye(C.DIMENSIONS)) and middle.shape == (C.FEATURES,)
+    assert n < 500 or abs(across[5, 0]) > 0.99
 
 
 def test_copies_are_dealt_to_many_tasks(spark):
@@ -98,5 +110,6 @@ def test_copies_are_dealt_to_many_tasks(spark):
 def test_powers_and_keys():
     for n in range(70):
         assert sum(C.powers(n)) == n and all(x & (x - 1) == 0 for x in C.powers(n))
-    k = C.keys(pa.array([None, "", " \n", "a word", "A WORD", "other words"]))
+    texts = pa.array([None, "", " \n", "a word", "A WORD", "other words"])
+    k = C.keys(texts, *C.directions(C.vectors(texts)))
     assert k[:3].tolist() == [0, 0, 0] and k[3] == k[4] != k[5] and (k[3:] > 0).all()
