@@ -49,6 +49,10 @@ class KeptCounts:
     # -- build and commit --
 
     def create(self, media: DataFrame, loans: DataFrame) -> KeptCounts:
+        """The tables anew, with commit 0; what earlier commits left at the path goes."""
+        for left in ("commits", "done"):
+            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{left}")
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         self.keys.create(self._loans(loans, 1).groupBy("copy").agg(F.sum("by").alias("loans")))
         self.owners.create(self._copies(media))
         self.counts.create(self._counted(media.select("id").distinct(), self.owners.read(), self.keys.read()))

@@ -1,7 +1,8 @@
 """Tables in parts by a hash of their key: a change rewrites the parts that it touches, a look-up reads one.
 
 Parts are Spark's own partitions, replaced by dynamic partition overwrite: a job that fails changes nothing, since new
-files take the old ones' places only when all of them are written. One writer at a time. Within a part rows are sorted by
+files take the old ones' places only when all of them are written. One writer at a time. Rows with a null key are kept with
+those of a blank one, and no change but create() takes them out. Within a part rows are sorted by
 key, and look-up columns have Parquet Bloom filters, so that a scan skips row groups of other keys.
 """
 

@@ -94,6 +94,9 @@ def test_a_commit_that_failed_is_completed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(k.counts, "upsert", whole)
     k.commit_loans(1, on, after.unionByName(on))
     assert rows(k.counts.read()) == [("M1", 2, 0)] and rows(k.keys.read()) == [("A", 1), ("B", 1)]
+    # made anew at the same place, it knows of no commit
+    k.create(m, on)
+    assert k.done == 0 and len(k.commit_loans(1, on, on.limit(0))) == 1 and rows(k.counts.read()) == [("M1", 2, 2)]
 
 
 # ---- postings ----
