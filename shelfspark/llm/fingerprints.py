@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     _io.discarded(signed)
     banded = banding.select("c", F.posexplode("bands").alias("band", "h"))
     ends = banded.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    tiles = _io.settled(banded.join(ends, ["band", "h"]).select(F.col("h").alias("x"), F.col("band").alias("tile"), "c", "low", "high"), "tiles")
+    tiles = _io.settled(banded.join(ends, ["band", "h"]).select(F.col("h").alias("x"), F.col("band").alias("tile"), "c", "low", "high", F.lit(True).alias("own")), "tiles")
     _io.discarded(banding)
     stars = tiles.select("c", F.explode(F.array("low", "high")).alias("p")).where("c <> p")
     stars = _io.saved(stars.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct(), "stars")

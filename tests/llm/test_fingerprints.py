@@ -115,3 +115,17 @@ def test_classes_where_no_member_of_a_pair_is_a_pivot(spark):
     assert len(set(want.values())) > 80
     got = {x["doc_id"]: x["class_id"] for x in P.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_query_where_bands_hold_several_components(spark):
+    """Likeness 0.78: bands are shared, no link is made, and each document keeps its class and its one row."""
+    base = [f"b{i}" for i in range(400)]
+    texts = []
+    for k in range(4):
+        words = list(base)
+        for i in range(10):
+            words[40 * i + 10 * k] = f"x{k}y{i}"
+        texts.append((k, " ".join(words)))
+    docs = spark.createDataFrame([*texts, (9, texts[0][1]), (10, None)], "doc_id long, text string")
+    got = P.fingerprinted(docs).collect()
+    assert sorted((x["doc_id"], x["class_id"]) for x in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (9, 0), (10, 10)]
