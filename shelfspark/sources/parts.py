@@ -18,6 +18,8 @@ from shelfspark.sources.store import scratch
 PART = "_part"
 #: Bytes in a row group: what a look-up reads where others are skipped.
 ROW_GROUP = 1 << 20
+#: Rows that one task sorts and writes: a part with more is written by several tasks, each a file of its own.
+TASK_ROWS = 500_000
 
 
 def indexed(df: DataFrame, *columns: str, row_group: int = ROW_GROUP):
@@ -37,9 +39,19 @@ class Parts:
     def part(self, key: Column | str | None = None) -> Column:
         return F.pmod(F.xxhash64(text(self.key if key is None else key)), F.lit(self.n)).cast("int")
 
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        """df's rows in order, a part dealt to as many tasks as it has TASK_ROWS. The driver sees a count for each part."""
+        rows = df.select(*self.schema.names, self.part().alias(PART))
+        counts = {r[PART]: r["count"] for r in rows.groupBy(PART).count().collect()}
+        tasks = [-(-counts.get(k, 0) // TASK_ROWS) or 1 for k in range(self.n)]
+        first = [sum(tasks[:k]) for k in range(self.n)]
+        of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col(PART) + 1)
+        task = of(first) + F.pmod(F.xxhash64(F.lit("task"), *self.schema.names), of(tasks)).cast("int")
+        return rows.repartitionById(sum(tasks), task).sortWithinPartitions(PART, self.key)
+
     def _write(self, df: DataFrame) -> None:
-        """Replace just the parts that df has rows of; each part is one task's."""
-        rows = df.select(*self.schema.names, self.part().alias(PART)).repartition(self.n, PART).sortWithinPartitions(PART, self.key)
+        """Replace just the parts that df has rows of."""
+        rows = self._dealt(df)
         indexed(rows, self.key, *self.lookup).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.path)
 
     def create(self, df: DataFrame) -> Parts:
@@ -94,5 +106,4 @@ class Parts:
 
     def insert(self, rows: DataFrame) -> None:
         """Further files; none is rewritten."""
-        new = rows.select(*self.schema.names, self.part().alias(PART)).repartition(self.n, PART).sortWithinPartitions(PART, self.key)
-        indexed(new, self.key, *self.lookup).mode("append").partitionBy(PART).parquet(self.path)
+        indexed(self._dealt(rows), self.key, *self.lookup).mode("append").partitionBy(PART).parquet(self.path)

@@ -13,6 +13,7 @@ from shelfspark.operators import ids
 from shelfspark.plans import commands, desk, kept, postings
 from shelfspark.schemas import BORROWERS, LOANS, MEDIA
 from shelfspark.sources import fixtures as S
+from shelfspark.sources import parts
 from shelfspark.sources import tables as T
 from shelfspark.sources.parts import PART, Parts, indexed
 from tests.test_edges import DAY, loans, media
@@ -219,3 +220,35 @@ def test_a_header_is_put_in(spark, tmp_path):
     loans(spark, {"id": "L5"}).toDF(*"abcdefg").write.parquet(str(tmp_path / "p"))
     c.set("LOANS_ID", str(tmp_path / "p"))
     assert T.ensure_headers(spark, c, "Loans", str(tmp_path / "q"))["inserted"] and c.raw(spark, "Loans").columns == LOANS.names and c.open(spark, "Loans").count() == 1
+
+
+def test_large_parts_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """No file has many more rows than a task's share, also where all rows have one key; rows are found and replaced as before."""
+    monkeypatch.setattr(parts, "TASK_ROWS", 50)
+    schema = "gram string, id string"
+    rows = spark.range(1000).selectExpr("if(id < 900, 'abc', concat('g', id)) as gram", "cast(id as string) as id")
+    p = parts.Parts(spark, str(tmp_path / "p"), rows.schema, "gram", n=4).create(rows)
+    sizes = spark.read.parquet(p.path).groupBy("_metadata.file_path").count().collect()
+    assert sum(x["count"] for x in sizes) == 1000 and max(x["count"] for x in sizes) < 150
+    assert p.find("abc").count() == 900 and [x["id"] for x in p.find("g950").collect()] == ["950"]
+    p.insert(spark.createDataFrame([("abc", "more")] * 2, schema))
+    assert p.find("abc").count() == 902
+    p.upsert(spark.createDataFrame([("abc", "one")], schema))
+    assert [x["id"] for x in p.find("abc").collect()] == ["one"] and p.read().count() == 101
+
+
+def test_a_sheet_is_written_from_rows_that_many_tasks_made(spark, tmp_path):
+    from pyspark import TaskContext
+
+    from shelfspark.plans.registry_state import _sheet
+
+    tasks = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        tasks.add(TaskContext.get().partitionId())
+        yield from batches
+
+    rows = spark.range(100, numPartitions=4).selectExpr("cast(id as string) as id").mapInPandas(made, "id string")
+    path = _sheet(rows, str(tmp_path / "x" / "Sheet1.csv"))
+    assert tasks.value == 6
+    assert sorted(x["id"] for x in spark.read.option("header", True).csv(path).collect()) == sorted(map(str, range(100)))
