@@ -8,8 +8,9 @@ validation is left as it is.
     e-mail address   letters and digits of the local part, each within its class
     payment card     13 to 19 digits with a valid Luhn digit: the others are permuted, the Luhn digit follows. In a run
                      of digit groups all spans of whole groups are tried, the usual groupings of cards first: one group,
-                     or a usual grouping that is the whole run, or (in a run of 64 digits at most, since more are a table
-                     of numbers) groups that begin, and are as long, as an issuer's cards
+                     or a usual grouping that is the whole run, or groups that begin, and are as long, as an issuer's
+                     cards. In a run of more than 64 digits, a table of numbers, the last holds where four or more such
+                     cards follow each other, which chance doesn't explain
     IBAN             account letters and digits, each within its class; the check digits follow
     phone number     the ten digits of the North American plan within the plan; others digit by digit
     social security  within the valid numbers
@@ -52,8 +53,8 @@ CHAIN = r"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){12})[0-9][0-9 -]*+"
 GROUPED = r"^(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 #: The beginnings of cards by issuer, with their lengths.
 ISSUED = r"^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|(?:222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11,16}|35(?:2[89]|[3-8][0-9])[0-9]{12,15}|6(?:011|5[0-9]{2})[0-9]{12,15})$"
-#: A run of digit groups with more digits than this is a table of numbers, in which only whole numbers are cards.
-TABLE = 64
+#: A run of digit groups with more digits than this is a table of numbers, in which only whole numbers are cards, and so many in a row.
+TABLE, ROW = 64, 4
 #: What every value holds.
 HINT = "[0-9@]|AKIA|ASIA|(?i:passw|pwd|token|secret|key)"
 
@@ -144,6 +145,24 @@ def _card(m: str, key: str) -> str:
     return _let("d", _digits(m), f"if({_luhn('d', 0)} % 10 = 0 and d rlike '[1-9]', {_let('e', whole, _refilled(m, 'e'))}, {m})")
 
 
+def _rows(f: str, c: str, whole: str) -> str:
+    """SQL for those spans of f that are a whole, or one of ROW or more spans of c of which each begins where the last one ends."""
+
+    def meets(spans: str, end: str, other: str) -> str:
+        return _let("e", f"transform({spans}, y -> y.{other})", f"filter({c}, x -> array_contains(e, {end}))")
+
+    # ahead: spans that so many others follow; of these and up to ROW - 1 that follow them, the places
+    key = "64 * {0}.i + {0}.j - {0}.i"
+    ahead = c
+    for _ in range(ROW - 1):
+        ahead = meets(ahead, "x.j + 2", "i")
+    names = [f"r{i}" for i in range(ROW)]
+    out = _let("p", f"transform(concat({', '.join(names)}), y -> {key.format('y')})", f"filter({f}, x -> {whole} or array_contains(p, {key.format('x')}))")
+    for i in range(ROW - 1, 0, -1):
+        out = _let(names[i], meets(names[i - 1], "x.i - 2", "j"), out)
+    return _let(names[0], ahead, out)
+
+
 def _cards(m: str) -> str:
     """SQL for the cards in a run of digit groups: spans that do not overlap, usual groupings first, then long ones."""
     g, n = "g", "cast(size(g) as int)"
@@ -151,8 +170,10 @@ def _cards(m: str) -> str:
     spans = f"flatten(transform(filter(sequence(1, {n}), i -> i % 2 = 1), i -> transform(filter(sequence(18, 0, -1), k -> i + 2 * k <= {n}), k -> {span})))"
     luhn = _let("d", _digits("x.s"), f"{_luhn('d', 0)} % 10 = 0")
     # one in ten spans of a row of numbers has a Luhn digit: several groups are a card if they are all there is, or as an issuer numbers them
-    likely = f"(x.i = x.j or x.i = 1 and x.j = {n} and x.s rlike {_quoted(GROUPED)} or length({_digits(m)}) <= {TABLE} and {_digits('x.s')} rlike {_quoted(ISSUED)})"
-    valid = f"filter({spans}, x -> if(x.s rlike '^[0-9]([ -]?[0-9]){{12,18}}$' and x.s rlike '[1-9]' and {likely}, {luhn}, false))"
+    whole = f"(x.i = x.j or x.i = 1 and x.j = {n} and x.s rlike {_quoted(GROUPED)})"
+    issued = f"{_digits('x.s')} rlike {_quoted(ISSUED)}"
+    found = f"filter({spans}, x -> if(x.s rlike '^[0-9]([ -]?[0-9]){{12,18}}$' and x.s rlike '[1-9]' and ({whole} or {issued}), {luhn}, false))"
+    valid = _let("f", found, f"if(length({_digits(m)}) <= {TABLE}, f, {_let('c', f'filter(f, x -> {issued})', _rows('f', 'c', whole))})")
 
     def apart(of: str) -> str:
         none = "cast(array() as array<struct<i: int, j: int, s: string>>)"
