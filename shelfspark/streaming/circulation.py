@@ -38,7 +38,7 @@ class _Copy(StatefulProcessor):
         self.loan.update(tuple(initialState[c] for c in [*_CELLS, "due"]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        loan = self.loan.get() if self.loan.exists() else None
+        loan = had = self.loan.get()  # each call asks the JVM: one for what there was, one for what changed
         for o in sorted(rows, key=lambda o: o["seq"]):  # a barcode's commands of one micro-batch
             own, done = loan, "taken" if o["op"] == "checkout" else "not loaned"
             if o["op"] == "checkout" and loan is None:
@@ -51,10 +51,10 @@ class _Copy(StatefulProcessor):
                     loan = own = (*loan[:-1], loan[-1] + dt.timedelta(days=o["days"]))
                 done = "more"
             yield _ROW(o["seq"], o["op"], key[0], o["days"], done, *(own or [None] * (len(_CELLS) + 1)))
-        if loan is not None:
-            self.loan.update(loan)
-        elif self.loan.exists():
+        if loan is None and had is not None:
             self.loan.clear()
+        elif loan is not had:
+            self.loan.update(loan)
 
     def close(self) -> None:
         pass

@@ -39,6 +39,11 @@ def test_kept_counts_of_rows_that_share_an_id(spark, shared):
     test_rows_that_share_an_id(spark, shared, "J4_kept_counts")
 
 
+def test_streamed_commands_on_copies_that_share_a_barcode(spark, shared):
+    """Each copy of a barcode has a chain of its own for each of its loans; a return is told once."""
+    test_rows_that_share_an_id(spark, shared, "C1_to_C10_stream_outcomes")
+
+
 TIED = {"C3_checkout_by_barcode": ["error"], "C7_return_by_barcode": ["error"], "C10_extend_by_barcode": ["newDueDate"], "C8_extend_by_id": ["dueDate"]}
 
 
