@@ -21,11 +21,11 @@ def entries(media: DataFrame) -> DataFrame:
     return e.where("schema_of_variant(value) = 'STRING'").selectExpr("id", "key as barcode", "cast(value as string) as boxBarcode").where("boxBarcode <> ''")
 
 
-def containing(media: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+def containing(media: DataFrame, catalogue: DataFrame | None = None, ordinal: str = "title") -> DataFrame:
     """id, barcode, boxBarcode, boxTitle; the title of the catalogue's first resource with that copy, or the barcode if there is none.
 
-    catalogue: where boxes are looked up, if not in media itself.
+    catalogue: where boxes are looked up, if not in media itself. ordinal: its column by which rows of one id are in order.
     """
-    own = exploded(media if catalogue is None else catalogue, "K2", "id", "title").groupBy("copy").agg(F.min_by("title", "id").alias("found"))
+    own = exploded(media if catalogue is None else catalogue, "K2", "id", "title", F.col(ordinal).alias("nth")).groupBy("copy").agg(F.min_by("title", F.when(F.col("id").isNotNull(), F.struct("id", "nth"))).alias("found"))
     e = entries(media)
     return e.join(own, F.col("copy") == F.col("boxBarcode"), "left").select("id", "barcode", "boxBarcode", falsy("found", F.col("boxBarcode")).alias("boxTitle"))

@@ -135,10 +135,13 @@ def said(what: str, **values: Column | str) -> Column:
     return F.concat(*[value(values[p]) if i % 2 else F.lit(p) for i, p in enumerate(_parts(what)) if i % 2 or p])
 
 
-def resolve(todo: DataFrame, media: DataFrame) -> DataFrame:
-    """Scanned barcodes of many commands to the catalogue's: id, barcode, title, and an error if unknown or in a box."""
-    own = exploded(media, "K2", "id", "title").groupBy(F.lower("copy").alias("key")).agg(F.min(F.struct("id", "title", "copy")).alias("m"))
-    box = boxes.containing(media).select("id", F.col("barcode").alias("copy"), "boxBarcode", "boxTitle")
+def resolve(todo: DataFrame, media: DataFrame, ordinal: str = "title") -> DataFrame:
+    """Scanned barcodes of many commands to the catalogue's: id, barcode, title, and an error if unknown or in a box.
+
+    Of several resources with a barcode the first by id counts, of rows of one id the first by ordinal.
+    """
+    own = exploded(media, "K2", "id", F.col(ordinal).alias("nth"), "title").groupBy(F.lower("copy").alias("key")).agg(F.min(F.struct("id", "nth", "title", "copy")).alias("m"))
+    box = boxes.containing(media, ordinal=ordinal).select("id", F.col("barcode").alias("copy"), "boxBarcode", "boxTitle")
     kept = [c for c in todo.columns if c not in ("barcode", "title")]
     j = todo.select(*kept, F.col("barcode").alias("scanned")).withColumn("key", F.lower("scanned")).join(own, "key", "left")
     j = j.select(*kept, "scanned", "m.id", "m.title", "m.copy").join(box, ["id", "copy"], "left")

@@ -35,7 +35,8 @@ def borrowers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def media(spark: SparkSession, sf_dir: str) -> DataFrame:
+def media(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """more: further columns of part, as they are."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.col("p_partkey")
     n = (key % 4).cast("int")
@@ -55,6 +56,7 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, CLASSES)), (key % 10 + 1).cast("int")).alias("classification"),
         F.when(key % 13 == 0, F.concat(joined, F.lit("|"))).otherwise(joined).alias("barcodes"),
         box.alias("resourceBox"),
+        *more,
     )
 
 
