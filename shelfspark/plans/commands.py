@@ -65,14 +65,14 @@ class Circulated(NamedTuple):
     after: DataFrame
 
 
-def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circulated:
+def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None, ordinal: str = "title") -> Circulated:
     """Fold checkouts, returns and extensions over the loans.
 
     todo: seq (order; a running number for the library's life, from which new loans' ids are made: no two below 26 * 10**9
     make the same, operators.ids), op (checkout, return or extend), barcode as the catalogue spells it; of a checkout also title,
     borrowerId and borrowerName; days is optional. Commands on one barcode see what the earlier ones did. A barcode has
-    one loan at most: of several checkouts the first wins. Rows of equal id and barcode are one loan; loans of other
-    barcodes stay, whatever their ids.
+    one loan at most: of several checkouts the first wins. Rows of equal id and barcode are one loan, of which the first by
+    ordinal, a column of loans, counts; loans of other barcodes stay, whatever their ids.
     """
     have = set(todo.columns)
     cell = lambda c, kind, default: (F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in have else F.lit(default).cast(kind)).alias(c)
@@ -82,7 +82,7 @@ def circulate(loans: DataFrame, todo: DataFrame, as_of: D.Day = None) -> Circula
     )
     per = todo.groupBy("barcode").agg(F.sort_array(F.collect_list(op)).alias("ops"))
     names = LOANS.names
-    now = loans.groupBy("barcode").agg(F.min(F.struct(*names)).alias("loan"))
+    now = loans.groupBy("barcode").agg(F.min(F.struct("id", F.col(ordinal).alias("nth"), F.struct(*names).alias("loan")))["loan"].alias("loan"))
     j = per.join(now, "barcode", "left").withColumn("day", D.day(as_of))
     loan_type = "struct<" + ",".join(f"{n}:string" for n in names) + ">"
     fmt = "MMMM d, yyyy"

@@ -60,7 +60,8 @@ def media(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     )
 
 
-def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def loans(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """more: further columns of lineitem, orders, part and customer as joined, as they are."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_shipdate") >= F.lit(LOANS_FROM).cast("timestamp_ntz"))
     k = (1 + F.col("l_linenumber") % 3).alias("k")
     kept = li.select("l_partkey", "l_orderkey", "l_shipdate", k).where("k <= l_partkey % 4")
@@ -78,6 +79,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         show(F.date_add("out", 21)).alias("dueDate"),
         F.col("c_name").alias("borrowerName"),
         F.concat(F.lit("B"), _pad6("o_custkey")).alias("borrowerId"),
+        *more,
     )
 
 
